@@ -104,9 +104,12 @@ def characters(typed_tags: Column) -> Column:
 
 def styles(typed_tags: Column, style_tags: Collection[str]) -> Column:
     """Every ``style: X``, then tags spelled exactly as in the style dictionary."""
-    found = F.regexp_extract_all(tg.render(plain(typed_tags)), F.lit(_u(STYLE_PREFIX_PATTERN)), F.lit(1))
-    listed = tg.keep(plain(typed_tags), list(style_tags)) if style_tags else tg.empty()
-    return _null_if_none(F.concat(found, listed))
+
+    def found(tags: Column) -> Column:
+        prefixed = F.regexp_extract_all(tg.render(tags), F.lit(_u(STYLE_PREFIX_PATTERN)), F.lit(1))
+        return F.concat(prefixed, tg.keep(tags, list(style_tags)) if style_tags else tg.empty())
+
+    return _null_if_none(tg.let(plain(typed_tags), found))
 
 
 def copyrights(typed_tags: Column) -> Column:
@@ -138,11 +141,12 @@ def prefix_metatags(typed_tags: Column) -> Column:
             .otherwise(x["tag"]),
         )
 
-    last_artist = F.get(
-        F.reverse(metatags(typed_tags, "artist")), F.lit(0)
-    )
-    at = F.array_position(plain(typed_tags), last_artist) - 1
-    return tg.let(F.struct(typed_tags.alias("typed"), at.cast("int").alias("at")), body)
+    def bound(items: Column) -> Column:
+        last_artist = F.get(F.reverse(metatags(items, "artist")), F.lit(0))
+        at = F.array_position(plain(items), last_artist) - 1
+        return tg.let(F.struct(items.alias("typed"), at.cast("int").alias("at")), body)
+
+    return tg.let(typed_tags, bound)
 
 
 def formalise(typed_tags: Column) -> Column:
@@ -177,7 +181,6 @@ def remove_type(typed_tags: Column, kind: str) -> Column:
 def with_artist(typed_tags: Column, new: Column | str) -> Column:
     """Rename the artist inside the first artist tag, or put ``artist: X`` in front; null changes nothing."""
     new = F.lit(new) if isinstance(new, str) else new
-    tags = plain(typed_tags)
 
     def body(s: Column) -> Column:
         renamed = F.transform(
@@ -192,13 +195,16 @@ def with_artist(typed_tags: Column, new: Column | str) -> Column:
             )
         )
 
-    at = F.array_position(F.transform(typed_tags, lambda x: x["type"]), F.lit("artist")) - 1
-    return tg.let(
-        F.struct(
-            typed_tags.alias("typed"), artist(tags).alias("old"), new.alias("new"), at.cast("int").alias("at")
-        ),
-        body,
-    )
+    def bound(items: Column) -> Column:
+        at = F.array_position(F.transform(items, lambda x: x["type"]), F.lit("artist")) - 1
+        return tg.let(
+            F.struct(
+                items.alias("typed"), artist(plain(items)).alias("old"), new.alias("new"), at.cast("int").alias("at")
+            ),
+            body,
+        )
+
+    return tg.let(typed_tags, bound)
 
 
 def with_quality(tags: Column, new: Column | str | None) -> Column:
@@ -220,8 +226,10 @@ def with_quality(tags: Column, new: Column | str | None) -> Column:
             .otherwise(F.concat(F.array(F.concat(s["new"], F.lit(" quality"))), s["tags"]))
         )
 
-    base = tg.or_empty(tags)
-    return tg.let(F.struct(base.alias("tags"), new.alias("new"), quality(base).alias("old")), body)
+    return tg.let(
+        tg.or_empty(tags),
+        lambda base: tg.let(F.struct(base.alias("tags"), new.alias("new"), quality(base).alias("old")), body),
+    )
 
 
 def score_to_quality(score: Column) -> Column:
@@ -241,11 +249,14 @@ def quality_from_score(tags: Column, score: Column, mode: str = "overwrite") ->
 
 def quality_number(tags: Column) -> Column:
     """Quality as a number; no caption or no quality counts as normal."""
-    word = quality(tg.or_empty(tags))
-    chain = None
-    for name, value in QUALITY_NUMBERS.items():
-        chain = F.when(word == name, value) if chain is None else chain.when(word == name, value)
-    return chain.otherwise(QUALITY_NUMBERS["normal"])
+
+    def number(word: Column) -> Column:
+        chain = None
+        for name, value in QUALITY_NUMBERS.items():
+            chain = F.when(word == name, value) if chain is None else chain.when(word == name, value)
+        return chain.otherwise(QUALITY_NUMBERS["normal"])
+
+    return tg.let(quality(tg.or_empty(tags)), number)
 
 
 # -- formats -------------------------------------------------------------------------------------
@@ -284,16 +295,18 @@ def index_terms(typed_tags: Column, style_tags: Collection[str] = ()) -> Column:
             ),
         )
 
-    tags = plain(typed_tags)
-    name = artist(tags)
-    return F.array_distinct(
-        F.concat(
-            entries(tags, None),
-            entries(characters(typed_tags), "character"),
-            entries(styles(typed_tags, style_tags), "style"),
-            entries(F.when(name.isNotNull(), F.array(name)), "artist"),
+    def bound(items: Column) -> Column:
+        name = tg.let(artist(plain(items)), lambda n: F.when(n.isNotNull(), F.array(n)))
+        return F.array_distinct(
+            F.concat(
+                entries(plain(items), None),
+                entries(characters(items), "character"),
+                entries(styles(items, style_tags), "style"),
+                entries(name, "artist"),
+            )
         )
-    )
+
+    return tg.let(typed_tags, bound)
 
 
 def search_terms(typed_tags: Column, style_tags: Collection[str] = ()) -> Column:

@@ -36,10 +36,8 @@ def post_tags(posts: DataFrame, dimension: DataFrame, key: str = "id", ids: str
     names = lambda items: F.transform(items, lambda x: x["name"])
     none = F.array().cast("array<struct<pos:int,name:string,type:string>>")
     tagged = posts.join(gathered, key, "left").withColumn("__tags", F.coalesce("__tags", none))
-    split = {
-        f"tags_{label}": names(F.filter("__tags", lambda x, lab=label: x["type"] == lab))
-        for label in TAG_TYPE_CODES.values()
-    }
+    of_type = lambda label: names(F.filter("__tags", lambda x: x["type"] == label))
+    split = {f"tags_{label}": of_type(label) for label in TAG_TYPE_CODES.values()}
     return tagged.withColumns({"tags": names(F.col("__tags")), **split}).drop("__tags", ids)
 
 

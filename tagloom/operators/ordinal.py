@@ -102,16 +102,14 @@ def page_numbers(index: DataFrame, size: int) -> DataFrame:
 
 
 def split_by_ratio(index: DataFrame, ratios: Sequence[float]) -> DataFrame:
-    """Add ``part``: boundaries are ``int(cumulative ratio * n)``."""
-    total = sum(ratios)
-    normed = [r / total for r in ratios]
-    bounds = [sum(normed[: i + 1]) for i in range(len(normed))]
+    """Add ``part``: boundaries are ``int(cumulative ratio * total)``, the last part takes the rest."""
     part = None
-    for i, bound in enumerate(bounds):
+    for i in range(len(ratios) - 1):
+        bound = sum(ratios[: i + 1]) / sum(ratios)
         below = F.col("row_index") < F.floor(F.lit(bound) * F.col("total"))
         part = F.when(below, i) if part is None else part.when(below, i)
-    # Rounding of the last cumulative ratio may leave the last record out, as integer truncation does.
-    return index.withColumn("part", part).filter(F.col("part").isNotNull())
+    last = len(ratios) - 1
+    return index.withColumn("part", F.lit(last) if part is None else part.otherwise(last))
 
 
 def split_in_n(index: DataFrame, n: int) -> DataFrame:

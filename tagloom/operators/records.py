@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import derived as dv, paths, tags as tg
-from ..schema import TABULAR, list_to_text
+from ..schema import RECORD, TABULAR, list_to_text
 
 
 def with_caption_attrs(df: DataFrame, style_tags: Sequence[str] = (), typed: str = "typed") -> DataFrame:
@@ -32,7 +32,10 @@ def tabular(df: DataFrame, tags: str = "tags") -> DataFrame:
             return list_to_text(F.col(tags)).alias(name)
         if name in ("characters", "styles") and name in present:
             return list_to_text(F.col(name)).alias(name)
-        return F.col(name) if name in present else F.lit(None).cast("string").alias(name)
+        if name in present:
+            return F.col(name)
+        absent = RECORD[name].dataType if name in RECORD.fieldNames() else "string"
+        return F.lit(None).cast(absent).alias(name)
 
     return df.select(*[column(name) for name in TABULAR])
 

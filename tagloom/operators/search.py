@@ -40,14 +40,18 @@ def tag_condition(
     tag is false; an empty exclude list excludes nothing.
     """
 
-    def combine(patterns: Sequence[str], condition: str) -> Column:
-        hits = [F.coalesce(_pattern_hit(terms, p, regex), F.lit(False)) for p in patterns]
+    def combine(bound: Column, patterns: Sequence[str], condition: str) -> Column:
+        hits = [F.coalesce(_pattern_hit(bound, p, regex), F.lit(False)) for p in patterns]
         if not hits:
             return F.lit(False)
         return reduce((lambda a, b: a | b) if condition == "any" else (lambda a, b: a & b), hits)
 
-    included, kept = combine(include, include_condition), ~combine(exclude, exclude_condition)
-    return included & kept if joiner == "and" else included | kept
+    def test(bound: Column) -> Column:
+        included, kept = combine(bound, include, include_condition), ~combine(bound, exclude, exclude_condition)
+        return included & kept if joiner == "and" else included | kept
+
+    # Bound once: a filter is pushed below the projection that defines the terms, one copy per mention.
+    return tg.let(terms, test)
 
 
 def by_tags(df: DataFrame, terms: str = "terms", **options) -> DataFrame:

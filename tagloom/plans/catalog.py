@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import captions  # noqa: F401  (registers its queries)
+from . import captions, ordering, recordset, relations  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["c01_parse_caption"](spark, folder)
+    return QUERIES["f03_search_page"](spark, folder)
