@@ -102,7 +102,7 @@ def order_by_level(tags: Column, level) -> Column:
     keyed = F.transform(
         tags, lambda t, i: F.struct(level(t, i).cast("int").alias("level"), i.alias("pos"), t.alias("tag"))
     )
-    return F.transform(F.array_sort(keyed), lambda x: x["tag"])
+    return F.transform(F.sort_array(keyed), lambda x: x["tag"])
 
 
 def first_level(tag: Column, patterns: Sequence[str | Regex], default: int) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import derived as dv, normal, tags as tg
 from ..functions.rules import DEFAULT_LADDER, LOWEST_PRIORITY, Regex
-from ..runtime import collect_if_small
+from ..runtime import collect_if_small, gather
 
 INLINE_LIMIT = 5000
 INLINE_PAIRS = 200
@@ -38,11 +38,8 @@ def _hits_by_position(
     """``(key, hits map<pos, value>)`` for the tags whose norm is in the table."""
     exploded = df.select(F.col(key), F.posexplode(norms).alias("__pos", "__norm")).filter(F.col("__norm").isNotNull())
     lookup = table.select(F.col(table_key).alias("__norm"), F.col(value).alias("__value"))
-    return (
-        exploded.join(lookup, "__norm")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("__pos", "__value"))).alias("__hits"))
-    )
+    hits = exploded.join(lookup, "__norm").select(key, "__pos", "__value")
+    return gather(hits, key, F.map_from_entries(F.collect_list(F.struct("__pos", "__value"))).alias("__hits"))
 
 
 def with_typed_tags(
@@ -210,10 +207,10 @@ def deoverlap(
     forms = df.select(
         key, F.explode(F.array_distinct(F.transform(F.col(tags), lambda t: normal.underscore_form(t)))).alias("query")
     )
-    hits = (
-        forms.join(table, "query")
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("query", "children"))).alias("__children"))
+    hits = gather(
+        forms.join(table, "query"),
+        key,
+        F.map_from_entries(F.collect_list(F.struct("query", "children"))).alias("__children"),
     )
     return (
         df.join(hits, key, "left")
@@ -244,12 +241,13 @@ def defeature(
         .groupBy("__character")
         .agg(F.collect_set("__feature").alias("__features"))
     )
-    per_record = (
-        df.select(key, F.explode(characters).alias("__name"))
-        .withColumn("__character", normal.space_form(F.col("__name")))
-        .join(grouped, "__character")
-        .groupBy(key)
-        .agg(F.flatten(F.collect_list("__features")).alias("__features"))
+    named = df.select(key, F.explode(characters).alias("__name")).select(
+        key, normal.space_form(F.col("__name")).alias("__character")
+    )
+    per_record = gather(
+        named.join(grouped, "__character").select(key, "__features"),
+        key,
+        F.flatten(F.collect_list("__features")).alias("__features"),
     )
     kept = F.filter(F.col(tags), lambda t: ~F.array_contains(F.col("__features"), normal.space_form(t)))
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import metadata as md, paths
 from ..functions.rules import TAG_TYPE_CODES
+from ..runtime import gather
 
 KEY = "image_key"
 FLAGS = ("has_children", "has_active_children", "has_large", "has_visible_children")
@@ -30,9 +31,7 @@ def post_tags(posts: DataFrame, dimension: DataFrame, key: str = "id", ids: str
     """
     exploded = posts.select(F.col(key), F.posexplode(ids).alias("pos", "tag_id"))
     named = exploded.join(dimension.select(F.col("id").alias("tag_id"), "name", "type"), "tag_id")
-    gathered = named.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "name", "type"))).alias("__tags")
-    )
+    gathered = gather(named, key, F.sort_array(F.collect_list(F.struct("pos", "name", "type"))).alias("__tags"))
     names = lambda items: F.transform(items, lambda x: x["name"])
     none = F.array().cast("array<struct<pos:int,name:string,type:string>>")
     tagged = posts.join(gathered, key, "left").withColumn("__tags", F.coalesce("__tags", none))

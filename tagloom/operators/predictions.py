@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import tags as tg
+from ..runtime import gather
 
 KEY = "image_key"
 GENERAL, CHARACTER = 0, 4
@@ -32,9 +33,9 @@ def predicted_tags(
         F.col("tag"),
     )
     names = F.transform(
-        F.array_sort(F.collect_list(entry)), lambda x: F.replace(x["tag"], F.lit("_"), F.lit(" "))
+        F.sort_array(F.collect_list(entry)), lambda x: F.replace(x["tag"], F.lit("_"), F.lit(" "))
     )
-    return passing.groupBy(key).agg(names.alias("predicted"))
+    return gather(passing, key, names.alias("predicted"))
 
 
 def merge_predictions(tags: Column, predicted: Column, mode: str = "overwrite") -> Column:

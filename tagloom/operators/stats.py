@@ -175,7 +175,7 @@ def summary(df: DataFrame, path: str = "image_path", shown: int = 5) -> DataFram
         per_category.select("category")
         .orderBy("category")
         .limit(shown)
-        .agg(F.array_sort(F.collect_list("category")).alias("first_categories"))
+        .agg(F.sort_array(F.collect_list("category")).alias("first_categories"))
     )
     one = totals.unionByName(first, allowMissingColumns=True).agg(
         F.coalesce(F.max("n_records"), F.lit(0)).alias("n_records"),

@@ -10,6 +10,7 @@ from ..functions import hashes, tags as tg
 from ..functions.rules import QUALITY_WORDS
 from ..operators.dictionary import with_typed_tags
 from ..operators.records import with_caption_attrs
+from ..runtime import gather
 
 STYLE_TAGS = ("cold gear", "hot gear", "old gear", "red gear")
 
@@ -32,7 +33,7 @@ class Tables:
             lines = lines.filter(condition)
         fields = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", *extra]
         joined = lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        return joined.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"))
+        return gather(joined.select("l_orderkey", *fields), "l_orderkey", F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
 
     @cached_property
     def records(self) -> DataFrame:
@@ -244,15 +245,17 @@ class Tables:
         )
         lines = self.table("lineitem").join(ids, F.col("l_partkey") == F.col("p_partkey"))
         tag_id = F.when(F.col("l_returnflag") == "R", -F.col("l_suppkey")).otherwise(F.col("id"))
-        lists = lines.groupBy("l_orderkey").agg(
+        lists = gather(
+            lines,
+            "l_orderkey",
             F.transform(
-                F.array_sort(
+                F.sort_array(
                     F.collect_list(
                         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", tag_id.alias("tag_id"))
                     )
                 ),
                 lambda x: x["tag_id"],
-            ).alias("tag_ids")
+            ).alias("tag_ids"),
         )
         orders = self.table("orders")
         return orders.join(lists, orders["o_orderkey"] == lists["l_orderkey"]).select(

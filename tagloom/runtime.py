@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +39,14 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gather(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """Bring the few rows of each record together: shuffle first, then aggregate once.
+
+    Lists do not shrink map-side, so a partial aggregate before the shuffle would only add a sort per task.
+    """
+    return df.repartition(key).groupBy(key).agg(*aggregates)
+
+
 def collect_if_small(df: DataFrame, limit: int) -> list[Row] | None:
     """All rows if there are at most ``limit``, else None; never more than ``limit + 1`` rows reach the driver."""
     rows = df.limit(limit + 1).collect()

@@ -46,7 +46,7 @@ def parse_size(text: Column) -> Column:
     numbers = F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1))
     return F.when(
         F.size(numbers) == 2,
-        F.struct(numbers[0].cast("int").alias("width"), numbers[1].cast("int").alias("height")),
+        F.struct(numbers[0].try_cast("int").alias("width"), numbers[1].try_cast("int").alias("height")),
     )
 
 

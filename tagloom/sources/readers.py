@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import metadata as md, paths, tags as tg
@@ -85,39 +87,73 @@ def read_record_csv(spark: SparkSession, path: str | Sequence[str], sep: str = "
     return raw.select(*[typed(n) for n in known])
 
 
-def read_captions(spark: SparkSession, directory: str | Sequence[str]) -> DataFrame:
-    """``(label_path, caption)`` of the ``.txt`` sidecars below a directory; empty files give null."""
-    texts = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.txt")
-        .text(directory if isinstance(directory, str) else list(directory), wholetext=True)
+def _texts(spark: SparkSession, directory: str | Sequence[str], glob: str) -> DataFrame:
+    """``(path, value)`` of small text files; paths come unencoded.  Spark's listing leaves out empty files."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob)
+        .load(directory if isinstance(directory, str) else list(directory))
     )
-    return texts.select(
-        plain_path(F.col("_metadata.file_path")).alias("label_path"), F.nullif("value", F.lit("")).alias("caption")
+    return files.select(plain_path(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("value"))
+
+
+def read_captions(spark: SparkSession, directory: str | Sequence[str]) -> DataFrame:
+    """``(label_path, caption)`` of the non-empty ``.txt`` sidecars below a directory, by listing."""
+    return _texts(spark, directory, "*.txt").select(
+        F.col("path").alias("label_path"), F.nullif("value", F.lit("")).alias("caption")
     )
 
 
-def read_booru_meta(spark: SparkSession, directory: str) -> DataFrame:
-    """``(image_dir, stem, image_name, meta)`` of metadata sidecars.
+def _read_local(path: str) -> str | None:
+    try:
+        return Path(path).read_text(encoding="utf-8")
+    except FileNotFoundError:
+        return None
+
 
-    ``.{stem}_meta.json`` holds the payload under ``danbooru``, ``{name}.json`` at the top.
+def fetch_files(df: DataFrame, path: Column, fetch: Callable[[str], str | None] = _read_local) -> DataFrame:
+    """``(path, value)`` for the paths at which ``fetch`` finds a text, asked for in the tasks.
+
+    For files that Spark's listing does not show: empty ones and dot-files.  The default reads a file system that
+    all executors mount.
     """
-    texts = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.json")
-        .text(directory, wholetext=True)
-        .select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
-    )
-    name = paths.name(F.col("path"))
-    hidden = F.regexp_extract(name, r"\A\.(.+)_meta\.json\z", 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = frame.assign(value=[fetch(p) for p in frame["path"]])
+            yield out[out["value"].notna()]
+
+    return df.select(path.alias("path")).mapInPandas(run, "path string, value string")
+
+
+def fetch_captions(images: DataFrame, fetch: Callable[[str], str | None] = _read_local) -> DataFrame:
+    """``(label_path, caption)`` of the text sidecar of every image that has one; empty files give null."""
+    found = fetch_files(images, paths.label_path(F.col("image_path")), fetch)
+    return found.select(F.col("path").alias("label_path"), F.nullif("value", F.lit("")).alias("caption"))
+
+
+def read_hidden_meta(images: DataFrame, fetch: Callable[[str], str | None] = _read_local) -> DataFrame:
+    """Metadata of ``.{stem}_meta.json`` files, payload under ``danbooru``."""
+    path = F.col("image_path")
+    hidden = paths.with_name(path, F.concat(F.lit("."), paths.stem(path), F.lit("_meta.json")))
     nested = T.StructType([T.StructField("danbooru", BOORU_META)])
-    return texts.select(
+    return fetch_files(images, hidden, fetch).select(
         F.regexp_replace("path", r"/[^/]*\z", "").alias("image_dir"),
-        F.nullif(hidden, F.lit("")).alias("stem"),
-        F.when(hidden == "", F.regexp_extract(name, r"\A(.+)\.json\z", 1)).alias("image_name"),
-        F.when(hidden != "", F.from_json("value", nested)["danbooru"])
-        .otherwise(F.from_json("value", BOORU_META))
-        .alias("meta"),
+        F.regexp_extract(paths.name(F.col("path")), r"\A\.(.+)_meta\.json\z", 1).alias("stem"),
+        F.lit(None).cast("string").alias("image_name"),
+        F.from_json("value", nested)["danbooru"].alias("meta"),
+    )
+
+
+def read_booru_meta(spark: SparkSession, directory: str) -> DataFrame:
+    """``(image_dir, stem, image_name, meta)`` of ``{name}.json`` sidecars."""
+    path = F.col("path")
+    return _texts(spark, directory, "*.json").select(
+        F.regexp_replace(path, r"/[^/]*\z", "").alias("image_dir"),
+        F.lit(None).cast("string").alias("stem"),
+        F.regexp_extract(paths.name(path), r"\A(.+)\.json\z", 1).alias("image_name"),
+        F.from_json("value", BOORU_META).alias("meta"),
     )
 
 
@@ -158,12 +194,26 @@ def attach_sidecars(images: DataFrame, captions: DataFrame | None, meta: DataFra
 
 
 def read_folder(
-    spark: SparkSession, directory: str, recursive: bool = True, read_types: Sequence[str] = ("txt", "danbooru")
+    spark: SparkSession,
+    directory: str,
+    recursive: bool = True,
+    read_types: Sequence[str] = ("txt", "danbooru"),
+    fetch: Callable[[str], str | None] | None = _read_local,
 ) -> DataFrame:
-    """Image records of a folder with captions from their sidecars."""
-    captions = read_captions(spark, directory) if "txt" in read_types else None
-    meta = read_booru_meta(spark, directory) if "danbooru" in read_types else None
-    return attach_sidecars(list_images(spark, directory, recursive), captions, meta)
+    """Image records of a folder with captions from their sidecars.
+
+    Without ``fetch`` sidecars come from Spark's listing alone, which knows no empty or hidden files.
+    """
+    images = list_images(spark, directory, recursive)
+    captions = None
+    if "txt" in read_types:
+        captions = read_captions(spark, directory) if fetch is None else fetch_captions(images, fetch)
+    meta = None
+    if "danbooru" in read_types:
+        meta = read_booru_meta(spark, directory)
+        if fetch is not None:
+            meta = meta.unionByName(read_hidden_meta(images, fetch))
+    return attach_sidecars(images, captions, meta)
 
 
 def load(
@@ -213,8 +263,8 @@ def statistic_rows(documents: DataFrame, column: str = "value") -> DataFrame:
     return outer.select("character", F.explode(entries).alias("e")).select(
         "character",
         F.col("e.tag").alias("tag"),
-        F.when(whole, value.cast("bigint")).alias("cnt"),
-        F.when(~whole, value.cast("double")).alias("freq"),
+        F.when(whole, value.try_cast("bigint")).alias("cnt"),
+        F.when(~whole, value.try_cast("double")).alias("freq"),
     )
 
 
