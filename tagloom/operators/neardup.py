@@ -53,22 +53,21 @@ def _flipped(value: Column, masks: Sequence[int]) -> Column:
     )
 
 
-def _band_rows(columns: Sequence[Column], probe: bool, radius: int, width: int) -> Column:
-    """``array<struct<band, value>>``: every band, with its flips when probing."""
-    masks = _flips(width, radius) if probe else [0]
-    return F.flatten(
-        F.array(
-            *[
-                F.transform(_flipped(v, masks), lambda x, b=b: F.struct(F.lit(b).alias("band"), x.alias("value")))
-                for b, v in enumerate(columns)
-            ]
+def _band_rows(columns: Sequence[Column], radius: int, width: int) -> Column:
+    """``array<struct<band, value>>``: every band with all flips of at most ``radius`` bits."""
+    masks = _flips(width, radius)
+
+    def one(band: int, value: Column) -> Column:
+        return F.transform(
+            _flipped(value, masks), lambda x: F.struct(F.lit(band).alias("band"), x.alias("value"))
         )
-    )
 
+    return F.flatten(F.array(*[one(band, value) for band, value in enumerate(columns)]))
 
-def _second_rows(columns: Sequence[Column], probe: bool, radius: int, width: int) -> Column:
+
+def _second_rows(columns: Sequence[Column], radius: int, width: int) -> Column:
     return F.transform(
-        _band_rows(columns, probe, radius, width),
+        _band_rows(columns, radius, width),
         lambda s: F.struct(s["band"].alias("band2"), s["value"].alias("value2")),
     )
 
@@ -78,15 +77,16 @@ def hash_pairs(distinct: DataFrame, distance: int = 7, bands: int = BANDS, hot_b
 
     ``distinct`` has one row per hash (``h1, h2``).  Bands whose value is shared by more than ``hot_bucket`` hashes
     also match on one of the other bands: those differ by at most ``distance`` bits in total, so one of them is
-    within ``distance // (bands - 1)`` bits.  The result is exact either way.
+    within ``distance // (bands - 1)`` bits.  Both sides flip half of these, which needs far fewer rows than one side
+    flipping all.  The result is exact either way.
     """
     width, radius, radius2 = BITS // bands, distance // bands, distance // (bands - 1)
     columns = _bands(F.col("h1"), F.col("h2"), bands)
-    indexed = distinct.select("h1", "h2", F.explode(_band_rows(columns, False, 0, width)).alias("k")).select(
+    indexed = distinct.select("h1", "h2", F.explode(_band_rows(columns, 0, width)).alias("k")).select(
         "h1", "h2", "k.band", "k.value"
     )
     probes = distinct.select(
-        F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.explode(_band_rows(columns, True, radius, width)).alias("k")
+        F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.explode(_band_rows(columns, radius, width)).alias("k")
     ).select("p1", "p2", "k.band", "k.value")
     sizes = indexed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"))
     hot = materialise(sizes.filter(F.col("n") > hot_bucket).select("band", "value"), "hot-bands")
@@ -96,17 +96,15 @@ def hash_pairs(distinct: DataFrame, distance: int = 7, bands: int = BANDS, hot_b
     probes = probes.join(mark, ["band", "value"], "left").withColumn("hot", is_hot)
 
     cool = indexed.filter(~F.col("hot")).join(probes.filter(~F.col("hot")), ["band", "value"])
-    deep = lambda df, x1, x2, probe: (
+    deep = lambda df, x1, x2, flips: (
         df.filter("hot")
-        .withColumn(
-            "s",
-            F.explode(_second_rows(_bands(F.col(x1), F.col(x2), bands), probe, radius2, width)),
-        )
+        .withColumn("s", F.explode(_second_rows(_bands(F.col(x1), F.col(x2), bands), flips, width)))
         .select(x1, x2, "band", "value", "s.band2", "s.value2")
         .filter(F.col("band2") != F.col("band"))
     )
-    warm = deep(indexed, "h1", "h2", False).join(
-        deep(probes, "p1", "p2", True), ["band", "value", "band2", "value2"]
+    half = radius2 // 2
+    warm = deep(indexed, "h1", "h2", half).join(
+        deep(probes, "p1", "p2", radius2 - half), ["band", "value", "band2", "value2"]
     )
     smaller = (F.col("h1") < F.col("p1")) | ((F.col("h1") == F.col("p1")) & (F.col("h2") < F.col("p2")))
     gap = hashes.hamming(F.col("h1"), F.col("h2"), F.col("p1"), F.col("p2"))

@@ -18,6 +18,10 @@ _OFFSET_BITS = 33  # monotonically_increasing_id keeps the row position in its l
 #: Above this many rows a sample or page is taken by row number instead of a merged top-n.
 TOP_N_LIMIT = 100_000
 
+#: Up to this many rows per group Spark cuts a rank-limit window before its shuffle.
+GROUP_LIMIT = 1000
+SALTS = 64
+
 
 def _with_offsets(counts: DataFrame, by: str) -> DataFrame:
     """Add the number of rows before each bucket and the total; one row per bucket, so one task is enough."""
@@ -151,10 +155,15 @@ def cap_per_group(
 ) -> DataFrame:
     """Keep the first ``limit - already_exist`` records of each group; ``existing(group, already_exist)``.
 
-    A rank-limit window: Spark pre-filters each map task to the first ``limit`` rows of every group before the
-    shuffle (``WindowGroupLimit``), so a hot group sends at most ``limit`` rows per task.
+    A rank-limit window: Spark cuts each map task to the first ``limit`` rows of every group before the shuffle
+    (``WindowGroupLimit``).  It does so for small limits only, so above that a salted window cuts first and a hot
+    group reaches its final task with at most ``limit`` rows per salt.
     """
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    if limit > GROUP_LIMIT:
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        first = F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order))
+        df = salted.withColumn("__rank", first).filter(F.col("__rank") <= limit).drop("__rank", "__salt")
     kept = df.withColumn("__rank", rank).filter(F.col("__rank") <= limit)
     if existing is not None:
         kept = kept.join(existing.select(group, "already_exist"), group, "left").filter(

@@ -51,12 +51,22 @@ def explode_record_json(documents: DataFrame, column: str = "value", keep: Seque
     return rows.select(*keep, "image_key", "r.*").withColumn("original_size", parse_size(F.col("original_size")))
 
 
-def read_record_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_record_json(spark: SparkSession, path: str | Sequence[str], indent: int | None = None) -> DataFrame:
     """JSON databases holding one object per file.
 
-    Such a file does not split; for large data convert it once (``write_records``) and read that instead.
+    Without ``indent`` each file is one text and one task.  For files dumped with a known indent, the end of a
+    record at that depth is the line separator, so large files split and are parsed record by record (line breaks
+    inside strings are escaped in JSON, and deeper objects are indented further).
     """
-    return explode_record_json(spark.read.text(path if isinstance(path, str) else list(path), wholetext=True))
+    where = path if isinstance(path, str) else list(path)
+    if indent is None:
+        return explode_record_json(spark.read.text(where, wholetext=True))
+    pad = " " * indent
+    chunks = spark.read.option("lineSep", f"\n{pad}}},\n").text(where)
+    opened = F.regexp_replace("value", r"\A\s*\{?\s*(?=\")", "")
+    body = F.regexp_replace(opened, r"\n" + pad + r"\}\s*\}\s*\z", "")
+    records = chunks.select(F.concat(F.lit("{"), body, F.lit("}}")).alias("value")).filter(F.col("value").startswith('{"'))
+    return explode_record_json(records)
 
 
 def read_record_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -61,6 +61,12 @@ def test_json_object_and_csv(spark, tmp_path):
     rows = {r.image_key: r for r in rd.read_record_json(spark, str(tmp_path / "db.json")).collect()}
     assert rows["k1"].caption == "x, y" and tuple(rows["k1"].original_size) == (3, 4) and rows["k1"].aesthetic_score == 1.5
     assert rows["k2"].caption is None and rows["k2"].original_size is None
+    records["k3"] = {"image_path": "/a/b/k3.png", "caption": "a\n    },\n    b, \"c\""}
+    for n, some in enumerate((records, {"k1": records["k1"]}, {})):
+        (tmp_path / f"indented{n}.json").write_text(json.dumps(some, indent=4))
+        path = str(tmp_path / f"indented{n}.json")
+        split = sorted(rd.read_record_json(spark, path, indent=4).collect(), key=str)
+        assert split == sorted(rd.read_record_json(spark, path).collect(), key=str) and len(split) == len(some)
 
     (tmp_path / "db.csv").write_text(
         'image_key,image_path,caption,original_size,aesthetic_score,unknown\nk1,/a/k1.png,"x, ""y""","(3, 4)",1.25,z\nk2,/a/k2.png,,,,\n'

@@ -53,10 +53,13 @@ def test_sample_fewer_than_asked(numbers):
     assert od.sample(numbers, 50, condition=F.col("ord") < 5).count() == 5
 
 
-def test_cap_with_existing(numbers, spark):
+def test_cap_with_existing(numbers, spark, monkeypatch):
     existing = spark.createDataFrame([(0, 8), (1, 20)], "grp bigint, already_exist bigint")
     sizes = {r.grp: r.n for r in od.cap_per_group(numbers, "grp", ["ord"], 10, existing).groupBy("grp").agg(F.count("*").alias("n")).collect()}
     assert sizes == {0: 2, 2: 10, 3: 10, 4: 10, 5: 10, 6: 10}
+    plain = {r.image_key for r in od.cap_per_group(numbers, "grp", ["ord"], 10).collect()}
+    monkeypatch.setattr(od, "GROUP_LIMIT", 1)
+    assert {r.image_key for r in od.cap_per_group(numbers, "grp", ["ord"], 10).collect()} == plain
 
 
 def test_first_source_wins_and_cache(spark):
