@@ -12,6 +12,7 @@ from collections.abc import Collection, Mapping
 from pyspark.sql import Column, functions as F
 
 from . import normal, tags as tg
+from .binding import let
 from .rules import (
     ARTIST_BY_PATTERN,
     ARTIST_PREFIX_PATTERN,
@@ -94,7 +95,7 @@ def quality(tags: Column) -> Column:
 
 
 def _null_if_none(items: Column) -> Column:
-    return tg.let(items, lambda x: F.when(F.size(x) > 0, x))
+    return let(items, lambda x: F.when(F.size(x) > 0, x))
 
 
 def characters(typed_tags: Column) -> Column:
@@ -104,12 +105,12 @@ def characters(typed_tags: Column) -> Column:
 
 def styles(typed_tags: Column, style_tags: Collection[str]) -> Column:
     """Every ``style: X``, then tags spelled exactly as in the style dictionary."""
+    return _null_if_none(let(plain(typed_tags), lambda tags: _styles(tags, style_tags)))
 
-    def found(tags: Column) -> Column:
-        prefixed = F.regexp_extract_all(tg.render(tags), F.lit(_u(STYLE_PREFIX_PATTERN)), F.lit(1))
-        return F.concat(prefixed, tg.keep(tags, list(style_tags)) if style_tags else tg.empty())
 
-    return _null_if_none(tg.let(plain(typed_tags), found))
+def _styles(tags: Column, style_tags: Collection[str]) -> Column:
+    prefixed = F.regexp_extract_all(tg.render(tags), F.lit(_u(STYLE_PREFIX_PATTERN)), F.lit(1))
+    return F.concat(prefixed, tg.keep(tags, list(style_tags)) if style_tags else tg.empty())
 
 
 def copyrights(typed_tags: Column) -> Column:
@@ -144,21 +145,21 @@ def prefix_metatags(typed_tags: Column) -> Column:
     def bound(items: Column) -> Column:
         last_artist = F.get(F.reverse(metatags(items, "artist")), F.lit(0))
         at = F.array_position(plain(items), last_artist) - 1
-        return tg.let(F.struct(items.alias("typed"), at.cast("int").alias("at")), body)
+        return let(F.struct(items.alias("typed"), at.cast("int").alias("at")), body)
 
-    return tg.let(typed_tags, bound)
+    return let(typed_tags, bound)
 
 
 def formalise(typed_tags: Column) -> Column:
     """``type: name`` for artists, characters and styles; a leading ``by`` of an artist is dropped."""
 
     def one(x: Column) -> Column:
-        name = normal.strip(F.substring_index(x["tag"], ":", -1), "_ ")
-        bare = F.when(
+        bare = lambda name: F.when(
             (x["type"] == "artist") & name.rlike(r"(?U)\Aby[\s_]\w"), normal.strip(F.substr(name, F.lit(4)), "_ ")
         ).otherwise(name)
+        name = let(normal.strip(F.substring_index(x["tag"], ":", -1), "_ "), bare)
         return F.when(
-            x["type"].isin("artist", "character", "style"), F.concat(x["type"], F.lit(": "), bare)
+            x["type"].isin("artist", "character", "style"), F.concat(x["type"], F.lit(": "), name)
         ).otherwise(x["tag"])
 
     return F.transform(typed_tags, one)
@@ -197,14 +198,14 @@ def with_artist(typed_tags: Column, new: Column | str) -> Column:
 
     def bound(items: Column) -> Column:
         at = F.array_position(F.transform(items, lambda x: x["type"]), F.lit("artist")) - 1
-        return tg.let(
+        return let(
             F.struct(
                 items.alias("typed"), artist(plain(items)).alias("old"), new.alias("new"), at.cast("int").alias("at")
             ),
             body,
         )
 
-    return tg.let(typed_tags, bound)
+    return let(typed_tags, bound)
 
 
 def with_quality(tags: Column, new: Column | str | None) -> Column:
@@ -226,9 +227,9 @@ def with_quality(tags: Column, new: Column | str | None) -> Column:
             .otherwise(F.concat(F.array(F.concat(s["new"], F.lit(" quality"))), s["tags"]))
         )
 
-    return tg.let(
+    return let(
         tg.or_empty(tags),
-        lambda base: tg.let(F.struct(base.alias("tags"), new.alias("new"), quality(base).alias("old")), body),
+        lambda base: let(F.struct(base.alias("tags"), new.alias("new"), quality(base).alias("old")), body),
     )
 
 
@@ -256,7 +257,7 @@ def quality_number(tags: Column) -> Column:
             chain = F.when(word == name, value) if chain is None else chain.when(word == name, value)
         return chain.otherwise(QUALITY_NUMBERS["normal"])
 
-    return tg.let(quality(tg.or_empty(tags)), number)
+    return let(quality(tg.or_empty(tags)), number)
 
 
 # -- formats -------------------------------------------------------------------------------------
@@ -281,34 +282,44 @@ def apply_formats(tags: Column, formats: list[str], sets: Mapping[str, Collectio
 # -- index terms -----------------------------------------------------------------------------------
 
 
-def index_terms(typed_tags: Column, style_tags: Collection[str] = ()) -> Column:
-    """Distinct index entries ``struct<tag, is_artist, is_character, is_style>`` of one record."""
+def _forms(tags: Column) -> Column:
+    return F.transform(F.coalesce(tags, tg.empty()), lambda t: normal.underscore_form(t))
 
-    def entries(items: Column, kind: str | None) -> Column:
-        return F.transform(
-            F.coalesce(items, tg.empty()),
-            lambda t: F.struct(
-                normal.underscore_form(t).alias("tag"),
-                F.lit(kind == "artist").alias("is_artist"),
-                F.lit(kind == "character").alias("is_character"),
-                F.lit(kind == "style").alias("is_style"),
-            ),
-        )
 
-    def bound(items: Column) -> Column:
-        name = tg.let(artist(plain(items)), lambda n: F.when(n.isNotNull(), F.array(n)))
-        return F.array_distinct(
-            F.concat(
-                entries(plain(items), None),
-                entries(characters(items), "character"),
-                entries(styles(items, style_tags), "style"),
-                entries(name, "artist"),
-            )
+def search_terms(tags: Column, style_tags: Collection[str] = ()) -> Column:
+    """Distinct normalised tags a search looks at: the tags and the attributes derived from them.
+
+    No dictionary is needed: a character found by dictionary has the same form as its tag.
+    """
+    named = F.filter(tags, lambda t: t.startswith("character:"))
+    return F.array_distinct(
+        F.concat(
+            _forms(tags),
+            _forms(F.transform(named, lambda t: normal.strip_prefix(t))),
+            _forms(_styles(tags, style_tags)),
+            _forms(F.array_compact(F.array(artist(tags)))),
         )
+    )
 
-    return tg.let(typed_tags, bound)
 
+def index_terms(typed_tags: Column, style_tags: Collection[str] = ()) -> Column:
+    """Index entries ``struct<tag, is_artist, is_character, is_style>`` of one record, one per distinct term."""
+
+    def bound(items: Column) -> Column:
+        return let(
+            F.struct(
+                search_terms(plain(items), style_tags).alias("terms"),
+                _forms(F.array_compact(F.array(artist(plain(items))))).alias("artist"),
+                _forms(characters(items)).alias("character"),
+                _forms(styles(items, style_tags)).alias("style"),
+            ),
+            lambda s: F.transform(
+                s["terms"],
+                lambda t: F.struct(
+                    t.alias("tag"),
+                    *[F.array_contains(s[k], t).alias(f"is_{k}") for k in ("artist", "character", "style")],
+                ),
+            ),
+        )
 
-def search_terms(typed_tags: Column, style_tags: Collection[str] = ()) -> Column:
-    """Distinct normalised tags a search looks at: the tags and the derived attributes."""
-    return F.array_distinct(F.transform(index_terms(typed_tags, style_tags), lambda x: x["tag"]))
+    return let(typed_tags, bound)

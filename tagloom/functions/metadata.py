@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, functions as F
 
 from . import tags as tg
+from .binding import let
 from .rules import RATING_CODES, TAG_TYPE_CODES
 
 
@@ -29,7 +30,7 @@ def booru_tags(meta: Column) -> Column:
 
     return F.when(
         meta.isNotNull(),
-        tg.let(
+        let(
             F.struct(
                 words("tag_string").alias("all"),
                 words("tag_string_artist").alias("artist"),
@@ -72,7 +73,7 @@ def last_wins_map(entries: Column) -> Column:
         )
         return F.transform(indexed, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
 
-    return F.map_from_entries(tg.let(entries, body))
+    return F.map_from_entries(let(entries, body))
 
 
 def gen_info_from_comment(metadata: Column) -> Column:

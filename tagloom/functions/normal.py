@@ -22,15 +22,15 @@ def unescape(text: Column) -> Column:
 
 
 def strip_prefix(tag: Column, by_artist: bool = False) -> Column:
-    """Drop ``artist:``, ``character:`` or ``style:``; the artist optionally becomes ``by X``."""
-    out = None
-    for prefix in STRIPPED_PREFIXES:
-        rest = strip(F.substr(tag, F.lit(len(prefix) + 2)), "_ ")
-        if prefix == "artist" and by_artist:
-            rest = F.concat(F.lit("by "), rest)
-        hit = tag.startswith(prefix + ":")
-        out = F.when(hit, rest) if out is None else out.when(hit, rest)
-    return out.otherwise(tag)
+    """Drop ``artist:``, ``character:`` or ``style:``; the artist optionally becomes ``by X``.
+
+    One substitution that mentions the tag once, so that the expression it is applied to runs once.
+    """
+    prefixed = lambda names: r"(?s)\A(?:" + "|".join(names) + r"):[_ ]*(.*?)[_ ]*\z"
+    if by_artist:
+        tag = F.regexp_replace(tag, prefixed(["artist"]), "by $1")
+        return F.regexp_replace(tag, prefixed([p for p in STRIPPED_PREFIXES if p != "artist"]), "$1")
+    return F.regexp_replace(tag, prefixed(STRIPPED_PREFIXES), "$1")
 
 
 def underscore_form(tag: Column) -> Column:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import normal
+from .binding import let
 from .rules import Regex, WEIGHTED_TAG_PATTERN, java_replacement
 
 SEP = ", "
@@ -23,11 +24,6 @@ def empty() -> Column:
     return F.array().cast("array<string>")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body`` (lambdas re-evaluate outer expressions)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def or_empty(tags: Column) -> Column:
     """A null caption edits like one without tags."""
     return F.coalesce(tags, empty())

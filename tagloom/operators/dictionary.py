@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import derived as dv, normal, tags as tg
+from ..functions.binding import let
 from ..functions.rules import DEFAULT_LADDER, LOWEST_PRIORITY, Regex
 from ..runtime import collect_if_small, gather
 
@@ -161,7 +162,7 @@ def sort_by_priority(tags: Column, priorities: Column | Callable[[Column], Colum
     sign = -1 if reverse else 1
     if callable(priorities) and not isinstance(priorities, Column):
         return tg.order_by_level(tags, lambda t, i: priorities(t) * sign)
-    return tg.let(
+    return let(
         F.struct(tags.alias("t"), priorities.alias("p")),
         lambda s: tg.order_by_level(s["t"], lambda t, i: F.get(s["p"], i) * sign),
     )
@@ -178,7 +179,7 @@ def _drop_overlapped(tags: Column, children_of: Callable[[Column], Column]) -> C
         more = F.coalesce(children_of(form), tg.empty())
         return F.when(F.array_contains(gone, form), gone).otherwise(F.concat(gone, more))
 
-    return tg.let(
+    return let(
         F.aggregate(forms, tg.empty(), step),
         lambda gone: F.filter(tags, lambda t: ~F.array_contains(gone, normal.underscore_form(t))),
     )

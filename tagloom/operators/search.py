@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import derived as dv, normal, paths, tags as tg
+from ..functions.binding import let
 from ..functions.rules import Regex, java_regex
 
 KEY = "image_key"
@@ -51,7 +52,7 @@ def tag_condition(
         return included & kept if joiner == "and" else included | kept
 
     # Bound once: a filter is pushed below the projection that defines the terms, one copy per mention.
-    return tg.let(terms, test)
+    return let(terms, test)
 
 
 def by_tags(df: DataFrame, terms: str = "terms", **options) -> DataFrame:

@@ -15,15 +15,8 @@ def inverted_index(df: DataFrame, style_tags: Sequence[str] = (), typed: str = "
 
     Duplicates are removed inside the row, because keys are unique: no shuffle.
     """
-    kinds = ("is_artist", "is_character", "is_style")
-
-    def merged(entries):
-        names = F.array_distinct(F.transform(entries, lambda e: e["tag"]))
-        flag = lambda n, k: F.exists(entries, lambda e: (e["tag"] == n) & e[k])
-        return F.transform(names, lambda n: F.struct(n.alias("tag"), *[flag(n, k).alias(k) for k in kinds]))
-
-    entries = tg.let(dv.index_terms(F.col(typed), style_tags), merged)
-    return df.select(F.col(key), F.explode(entries).alias("e")).select("e.tag", key, *[f"e.{k}" for k in kinds])
+    entries = F.explode(dv.index_terms(F.col(typed), style_tags)).alias("e")
+    return df.select(key, entries).select("e.tag", key, "e.is_artist", "e.is_character", "e.is_style")
 
 
 def keys_per_tag(index: DataFrame, tags: Sequence[str], key: str = "image_key") -> DataFrame:

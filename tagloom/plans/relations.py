@@ -33,11 +33,11 @@ query("f02_all_categories", "SELECT image_key FROM records")(lambda t: keys(sr.b
 TERMS = f"""terms AS (SELECT image_key, ord, aesthetic_score, safe_level, image_path, coalesce(list_concat(
     list_transform(tags, lambda t: {q.norm('t')}),
     CASE WHEN {q.artist(q.join('tags'))} IS NOT NULL THEN [{q.norm(q.artist(q.join('tags')))}] ELSE [] END,
-    list_transform(coalesce({q.styles()}, []), lambda t: {q.norm('t')})), []) AS terms FROM typed)"""
+    list_transform(coalesce({q.styles()}, []), lambda t: {q.norm('t')})), []) AS terms FROM records)"""
 
 
 def terms(t: Tables) -> DataFrame:
-    return t.typed.withColumn("terms", dv.search_terms(F.col("typed"), STYLE_TAGS))
+    return t.records.withColumn("terms", dv.search_terms(F.col("tags"), STYLE_TAGS))
 
 
 def any_of(names) -> str:
@@ -68,14 +68,13 @@ SEARCHES = {
     ),
 }
 for search_name, (options, condition_sql) in SEARCHES.items():
-    query(search_name, f"WITH {TERMS} SELECT image_key FROM terms WHERE {condition_sql}", "typed")(
+    query(search_name, f"WITH {TERMS} SELECT image_key FROM terms WHERE {condition_sql}")(
         lambda t, options=options: keys(sr.by_tags(terms(t), **options))
     )
 query(
     "f03_search_page",
     f"""WITH {TERMS} SELECT image_key, aesthetic_score, safe_level FROM terms WHERE {any_of(['red_ring', 'old_bolt', 'hot_gear'])}
       AND NOT {any_of(['cold_gear', 'low_quality'])} ORDER BY aesthetic_score DESC NULLS LAST, ord LIMIT 80""",
-    "typed",
 )(
     lambda t: sr.by_tags(terms(t), include=["red ring", "old bolt", "hot gear"], exclude=["cold gear", "low quality"])
     .orderBy(F.col("aesthetic_score").desc_nulls_last(), "ord").limit(80)
