@@ -80,13 +80,16 @@ def plain(typed_tags: Column) -> Column:
 
 
 def _first_group(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, _u(pattern), 1), F.lit(""))
+    """First group of the first match, or null; the patterns used here match no empty group."""
+    return F.get(F.regexp_extract_all(text, F.lit(_u(pattern)), F.lit(1)), F.lit(0))
 
 
 def artist(tags: Column) -> Column:
     """``artist: X`` first, else ``by X``; searched in the caption text."""
-    text = tg.render(tags)
-    return F.coalesce(_first_group(text, ARTIST_PREFIX_PATTERN), _first_group(text, ARTIST_BY_PATTERN))
+    return let(
+        tg.render(tags),
+        lambda text: F.coalesce(_first_group(text, ARTIST_PREFIX_PATTERN), _first_group(text, ARTIST_BY_PATTERN)),
+    )
 
 
 def quality(tags: Column) -> Column:
@@ -291,15 +294,19 @@ def search_terms(tags: Column, style_tags: Collection[str] = ()) -> Column:
 
     No dictionary is needed: a character found by dictionary has the same form as its tag.
     """
-    named = F.filter(tags, lambda t: t.startswith("character:"))
-    return F.array_distinct(
-        F.concat(
-            _forms(tags),
-            _forms(F.transform(named, lambda t: normal.strip_prefix(t))),
-            _forms(_styles(tags, style_tags)),
-            _forms(F.array_compact(F.array(artist(tags)))),
+
+    def bound(items: Column) -> Column:
+        named = F.filter(items, lambda t: t.startswith("character:"))
+        return F.array_distinct(
+            F.concat(
+                _forms(items),
+                _forms(F.transform(named, lambda t: normal.strip_prefix(t))),
+                _forms(_styles(items, style_tags)),
+                _forms(F.array_compact(F.array(artist(items)))),
+            )
         )
-    )
+
+    return let(tags, bound)
 
 
 def index_terms(typed_tags: Column, style_tags: Collection[str] = ()) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import derived as dv, normal, tags as tg
 from ..functions.binding import let
 from ..functions.rules import DEFAULT_LADDER, LOWEST_PRIORITY, Regex
-from ..runtime import collect_if_small, gather
+from ..runtime import collect_if_small, explode_rows, gather
 
 INLINE_LIMIT = 5000
 INLINE_PAIRS = 200
@@ -37,7 +37,7 @@ def _hits_by_position(
     df: DataFrame, key: str, norms: Column, table: DataFrame, table_key: str, value: str
 ) -> DataFrame:
     """``(key, hits map<pos, value>)`` for the tags whose norm is in the table."""
-    exploded = df.select(F.col(key), F.posexplode(norms).alias("__pos", "__norm")).filter(F.col("__norm").isNotNull())
+    exploded = explode_rows(df, [key], norms, "__pos", "__norm", position=True)
     lookup = table.select(F.col(table_key).alias("__norm"), F.col(value).alias("__value"))
     hits = exploded.join(lookup, "__norm").select(key, "__pos", "__value")
     return gather(hits, key, F.map_from_entries(F.collect_list(F.struct("__pos", "__value"))).alias("__hits"))
@@ -73,7 +73,7 @@ def with_typed_tags(
 
 def tag_types(df: DataFrame, typed: str = "typed", key: str = "image_key") -> DataFrame:
     """One row per tag of a record: ``(key, pos, tag, type)``."""
-    return df.select(key, F.posexplode(typed).alias("pos", "x")).select(
+    return explode_rows(df, [key], F.col(typed), "pos", "x", position=True).select(
         key, "pos", F.col("x.tag").alias("tag"), F.col("x.type").alias("type")
     )
 
@@ -205,9 +205,8 @@ def deoverlap(
             return tg.empty() if chain is None else chain
 
         return df.withColumn(tags, _drop_overlapped(F.col(tags), children_of))
-    forms = df.select(
-        key, F.explode(F.array_distinct(F.transform(F.col(tags), lambda t: normal.underscore_form(t)))).alias("query")
-    )
+    distinct_forms = F.array_distinct(F.transform(F.col(tags), lambda t: normal.underscore_form(t)))
+    forms = explode_rows(df, [key], distinct_forms, "query")
     hits = gather(
         forms.join(table, "query"),
         key,
@@ -242,7 +241,7 @@ def defeature(
         .groupBy("__character")
         .agg(F.collect_set("__feature").alias("__features"))
     )
-    named = df.select(key, F.explode(characters).alias("__name")).select(
+    named = explode_rows(df, [key], F.col(characters), "__name").select(
         key, normal.space_form(F.col("__name")).alias("__character")
     )
     per_record = gather(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import metadata as md, paths
 from ..functions.rules import TAG_TYPE_CODES
-from ..runtime import gather
+from ..runtime import explode_rows, gather
 
 KEY = "image_key"
 FLAGS = ("has_children", "has_active_children", "has_large", "has_visible_children")
@@ -29,7 +29,7 @@ def post_tags(posts: DataFrame, dimension: DataFrame, key: str = "id", ids: str
     Ids are exploded, joined and brought back with one shuffle on the post's key; a post's list is as long as
     the post's own tag list.
     """
-    exploded = posts.select(F.col(key), F.posexplode(ids).alias("pos", "tag_id"))
+    exploded = explode_rows(posts, [key], F.col(ids), "pos", "tag_id", position=True)
     named = exploded.join(dimension.select(F.col("id").alias("tag_id"), "name", "type"), "tag_id")
     gathered = gather(named, key, F.sort_array(F.collect_list(F.struct("pos", "name", "type"))).alias("__tags"))
     names = lambda items: F.transform(items, lambda x: x["name"])
@@ -82,6 +82,6 @@ def diff(
     return (
         joined.withColumn("op", F.when(moved, "move").when(gone, "remove"))
         .filter(F.col("op").isNotNull())
-        .select("op", F.explode(rows).alias("r"))
+        .transform(lambda df: explode_rows(df, ["op"], rows, "r"))
         .select("r.op_key", "op", "r.src", F.when(F.col("op") == "move", F.col("r.dst")).alias("dst"))
     )

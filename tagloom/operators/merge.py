@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import normal
+from ..runtime import explode_rows
 
 KEY = "image_key"
 
@@ -112,4 +113,4 @@ def index_delta(before: DataFrame, after: DataFrame, tags: str = "tags", key: st
     deltas = F.concat(
         change(F.array_except(new_forms, old_forms), 1), change(F.array_except(old_forms, new_forms), -1)
     )
-    return both.select(key, F.explode(deltas).alias("d")).select("d.tag", key, "d.delta")
+    return explode_rows(both, [key], deltas, "d").select("d.tag", key, "d.delta")

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import hashes
-from ..runtime import materialise
+from ..runtime import explode_rows, materialise
 
 BITS = 64
 BANDS = 4
@@ -82,11 +82,11 @@ def hash_pairs(distinct: DataFrame, distance: int = 7, bands: int = BANDS, hot_b
     """
     width, radius, radius2 = BITS // bands, distance // bands, distance // (bands - 1)
     columns = _bands(F.col("h1"), F.col("h2"), bands)
-    indexed = distinct.select("h1", "h2", F.explode(_band_rows(columns, 0, width)).alias("k")).select(
+    indexed = explode_rows(distinct, ["h1", "h2"], _band_rows(columns, 0, width), "k").select(
         "h1", "h2", "k.band", "k.value"
     )
-    probes = distinct.select(
-        F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.explode(_band_rows(columns, radius, width)).alias("k")
+    probes = explode_rows(
+        distinct, [F.col("h1").alias("p1"), F.col("h2").alias("p2")], _band_rows(columns, radius, width), "k"
     ).select("p1", "p2", "k.band", "k.value")
     sizes = indexed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"))
     hot = materialise(sizes.filter(F.col("n") > hot_bucket).select("band", "value"), "hot-bands")
@@ -97,8 +97,12 @@ def hash_pairs(distinct: DataFrame, distance: int = 7, bands: int = BANDS, hot_b
 
     cool = indexed.filter(~F.col("hot")).join(probes.filter(~F.col("hot")), ["band", "value"])
     deep = lambda df, x1, x2, flips: (
-        df.filter("hot")
-        .withColumn("s", F.explode(_second_rows(_bands(F.col(x1), F.col(x2), bands), flips, width)))
+        explode_rows(
+            df.filter("hot"),
+            [x1, x2, "band", "value"],
+            _second_rows(_bands(F.col(x1), F.col(x2), bands), flips, width),
+            "s",
+        )
         .select(x1, x2, "band", "value", "s.band2", "s.value2")
         .filter(F.col("band2") != F.col("band"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import derived as dv, normal, paths, tags as tg
 from ..functions.rules import DEFAULT_FEATURE_PATTERNS, Regex
+from ..runtime import explode_rows
 
 
 def inverted_index(df: DataFrame, style_tags: Sequence[str] = (), typed: str = "typed", key: str = "image_key") -> DataFrame:
@@ -15,8 +16,8 @@ def inverted_index(df: DataFrame, style_tags: Sequence[str] = (), typed: str = "
 
     Duplicates are removed inside the row, because keys are unique: no shuffle.
     """
-    entries = F.explode(dv.index_terms(F.col(typed), style_tags)).alias("e")
-    return df.select(key, entries).select("e.tag", key, "e.is_artist", "e.is_character", "e.is_style")
+    entries = explode_rows(df, [key], dv.index_terms(F.col(typed), style_tags), "e")
+    return entries.select("e.tag", key, "e.is_artist", "e.is_character", "e.is_style")
 
 
 def keys_per_tag(index: DataFrame, tags: Sequence[str], key: str = "image_key") -> DataFrame:
@@ -50,10 +51,8 @@ def co_occurrence(df: DataFrame, tags: str = "tags", distinct: bool = False) ->
     names = _prefixed_characters(F.col(tags))
     if distinct:
         forms, names = F.array_distinct(forms), F.array_distinct(names)
-    with_names = df.select(names.alias("names"), F.col(tags), forms.alias("forms")).filter(F.size("names") > 0)
-    pairs = with_names.select(F.explode("names").alias("character"), "forms").select(
-        "character", F.explode("forms").alias("tag")
-    )
+    per_name = explode_rows(df.select(names.alias("names"), forms.alias("forms")), ["forms"], F.col("names"), "character")
+    pairs = explode_rows(per_name, ["character"], F.col("forms"), "tag")
     return pairs.groupBy("character", "tag").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -79,14 +78,12 @@ def features_from_counts(
         .agg(F.max(F.when(F.col("tag") == F.col("character"), F.col("cnt"))).alias("total"))
         .filter(F.col("total") >= least_sample_size)
     )
+    # The feature test mentions the count, so it stays above the aggregate and both branches share its exchange.
+    enough = F.when(F.col("cnt") >= count_threshold, _is_feature(F.col("tag"), patterns))
     return (
         counts.join(totals, "character")
         .withColumn("freq", F.col("cnt") / F.col("total"))
-        .filter(
-            (F.col("cnt") >= count_threshold)
-            & (F.col("freq") >= freq_threshold)
-            & _is_feature(F.col("tag"), patterns)
-        )
+        .filter((F.col("freq") >= freq_threshold) & enough)
         .select("character", F.col("tag").alias("feature"), "cnt", "freq")
     )
 
@@ -113,15 +110,11 @@ def character_features(
     compiled = [Regex(p.replace(" ", r"[\s_]")) for p in patterns]
     prepared = retype(df.drop("typed").withColumn(tags, tg.escaped(tg.spaced(F.col(tags)))))
     marker = F.array(F.lit(None).cast("string"))
-    pairs = (
-        prepared.select(
-            dv.characters(F.col("typed")).alias("names"),
-            F.concat(marker, tg.keep(F.col(tags), compiled)).alias("found"),
-        )
-        .filter(F.col("names").isNotNull())
-        .select(F.explode("names").alias("character"), "found")
-        .select("character", F.explode("found").alias("feature"))
+    found = prepared.select(
+        dv.characters(F.col("typed")).alias("names"), F.concat(marker, tg.keep(F.col(tags), compiled)).alias("found")
     )
+    per_name = explode_rows(found, ["found"], F.col("names"), "character")
+    pairs = per_name.select("character", F.explode_outer("found").alias("feature"))
     counts = pairs.groupBy("character", "feature").agg(F.count(F.lit(1)).alias("cnt"))
     totals = counts.groupBy("character").agg(F.max(F.when(F.col("feature").isNull(), F.col("cnt"))).alias("total"))
     return (
@@ -145,7 +138,7 @@ def quality_report(df: DataFrame, listing: DataFrame | None = None, tags: str =
         F.when(folder.isNull() | (folder == ""), "missing_category"),
         F.when(missing_file, "missing_image_file"),
     )
-    return known.select(F.explode(F.array_compact(kinds)).alias("kind"), key)
+    return explode_rows(known, [key], F.array_compact(kinds), "kind")
 
 
 def quality_counts(report: DataFrame) -> DataFrame:

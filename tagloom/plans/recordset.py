@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions import hashes as hs, metadata as md, paths, tags as tg
 from ..operators import batch, lookup as lk, predictions as pr, records as rc
+from ..runtime import explode_rows
 from ..schema import BOORU_META, round3
 from . import sqltext as q
 from .captions import out, rows
@@ -292,7 +293,7 @@ query(
     """WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)
     SELECT vec_id, i AS dim, round(v[i] / n, 6) AS value FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM n)""",
 )(
-    lambda t: t.table("embeddings").select("vec_id", F.posexplode(hs.l2_normalise(F.col("embedding"))).alias("dim", "value")).select(
+    lambda t: explode_rows(t.table("embeddings"), ["vec_id"], hs.l2_normalise(F.col("embedding")), "dim", "value", position=True).select(
         "vec_id", (F.col("dim") + 1).cast("bigint").alias("dim"), F.round("value", 6).alias("value")
     )
 )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import derived as dv, paths, tags as tg
 from ..functions.rules import Regex
 from ..operators import dictionary as dc, lookup as lk, merge as mg, predictions as pr, search as sr, stats as st
+from ..runtime import explode_rows
 from . import sqltext as q
 from .captions import out, rows
 from .recordset import P
@@ -167,7 +168,7 @@ query(
     FROM (SELECT image_key, unnest(tags) AS x FROM records) LEFT JOIN names ON replace(p_name, ' ', '_') = trim({q.prio_key('x')}, '_')""",
     "records", "names",
 )(
-    lambda t: dc.lookup_tag_table(t.records.select("image_key", F.explode("tags").alias("tag")), t.tag_table, default="none")
+    lambda t: dc.lookup_tag_table(explode_rows(t.records, ["image_key"], F.col("tags"), "tag"), t.tag_table, default="none")
     .select("image_key", "tag", "value")
 )
 query("j03_semi_join", "SELECT image_key FROM records WHERE image_key IN (SELECT image_key FROM other)", "records", "other")(

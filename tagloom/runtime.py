@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,16 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def explode_rows(df: DataFrame, keep: Sequence[Column | str], items: Column, *names: str, position: bool = False) -> DataFrame:
+    """``explode`` (or ``posexplode``) of a computed array or map without null elements.
+
+    For a plain ``explode`` Spark infers size and null filters on the generated array and pushes copies of its
+    whole expression below.  The outer form has no such filters; the rows of empty lists are dropped afterwards.
+    """
+    generate = F.posexplode_outer if position else F.explode_outer
+    return df.select(*keep, generate(items).alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
 def gather(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     """Bring the few rows of each record together: shuffle first, then aggregate once.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import metadata as md, paths, tags as tg
 from ..functions.rules import IMAGE_SUFFIXES
 from ..operators.merge import cache_override, first_source_wins
+from ..runtime import explode_rows
 from ..schema import BOORU_META, CAPTION_ATTRS, RECORD, parse_size
 
 #: Columns of the tabular text form; sizes are text there.
@@ -47,7 +48,7 @@ def explode_record_json(documents: DataFrame, column: str = "value", keep: Seque
         + [T.StructField(n, T.StringType()) for n in CAPTION_ATTRS]
     )
     parsed = F.from_json(F.col(column), T.MapType(T.StringType(), fields))
-    rows = documents.select(*keep, F.explode(parsed).alias("image_key", "r"))
+    rows = explode_rows(documents, keep, parsed, "image_key", "r")
     return rows.select(*keep, "image_key", "r.*").withColumn("original_size", parse_size(F.col("original_size")))
 
 
@@ -252,9 +253,7 @@ def statistic_rows(documents: DataFrame, column: str = "value") -> DataFrame:
     ``{character: {tag: int}}`` are counts, ``{character: {tag: float}}`` frequencies and
     ``{character: [tag]}`` plain features.
     """
-    outer = documents.select(
-        F.explode(F.from_json(F.col(column), "map<string,string>")).alias("character", "body")
-    )
+    outer = explode_rows(documents, [], F.from_json(F.col(column), "map<string,string>"), "character", "body")
     listed = F.col("body").startswith("[")
     entries = F.when(
         listed,
@@ -270,7 +269,7 @@ def statistic_rows(documents: DataFrame, column: str = "value") -> DataFrame:
     )
     value = F.col("e.value")
     whole = value.rlike(r"\A-?\d+\z")
-    return outer.select("character", F.explode(entries).alias("e")).select(
+    return explode_rows(outer, ["character"], entries, "e").select(
         "character",
         F.col("e.tag").alias("tag"),
         F.when(whole, value.try_cast("bigint")).alias("cnt"),
