@@ -184,6 +184,15 @@ def upserted(t: Tables) -> DataFrame:
     return rd.read_record_lines(t.spark, second).select("image_key", "image_path", "caption", "aesthetic_score")
 
 
+def exported_folders(t: Tables) -> DataFrame:
+    """Folders found by listing an export that is partitioned by category."""
+    path = scratch_path(t.spark, "export")
+    t.slim.withColumn("category", paths.category(F.col("image_path"))).write.partitionBy("category").parquet(path)
+    files = rd.list_images(t.spark, path, suffixes=[".parquet"])
+    return files.select(paths.category(F.col("image_path")).alias("folder")).distinct()
+
+
+query("s01_list_folder", "SELECT DISTINCT 'category=' || category AS folder FROM records")(exported_folders)
 query("s03_json_objects", VIEW, "full")(lambda t: dumped(rd.explode_record_json(wr.record_json(t.full))))
 query("s12_json_lines_round_trip", VIEW, "full")(through_lines)
 query("s04_s13_csv_round_trip", VIEW, "full")(through_csv)
@@ -257,7 +266,7 @@ def post_database(t: Tables) -> DataFrame:
 
 query(
     "s11_post_tables",
-    "SELECT id, p_name AS name, cnt AS count, CASE WHEN id % 5 <= 2 THEN 'about ' || p_name END AS description FROM names",
+    "SELECT id, p_name AS name, cnt AS count, CASE WHEN NOT contains(p_name, 'old ') THEN 'about ' || p_name END AS description FROM names",
     "names",
 )(post_database)
 query(

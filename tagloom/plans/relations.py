@@ -193,7 +193,7 @@ query(
 )
 query(
     "j06_tag_wiki",
-    """SELECT p_partkey, part.p_name AS name, CASE WHEN names.id % 5 <= 2 THEN 'about ' || part.p_name END AS description
+    """SELECT p_partkey, part.p_name AS name, CASE WHEN NOT contains(part.p_name, 'old ') THEN 'about ' || part.p_name END AS description
     FROM part JOIN names ON names.p_name = part.p_name""",
     "names",
 )(

@@ -268,6 +268,7 @@ class Tables:
 
     @cached_property
     def wiki(self) -> DataFrame:
-        return self.tag_rows.filter(F.col("type_id") <= 2).select(
+        """Wiki texts; names of old and cold things have none."""
+        return self.tag_rows.filter(~F.col("name").contains("old ")).select(
             "id", "name", F.concat(F.lit("about "), F.col("name")).alias("description")
         )
