@@ -59,6 +59,48 @@ def by_tags(df: DataFrame, terms: str = "terms", **options) -> DataFrame:
     return df.filter(tag_condition(F.col(terms), **options))
 
 
+def by_index(
+    df: DataFrame,
+    index: DataFrame,
+    include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
+    include_condition: str = "any",
+    exclude_condition: str = "any",
+    joiner: str = "and",
+    regex: bool = False,
+    key: str = KEY,
+) -> DataFrame:
+    """The same tag search over an inverted index ``(tag, key)``, for many searches on one stored index.
+
+    Only index rows of the asked tags are read; per key they shrink to one flag per pattern map-side.  Records are
+    found by semi-join, or by left join where records without any hit may match.
+    """
+
+    def hit(pattern: str) -> Column:
+        if regex:
+            return F.col("tag").rlike(r"(?Ui)\A(?:" + java_regex(pattern.replace(" ", "_")) + ")")
+        return F.col("tag") == normal.underscore_form(F.lit(pattern))
+
+    def combine(flags: list[Column], condition: str) -> Column:
+        if not flags:
+            return F.lit(False)
+        return reduce((lambda a, b: a | b) if condition == "any" else (lambda a, b: a & b), flags)
+
+    patterns = [*include, *exclude]
+    if not patterns:
+        return df if joiner == "or" else df.limit(0)
+    names = [f"__p{i}" for i in range(len(patterns))]
+    flags = index.filter(combine([hit(p) for p in patterns], "any")).groupBy(key).agg(
+        *[F.max(hit(p)).alias(n) for p, n in zip(patterns, names)]
+    )
+    found = [F.coalesce(F.col(n), F.lit(False)) for n in names]
+    included = combine(found[: len(include)], include_condition)
+    kept = ~combine(found[len(include) :], exclude_condition)
+    if joiner == "and":
+        return df.join(flags.filter(included & kept).select(key), key, "left_semi")
+    return df.join(flags, key, "left").filter(included | kept).drop(*names)
+
+
 def by_quality(df: DataFrame, qualities: Sequence[str] | None, tags: str = "tags") -> DataFrame:
     """Records with one of the quality words; an empty selection means captioned records without quality."""
     word = dv.quality(F.col(tags))

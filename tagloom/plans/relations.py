@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import derived as dv, paths, tags as tg
 from ..functions.rules import Regex
 from ..operators import dictionary as dc, lookup as lk, merge as mg, predictions as pr, search as sr, stats as st
-from ..runtime import explode_rows
+from ..runtime import explode_rows, scratch_path
+from ..sources import writers as wr
 from . import sqltext as q
 from .captions import out, rows
 from .recordset import P
@@ -81,6 +82,19 @@ query(
     .orderBy(F.col("aesthetic_score").desc_nulls_last(), "ord").limit(80)
     .select("image_key", "aesthetic_score", "safe_level")
 )
+
+
+def stored_index(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "index")
+    wr.write_index(st.inverted_index(t.typed, STYLE_TAGS).select("tag", "image_key"), path)
+    return t.spark.read.parquet(path)
+
+
+for search_name in ("f03_tags_any", "f03_tags_exclude_all", "f03_tags_regex"):
+    options, condition_sql = SEARCHES[search_name]
+    query(f"{search_name}_by_index", f"WITH {TERMS} SELECT image_key FROM terms WHERE {condition_sql}")(
+        lambda t, options=options: keys(sr.by_index(t.slim, stored_index(t), **options))
+    )
 QUALITY_OF = q.quality(q.join("tags"))
 query("f04_quality", f"SELECT image_key FROM records WHERE {QUALITY_OF} IN ('best', 'low')")(
     lambda t: keys(sr.by_quality(t.records, ["Best", "low"]))

@@ -71,6 +71,14 @@ def label_check(df: DataFrame, images: DataFrame, labels: DataFrame) -> DataFram
     )
 
 
+def write_index(index: DataFrame, path: str, key: str = "image_key") -> None:
+    """Store an inverted index so that a search reads few row groups.
+
+    Rows are range partitioned by tag and key, so a hot tag spreads over several files.
+    """
+    index.repartitionByRange("tag", key).sortWithinPartitions("tag", key).write.parquet(path)
+
+
 def _write_local(path: str, text: str) -> None:
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
@@ -117,6 +125,7 @@ __all__ = [
     "save_changes",
     "write_captions",
     "write_csv",
+    "write_index",
     "write_json",
     "write_records",
 ]

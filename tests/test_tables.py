@@ -130,6 +130,14 @@ def test_search_semantics(spark, tagged):
     assert keys(include=[], exclude=["a b"], joiner="or") == ["k1", "k2"]
     assert keys(include=["c", "zzz"], include_condition="all") == []
     assert keys(include=["A .*"], regex=True) == ["k0"]
+    index = df.select("image_key", F.explode("terms").alias("tag"))
+    searches = [
+        dict(include=["A B"]), dict(include=["c"], exclude=["a b"]), dict(exclude=["a b"]), dict(exclude=["a b"], joiner="or"),
+        dict(include=["c", "zzz"], include_condition="all"), dict(include=["A .*", "c"], include_condition="all", regex=True),
+        dict(include=["a b"], exclude=["c", "a b"], exclude_condition="all", joiner="or"), dict(), dict(joiner="or"),
+    ]
+    for options in searches:
+        assert sorted(r.image_key for r in sr.by_index(df, index, **options).collect()) == keys(**options), options
 
 
 def test_sorting_nulls_and_ties(spark):
