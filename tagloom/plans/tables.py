@@ -135,7 +135,7 @@ class Tables:
             lambda q: F.struct(F.lit("quality").alias("kind"), q.alias("tag")),
         )
         words = self.table("region").select(F.explode(quality).alias("d")).select("d.kind", "d.tag")
-        return rows.unionByName(words).distinct()
+        return rows.unionByName(words)
 
     @cached_property
     def typed(self) -> DataFrame:
