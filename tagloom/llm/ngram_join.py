@@ -30,6 +30,8 @@ from .common import components, partitions
 
 #: Entries of one packed block of documents.
 BLOCK_ENTRIES = 600_000
+#: Fragments in which pairs are counted: so many entries in each, but not fewer fragments than this.
+FRAGMENT_ENTRIES, MIN_FRAGMENTS = 2_000_000, 24
 #: Minimum hashes by which classes find their first partners.
 LEADERS = 4
 _SHARED = np.uint16(65535)
@@ -303,11 +305,11 @@ def _partial_overlaps(table: pa.Table) -> pa.Table:
 
 def linked(live: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``(a, b, overlap)`` of the given distinct pairs ``(a, b)`` that reach the threshold."""
-    spark = live.sparkSession
-    fragments = partitions(spark)
-    partners = pairs.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("partners"))
-    asked = pairs.select(F.col("b").alias("node")).union(partners.select("node")).distinct()
-    rows = live.select("node", "n", "keys").join(asked, "node", "left_semi").join(partners, "node", "left")
+    entries = live.agg(F.sum(F.length("keys") / 8).alias("n")).first()["n"] or 0
+    fragments = max(MIN_FRAGMENTS, -(-int(entries) // FRAGMENT_ENTRIES))
+    ends = pairs.select(F.col("a").alias("node"), "b").union(pairs.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("b")))
+    partners = ends.groupBy("node").agg(F.collect_list("b").alias("partners"))  # nulls are left out
+    rows = live.select("node", "n", "keys").join(partners, "node")
     segments = rows.mapInArrow(_segments_of_pairs(fragments), "frag int, node long, keys binary, partners binary")
     partial = segments.groupBy("frag").applyInArrow(_partial_overlaps, "a long, b long, partial long")
     total = partial.groupBy("a", "b").agg(F.sum("partial").alias("overlap"))
@@ -350,7 +352,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, id_column:
     classes = info.filter("n > 0").groupBy("n", "sig", "sig2").agg(F.min("doc_id").alias("rep"), F.min("unshared").alias("unshared"), F.count(F.lit(1)).alias("copies"))
     classes = materialise(classes, "classes")
     left = classes.filter((100 * (F.col("n") - F.col("unshared")) >= percent * F.col("n")) & F.col("rep").isNotNull())
-    wanted = materialise(left.select("rep", "n", "sig", "sig2"), "wanted")
+    wanted = left.select("rep", "n", "sig", "sig2")
 
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text_column).alias("text")).join(wanted, "rep")
     sets = texts.mapInArrow(_sets_of(k), "node long, n long, keys binary").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
