@@ -19,18 +19,21 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between plain words: ASCII without letters and digits.
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 
 
-def _byte_values(lower: bool) -> np.ndarray:
-    """A random odd number for every byte; white space counts as nothing, A-Z as a-z if asked."""
+def _byte_values(lower: bool, gaps: np.ndarray) -> np.ndarray:
+    """A random odd number for every byte; bytes between words count as nothing, A-Z as a-z if asked."""
     values = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     if lower:
         values[65:91] = values[97:123]
-    values[_SPACE] = 0
+    values[gaps] = 0
     return values
 
 
-_LOWER, _EXACT = _byte_values(True), _byte_values(False)
+_LOWER, _EXACT, _PLAIN = _byte_values(True, _SPACE), _byte_values(False, _SPACE), _byte_values(True, _MARKS)
 _ORDER = np.random.default_rng(78).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,7 +78,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches, column: str = "text", size: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches, column: str = "text", size: int = BLOCK, most: int = 60_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of rows with about ``size`` bytes of text."""
     for batch in batches:
         if not batch.num_rows:
@@ -84,7 +87,7 @@ def blocks(batches, column: str = "text", size: int = BLOCK) -> Iterator[tuple[p
         first = 0
         while first < batch.num_rows:
             last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
-            last = min(max(last, first + 1), batch.num_rows, first + 60_000)
+            last = min(max(last, first + 1), batch.num_rows, first + most)
             yield (
                 batch.slice(first, last - first),
                 raw[offsets[first] : offsets[last]],
@@ -93,9 +96,9 @@ def blocks(batches, column: str = "text", size: int = BLOCK) -> Iterator[tuple[p
             first = last
 
 
-def word_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def word_starts(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> np.ndarray:
     """Where words begin; a word never crosses rows."""
-    solid = ~_SPACE[raw]
+    solid = ~gaps[raw]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     heads = offsets[:-1][offsets[:-1] < len(raw)]
@@ -111,10 +114,13 @@ def word_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount(rows_of(word_starts(raw, offsets), offsets), minlength=len(offsets) - 1)[: len(offsets) - 1]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of every word, in order; equal words have equal hashes wherever they stand."""
-    starts = word_starts(raw, offsets)
-    values = _LOWER if lower else _EXACT
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: str = "lower") -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word, in order; equal words have equal hashes wherever they stand.
+
+    ``lower`` and ``exact`` words stand between white space; ``plain`` ones are lower-cased and free of ASCII marks.
+    """
+    starts = word_starts(raw, offsets, _MARKS if kind == "plain" else _SPACE)
+    values = {"lower": _LOWER, "exact": _EXACT, "plain": _PLAIN}[kind]
     hashes = np.empty(len(starts), dtype=np.uint64)
     first = 0
     while first < len(starts):
@@ -129,6 +135,21 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     return mix(hashes), rows_of(starts, offsets)
 
 
+def stems(raw: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hash, row) of the first bytes of every plain word that is longer, for each of the lengths."""
+    starts = word_starts(raw, offsets, _MARKS)
+    rows, out, longest = rows_of(starts, offsets), [], max(lengths)
+    inside = _PLAIN != 0
+    total, alive = np.zeros(len(starts), np.uint64), np.ones(len(starts), dtype=bool)
+    for i in range(longest + 1):
+        at = np.minimum(starts + i, max(len(raw) - 1, 0))
+        alive &= (starts + i < len(raw)) & inside[raw[at]] & (rows_of(at, offsets) == rows)
+        if i in lengths:
+            out.append((mix(total[alive] + np.uint64(i)), rows[alive]))
+        total = total + _PLAIN[raw[at]] * _ORDER[i]
+    return out
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every run of ``k`` words; a row with fewer words gives its whole sequence once."""
     counts = np.bincount(rows, minlength=n_rows)
