@@ -256,84 +256,133 @@ def _prefixes(percent: int):
 # -- partial overlaps of candidate pairs -------------------------------------------------------------
 
 
+def _arrays(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
+    return [pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)]
+
+
+_PAIR_SEGMENT = pa.schema([("frag", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("partners", pa.binary())])
+_PARTIAL = pa.schema([("a", pa.int64()), ("n", pa.int64()), ("partners", pa.binary()), ("counts", pa.binary())])
+
+
 def _segments_of_pairs(fragments: int):
-    """Rows (fragment, node, keys, partners): a class's segment with the classes it is to be counted against."""
+    """A class's segments, each with the classes it is to be counted against; the first row says who these are."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for node, keys, partners in zip(batch.column("node").to_pylist(), batch.column("keys").to_pylist(), batch.column("partners").to_pylist(), strict=True):
+            for node, n, keys, partners in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "keys", "partners")), strict=True):
                 keys = np.sort(np.frombuffer(keys, np.uint64))
-                partners = np.array(partners or [], np.int64).tobytes()
+                partners = np.unique(np.array(partners or [], np.int64)).tobytes()
+                if partners:
+                    out.append((-1 - node % fragments, node, n, None, partners))
                 for f, lo, hi in _slices(_fragment(keys, fragments)):
-                    out.append((f, node, keys[lo:hi].tobytes(), partners))
-            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            for at in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 20_000], strict=True), types, strict=True)], names=["frag", "node", "keys", "partners"])
+                    out.append((f, node, n, keys[lo:hi].tobytes(), partners))
+            for at in range(0, len(out), 4096):
+                yield pa.RecordBatch.from_arrays(_arrays(out[at : at + 4096], _PAIR_SEGMENT), schema=_PAIR_SEGMENT)
 
     return run
 
 
 def _partial_overlaps(table: pa.Table) -> pa.Table:
-    """A fragment: for each pair, how many n-grams of this fragment both hold."""
-    nodes = table.column("node").to_numpy()
+    """A fragment: for each class, how many n-grams of this fragment it has in common with each of its partners."""
+    frag, nodes, n = table.column("frag").to_pylist(), table.column("node").to_numpy(), table.column("n").to_pylist()
+    partners = table.column("partners").to_pylist()
+    if frag[0] < 0:
+        return pa.Table.from_arrays(_arrays([(a, m, p, None) for a, m, p in zip(nodes.tolist(), n, partners, strict=True)], _PARTIAL), schema=_PARTIAL)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    partners = [np.frombuffer(x, np.int64) for x in table.column("partners").to_pylist()]
     ids, index = np.unique(nodes, return_inverse=True)
     places = index.astype(np.uint64) * _PLACE
     held = words.mix(np.concatenate([s + i for s, i in zip(sets, places, strict=True)]))
     held.sort()
-    a, b, n = [], [], []
-    for s, node, p in zip(sets, nodes, partners, strict=True):
+    out = []
+    for s, node, p in zip(sets, nodes.tolist(), partners, strict=True):
+        p = np.frombuffer(p, np.int64)
         if not len(p):
             continue
-        at = np.searchsorted(ids, p)
-        there = at < len(ids)
-        there[there] = ids[at[there]] == p[there]
-        at, p = at[there].astype(np.uint64), p[there]
-        for first in range(0, len(p), 4096):  # a class with many partners is compared in blocks
-            wanted = words.mix(s[None, :] + at[first : first + 4096, None] * _PLACE)
-            place = np.searchsorted(held, wanted.ravel()).clip(max=len(held) - 1).reshape(wanted.shape)
-            count = (held[place] == wanted).sum(axis=1)
-            some = count > 0
-            a.append(np.full(int(some.sum()), node))
-            b.append(p[first : first + 4096][some])
-            n.append(count[some])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(join(a), pa.int64()), "b": pa.array(join(b), pa.int64()), "partial": pa.array(join(n), pa.int64())})
-
-
-def linked(live: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, overlap)`` of the given distinct pairs ``(a, b)`` that reach the threshold."""
+        counts = np.zeros(len(p), "<u4")
+        at = np.searchsorted(ids, p).clip(max=len(ids) - 1)
+        there = np.flatnonzero(ids[at] == p)
+        for first in range(0, len(there), 4096):  # a class with many partners is compared in blocks
+            some = there[first : first + 4096]
+            wanted = words.mix(s[None, :] + at[some].astype(np.uint64)[:, None] * _PLACE)
+            found = np.searchsorted(held, wanted.ravel()).clip(max=len(held) - 1).reshape(wanted.shape)
+            counts[some] = (held[found] == wanted).sum(axis=1)
+        if counts.any():
+            out.append((node, 0, None, counts.tobytes()))
+    return pa.Table.from_arrays(_arrays(out, _PARTIAL), schema=_PARTIAL)
+
+
+def _sum_overlaps(percent: int):
+    """A class: the fragments' counts summed per partner; pairs that fall short of its own size are dropped."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("a", "n", "partners", "counts")), strict=True))
+        a, n, partners = next((a, n, np.frombuffer(p, np.int64)) for a, n, p, _ in rows if p is not None)
+        total = np.zeros(len(partners), np.int64)
+        for *_, counts in rows:
+            if counts is not None:
+                total += np.frombuffer(counts, "<u4")
+        near = 100 * total >= percent * n
+        return pa.table({"a": pa.array(np.full(int(near.sum()), a), pa.int64()), "b": pa.array(partners[near]), "overlap": pa.array(total[near])})
+
+    return run
+
+
+def linked(live: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, overlap)`` of pairs that reach the threshold; ``partners(node, partners)`` lists what to compare with."""
     entries = live.agg(F.sum(F.length("keys") / 8).alias("n")).first()["n"] or 0
     fragments = max(MIN_FRAGMENTS, -(-int(entries) // FRAGMENT_ENTRIES))
-    ends = pairs.select(F.col("a").alias("node"), "b").union(pairs.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("b")))
-    partners = ends.groupBy("node").agg(F.collect_list("b").alias("partners"))  # nulls are left out
-    rows = live.select("node", "n", "keys").join(partners, "node")
-    segments = rows.mapInArrow(_segments_of_pairs(fragments), "frag int, node long, keys binary, partners binary")
-    partial = segments.groupBy("frag").applyInArrow(_partial_overlaps, "a long, b long, partial long")
-    total = partial.groupBy("a", "b").agg(F.sum("partial").alias("overlap"))
+    rows = live.select("node", "n", "keys").join(partners, "node", "left")
+    segments = rows.mapInArrow(_segments_of_pairs(fragments), "frag int, node long, n long, keys binary, partners binary")
+    partial = segments.groupBy("frag").applyInArrow(_partial_overlaps, "a long, n long, partners binary, counts binary")
+    total = partial.groupBy("a").applyInArrow(_sum_overlaps(percent), "a long, b long, overlap long")
     sizes = live.select("node", "n")
     sized = total.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     return sized.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
 
 
+def _candidates(percent: int):
+    """A fragment of prefixes: for each class, those of other components and fitting size that share a prefix n-gram."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, node, n, label = (table.column(c).to_numpy() for c in ("key", "node", "n", "label"))
+        ids, index, of = np.unique(node, return_index=True, return_inverse=True)
+        n, label = n[index], label[index]
+        order = np.argsort(key, kind="stable")
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        postings = np.split(of[order], cuts)
+        lists = np.empty(len(key), np.int64)
+        lists[order] = np.repeat(np.arange(len(postings)), [len(p) for p in postings])
+        by_node = np.argsort(of, kind="stable")
+        begin = np.searchsorted(of[by_node], np.arange(len(ids) + 1))
+        out = []
+        for i in range(len(ids)):
+            found = np.unique(np.concatenate([postings[j] for j in lists[by_node[begin[i] : begin[i + 1]]]]))
+            found = found[found > i]
+            found = found[(label[found] != label[i]) & (100 * np.minimum(n[found], n[i]) >= percent * np.maximum(n[found], n[i]))]
+            if len(found):
+                out.append((int(ids[i]), ids[found]))
+        return pa.table({"node": pa.array([x[0] for x in out], pa.int64()), "found": pa.array([x[1] for x in out], pa.list_(pa.int64()))})
+
+    return run
+
+
 def class_links(live: DataFrame, percent: int) -> DataFrame:
     """``(node, label)``: components of the classes under all links; see the module's third pass."""
-    keyed = live.select("node", "n", F.posexplode("leaders").alias("turn", "least"))
+    keyed = live.select("node", F.posexplode("leaders").alias("turn", "least"))
     lead = keyed.groupBy("turn", "least").agg(F.min("node").alias("lead"))
-    stars = keyed.join(lead, ["turn", "least"]).filter("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = keyed.join(lead, ["turn", "least"]).filter("node != lead").groupBy("node").agg(F.collect_set("lead").alias("partners"))
     first = materialise(linked(live, stars, percent).select("a", "b"), "links")
     labels = components(first)
 
     entries = live.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("prefix").alias("key"))
     mixed = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
     entries = materialise(entries.join(mixed, "key", "left_semi"), "prefix")
-    other = entries.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    small, large = F.least("n", "nb"), F.greatest("n", "nb")
-    across = entries.join(other, "key").filter((F.col("label") < F.col("lb")) & (100 * small >= percent * large))
-    across = across.select(F.col("node").alias("a"), "b").distinct().join(stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    second = materialise(linked(live, materialise(across, "pairs"), percent).select("a", "b"), "links")
+    fragments = max(MIN_FRAGMENTS, -(-entries.count() // FRAGMENT_ENTRIES))
+    found = entries.groupBy(F.pmod("key", F.lit(fragments)).alias("frag")).applyInArrow(_candidates(percent), "node long, found array<long>")
+    others = found.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("partners"))
+    still = live.join(entries.select("node").distinct(), "node", "left_semi")
+    second = materialise(linked(still, others, percent).select("a", "b"), "links")
     return components(first.union(second))
 
 
