@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import fingerprint_documents
 from .mixing import mix
 from .ngram_join import ngram_components
 from .packing import pack
 from .quality import quality
+from .substrings import removal_summary
 from .toxicity import toxicity
 
 #: Where the public tokenizers lie; a parameter of every operator that uses one.
@@ -39,16 +41,26 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_summary(table(spark, sf_dir, "documents"), length=400)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), capacity=4096, end_id=1)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_packing": op7_packing,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
