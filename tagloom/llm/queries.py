@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .chat import format_tool_chat, tool_messages
 from .fingerprints import fingerprint_documents
+from .licenses import TEMPLATES, scan
 from .mixing import mix
 from .ngram_join import ngram_components
 from .packing import pack
@@ -53,6 +55,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_tool_chat(*tool_messages(table(spark, sf_dir, "conversations")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -61,6 +71,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
+    "op9_chat_formatting": op9_chat_formatting,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+def _license_sql() -> str:
+    """Every line against every template, by plain counting."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{text}', ' ')))" for i, (label, text) in enumerate(TEMPLATES))
+    return f"""
+WITH d AS (SELECT doc_id, {lower} AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
+p AS (SELECT doc_id, t, len(w)::BIGINT AS n_words,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl FROM w),
+b AS (SELECT doc_id, n_words, list_concat(mit, apache, gpl) AS every, list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END,
+    CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS base FROM p),
+templates(number, label, words) AS (VALUES {templates}),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS words FROM d),
+common AS (SELECT doc_id, label, len(list_intersect(templates.words, lines.words)) AS n, len(templates.words) AS size FROM lines, templates),
+m AS (SELECT doc_id, list(DISTINCT label) AS more, max(n / size) AS containment FROM common WHERE n >= greatest(1, ceil(0.8 * size - 1e-9)) GROUP BY doc_id)
+SELECT b.doc_id, n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word, list_max(every)::BIGINT AS last_word,
+    array_to_string(base, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+    CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0)::DOUBLE END AS score
+FROM b LEFT JOIN m USING (doc_id)"""
+
+
+_CHAT_SQL = """
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) AS chars FROM conversations
+    WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+calls AS (SELECT conv_id, turn, md5(conv_id || ':' || turn) AS call_id,
+    CASE WHEN turn >= 2 THEN md5(conv_id || ':' || (turn - 2 * ceil(turn / 4)::BIGINT)) END AS after,
+    CASE chars % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'measure' ELSE 'quote' END AS name, text, chars,
+    len(list_filter(string_split_regex(text, '[ \n]'), lambda w: w <> '')) AS words FROM t WHERE role = 'user'),
+levels AS (SELECT call_id, 0::BIGINT AS level FROM calls WHERE after IS NULL OR after NOT IN (SELECT call_id FROM calls)
+    UNION ALL SELECT c.call_id, l.level + 1 FROM calls c JOIN levels l ON c.after = l.call_id),
+results AS (SELECT md5(conv_id || ':' || (turn - 1)) AS call_id, text AS content FROM t WHERE role = 'assistant'),
+checked AS (SELECT c.*, level, r.content, r.call_id IS NOT NULL AS linked, CASE name
+    WHEN 'lookup' THEN CASE WHEN chars > 1000 THEN 'first too large; ' ELSE '' END || CASE WHEN least(chars, 80) > 64 THEN 'query too long; ' ELSE '' END
+    WHEN 'measure' THEN CASE WHEN chars > 1500 THEN 'chars too large; ' ELSE '' END || CASE WHEN words > 250 THEN 'words too large; ' ELSE '' END
+    ELSE CASE WHEN chars > 2000 THEN 'text too long; ' ELSE '' END END AS f,
+    CASE name WHEN 'lookup' THEN '{"first":' || chars || ',"query":' || to_json(substr(text, 1, 80))
+    WHEN 'measure' THEN '{"chars":' || chars || ',"words":' || words ELSE '{"text":' || to_json(text) END || '}' AS arguments
+    FROM calls c LEFT JOIN levels USING (call_id) LEFT JOIN results r ON c.call_id = r.call_id)
+SELECT conv_id, turn, call_id, level, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position, linked,
+    f = '' AS valid, rtrim(f, '; ') AS faults,
+    '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
+FROM checked"""
+
+ORACLES: dict[str, str] = {"op9_chat_formatting": _CHAT_SQL, "op10_license_scan": _license_sql()}
