@@ -11,6 +11,7 @@ from .chat import format_tool_chat, tool_messages
 from .fingerprints import fingerprint_documents
 from .licenses import TEMPLATES, scan
 from .mixing import mix
+from .mtree import top_k
 from .ngram_join import ngram_components
 from .packing import pack
 from .quality import quality
@@ -47,6 +48,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_summary(table(spark, sf_dir, "documents"), length=400)
 
 
+def op6_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), capacity=4096, end_id=1)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_mtree_search": op6_mtree_search,
     "op7_packing": op7_packing,
     "op8_fingerprints": op8_fingerprints,
     "op9_chat_formatting": op9_chat_formatting,
@@ -121,4 +127,12 @@ SELECT conv_id, turn, call_id, level, row_number() OVER (PARTITION BY conv_id OR
     '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
 FROM checked"""
 
-ORACLES: dict[str, str] = {"op9_chat_formatting": _CHAT_SQL, "op10_license_scan": _license_sql()}
+_SEARCH_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+ORACLES: dict[str, str] = {"op6_mtree_search": _SEARCH_SQL, "op9_chat_formatting": _CHAT_SQL, "op10_license_scan": _license_sql()}
