@@ -90,3 +90,13 @@ def scored(docs: DataFrame, extract: Extractor, score: Callable[[np.ndarray], di
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(x) for x in found.values())], names=["doc_id", *found])
 
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, {schema}")
+
+
+def kept(docs: DataFrame, extract: Extractor, keep: Callable[[np.ndarray], np.ndarray], weights: np.ndarray) -> DataFrame:
+    """The rows, with all their columns, whose sum of weights ``keep`` approves; nothing is shuffled."""
+
+    def run(batches):
+        for rows, row, feature in indicators(batches, extract):
+            yield rows.filter(pa.array(keep(np.bincount(row, weights=weights[feature], minlength=rows.num_rows))))
+
+    return docs.mapInArrow(run, docs.schema)

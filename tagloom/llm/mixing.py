@@ -139,3 +139,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     own = F.floor(F.col("copies") / F.col("n")) + (F.col("rank") < F.col("copies") % F.col("n")).cast("long")
     return every.join(rounded, ["key", "size"]).join(sources, "key").select(
         "doc_id", "size", "source_size", "target", (own * F.col("size")).alias("taken"), own.cast("int").alias("copies"), "rate")
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has copies, all columns unchanged.
+
+    Rows that share an id take the rounded mean of their copies; rows without id, which can't be told apart, one.
+    """
+    decided = mix(docs, weights, share, cap).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.round(F.avg("copies")).cast("int").alias("__copies"))
+    joined = docs.join(decided, F.col("doc_id") == F.col("__id"), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))).filter("__copies > 0")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")

@@ -419,3 +419,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, id_column:
     return info.join(resolved, ["n", "sig", "sig2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).alias("copies")
     )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with the document of the smallest id of every component; of repeated ids one row stays.
+
+    Rows without id can't be told apart and stay.
+    """
+    found = ngram_components(docs, k, percent, id_column, text_column)
+    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
+    with_id = docs.filter(F.col(id_column).isNotNull()).join(keep, F.col(id_column).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([id_column])
+    return with_id.union(docs.filter(F.col(id_column).isNull()))

@@ -11,10 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .features import DIM, examples, labelled_sample, words_and_stems, scored
+from .features import DIM, examples, kept, labelled_sample, scored, words_and_stems
 
 #: Labelled documents the fit may use, parts they are spread over, passes at most, and the weight penalty.
-SAMPLE, PARTS, STEPS, PENALTY = 20_000, 12, 40, 1.0
+SAMPLE, PARTS, STEPS, PENALTY = 20_000, 6, 30, 1.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -113,13 +113,22 @@ def fit(sample: DataFrame, grade_of: dict, grades: int, scale: np.ndarray) -> tu
         s, y = new - at, new_slope - slope
         if s @ y > 1e-10:
             history = [*history[-7:], (s, y)]
-        done = value - new_value <= 1e-4 * abs(value)
+        done = value - new_value <= 1e-3 * abs(value)
         at, value, slope = new, new_value, new_slope
         if done:
             break
     return at[:DIM] * scale, thresholds(at[DIM:])
 
 
+def model(docs: DataFrame, labels: DataFrame, grades: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of the features, thresholds)."""
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), most, words_and_stems, PARTS)
+    total, kinds = class_counts(sample)
+    scale = np.abs(np.log((total[1] + 0.5) / (kinds[1] + 1)) - np.log((total[0] + 0.5) / (kinds[0] + 1)))
+    weights, cut = fit(sample, severity_of(sample, total, kinds, grades), grades, scale)
+    return weights.astype(np.float32), cut
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, grades: int = 3, reject: float = 0.3, most: int = SAMPLE) -> DataFrame:
     """``(doc_id, severity, p_toxic, grade, predicted)`` of every row of ``docs(doc_id, text)``.
 
@@ -128,14 +137,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, grades: int = 3, reject: float
     texts have no features and score what the thresholds alone say.  Repeated rows score alike; rows without id are
     scored.  Without labels every text gets the same score.  Other columns are ignored.
     """
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True), most, words_and_stems, PARTS)
-    total, kinds = class_counts(sample)
-    scale = np.abs(np.log((total[1] + 0.5) / (kinds[1] + 1)) - np.log((total[0] + 0.5) / (kinds[0] + 1)))
-    weights, cut = fit(sample, severity_of(sample, total, kinds, grades), grades, scale)
-    weights = weights.astype(np.float32)
+    weights, cut = model(docs, labels, grades, most)
 
     def score(sums: np.ndarray) -> dict[str, np.ndarray]:
         above = _sigmoid(sums[:, None] - cut[None, :])
         return {"severity": above.sum(axis=1), "p_toxic": above[:, 0], "grade": (above >= 0.5).sum(axis=1).astype(np.int32), "predicted": (above[:, 0] >= reject).astype(np.int32)}
 
     return scored(docs, words_and_stems, score, weights, "severity double, p_toxic double, grade int, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, grades: int = 3, reject: float = 0.3, most: int = SAMPLE) -> DataFrame:
+    """``docs`` without the rows that ``toxicity`` predicts as toxic; all columns stay."""
+    weights, cut = model(docs, labels, grades, most)
+    return kept(docs, words_and_stems, lambda sums: _sigmoid(sums - cut[0]) < reject, weights)
