@@ -265,16 +265,19 @@ _PARTIAL = pa.schema([("a", pa.int64()), ("n", pa.int64()), ("partners", pa.bina
 
 
 def _segments_of_pairs(fragments: int):
-    """A class's segments, each with the classes it is to be counted against; the first row says who these are."""
+    """A class's segments, each with the classes it is to be counted against; the first row has these and their sizes."""
 
     def run(batches):
         for batch in batches:
             out = []
             for node, n, keys, partners in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "keys", "partners")), strict=True):
                 keys = np.sort(np.frombuffer(keys, np.uint64))
-                partners = np.unique(np.array(partners or [], np.int64)).tobytes()
+                known = {p["node"]: p["n"] for p in partners or []}
+                partners = np.array(sorted(known), np.int64)
+                sizes = np.array([known[p] for p in partners.tolist()], np.int64).tobytes()
+                partners = partners.tobytes()
                 if partners:
-                    out.append((-1 - node % fragments, node, n, None, partners))
+                    out.append((-1 - node % fragments, node, n, sizes, partners))
                 for f, lo, hi in _slices(_fragment(keys, fragments)):
                     out.append((f, node, n, keys[lo:hi].tobytes(), partners))
             for at in range(0, len(out), 4096):
@@ -288,7 +291,8 @@ def _partial_overlaps(table: pa.Table) -> pa.Table:
     frag, nodes, n = table.column("frag").to_pylist(), table.column("node").to_numpy(), table.column("n").to_pylist()
     partners = table.column("partners").to_pylist()
     if frag[0] < 0:
-        return pa.Table.from_arrays(_arrays([(a, m, p, None) for a, m, p in zip(nodes.tolist(), n, partners, strict=True)], _PARTIAL), schema=_PARTIAL)
+        known = zip(nodes.tolist(), n, partners, table.column("keys").to_pylist(), strict=True)
+        return pa.Table.from_arrays(_arrays(list(known), _PARTIAL), schema=_PARTIAL)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
     ids, index = np.unique(nodes, return_inverse=True)
     places = index.astype(np.uint64) * _PLACE
@@ -313,32 +317,32 @@ def _partial_overlaps(table: pa.Table) -> pa.Table:
 
 
 def _sum_overlaps(percent: int):
-    """A class: the fragments' counts summed per partner; pairs that fall short of its own size are dropped."""
+    """A class: the fragments' counts summed per partner, and the pairs that reach the threshold."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(*(table.column(c).to_pylist() for c in ("a", "n", "partners", "counts")), strict=True))
-        a, n, partners = next((a, n, np.frombuffer(p, np.int64)) for a, n, p, _ in rows if p is not None)
+        a, n, partners, sizes = next((a, n, np.frombuffer(p, np.int64), np.frombuffer(s, np.int64)) for a, n, p, s in rows if p is not None)
         total = np.zeros(len(partners), np.int64)
-        for *_, counts in rows:
-            if counts is not None:
+        for _, _, p, counts in rows:
+            if p is None:
                 total += np.frombuffer(counts, "<u4")
-        near = 100 * total >= percent * n
+        near = 100 * total >= percent * (n + sizes - total)
         return pa.table({"a": pa.array(np.full(int(near.sum()), a), pa.int64()), "b": pa.array(partners[near]), "overlap": pa.array(total[near])})
 
     return run
 
 
 def linked(live: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, overlap)`` of pairs that reach the threshold; ``partners(node, partners)`` lists what to compare with."""
+    """``(a, b, overlap)`` of pairs that reach the threshold.
+
+    ``partners(node, partners)`` lists the classes to compare each one with, as structs of node and size.
+    """
     entries = live.agg(F.sum(F.length("keys") / 8).alias("n")).first()["n"] or 0
     fragments = max(MIN_FRAGMENTS, -(-int(entries) // FRAGMENT_ENTRIES))
     rows = live.select("node", "n", "keys").join(partners, "node", "left")
     segments = rows.mapInArrow(_segments_of_pairs(fragments), "frag int, node long, n long, keys binary, partners binary")
     partial = segments.groupBy("frag").applyInArrow(_partial_overlaps, "a long, n long, partners binary, counts binary")
-    total = partial.groupBy("a").applyInArrow(_sum_overlaps(percent), "a long, b long, overlap long")
-    sizes = live.select("node", "n")
-    sized = total.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b", "overlap")
+    return partial.groupBy("a").applyInArrow(_sum_overlaps(percent), "a long, b long, overlap long")
 
 
 def _candidates(percent: int):
@@ -355,23 +359,27 @@ def _candidates(percent: int):
         lists[order] = np.repeat(np.arange(len(postings)), [len(p) for p in postings])
         by_node = np.argsort(of, kind="stable")
         begin = np.searchsorted(of[by_node], np.arange(len(ids) + 1))
-        out = []
+        out, cuts, held = [], [0], []
         for i in range(len(ids)):
             found = np.unique(np.concatenate([postings[j] for j in lists[by_node[begin[i] : begin[i + 1]]]]))
             found = found[found > i]
             found = found[(label[found] != label[i]) & (100 * np.minimum(n[found], n[i]) >= percent * np.maximum(n[found], n[i]))]
             if len(found):
-                out.append((int(ids[i]), ids[found]))
-        return pa.table({"node": pa.array([x[0] for x in out], pa.int64()), "found": pa.array([x[1] for x in out], pa.list_(pa.int64()))})
+                out.append(int(ids[i]))
+                held.append(found)
+                cuts.append(cuts[-1] + len(found))
+        held = np.concatenate(held) if held else np.zeros(0, np.int64)
+        partners = pa.StructArray.from_arrays([pa.array(ids[held], pa.int64()), pa.array(n[held], pa.int64())], names=["node", "n"])
+        return pa.table({"node": pa.array(out, pa.int64()), "found": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), partners)})
 
     return run
 
 
 def class_links(live: DataFrame, percent: int) -> DataFrame:
     """``(node, label)``: components of the classes under all links; see the module's third pass."""
-    keyed = live.select("node", F.posexplode("leaders").alias("turn", "least"))
-    lead = keyed.groupBy("turn", "least").agg(F.min("node").alias("lead"))
-    stars = keyed.join(lead, ["turn", "least"]).filter("node != lead").groupBy("node").agg(F.collect_set("lead").alias("partners"))
+    keyed = live.select("node", "n", F.posexplode("leaders").alias("turn", "least"))
+    lead = keyed.groupBy("turn", "least").agg(F.min(F.struct("node", "n")).alias("lead"))
+    stars = keyed.join(lead, ["turn", "least"]).filter("node != lead.node").groupBy("node").agg(F.collect_set("lead").alias("partners"))
     first = materialise(linked(live, stars, percent).select("a", "b"), "links")
     labels = components(first)
 
@@ -379,7 +387,7 @@ def class_links(live: DataFrame, percent: int) -> DataFrame:
     mixed = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
     entries = materialise(entries.join(mixed, "key", "left_semi"), "prefix")
     fragments = max(MIN_FRAGMENTS, -(-entries.count() // FRAGMENT_ENTRIES))
-    found = entries.groupBy(F.pmod("key", F.lit(fragments)).alias("frag")).applyInArrow(_candidates(percent), "node long, found array<long>")
+    found = entries.groupBy(F.pmod("key", F.lit(fragments)).alias("frag")).applyInArrow(_candidates(percent), "node long, found array<struct<node:long,n:long>>")
     others = found.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("partners"))
     still = live.join(entries.select("node").distinct(), "node", "left_semi")
     second = materialise(linked(still, others, percent).select("a", "b"), "links")
