@@ -28,25 +28,6 @@ WEIGHTED_TAG_PATTERN = r"^\((.+?)(?::[\d.]+)?(?<!\\)\)$"
 #: All characters Python's ``str.strip`` removes, from the rule itself.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
-#: A short neutral ladder; real vocabularies are user input (category, patterns), first match wins.
-DEFAULT_LADDER = (
-    ("artist", (r"by[\s_]\w.*", r"artist:.*")),
-    ("role", (r"\d?\+?(?:boy|girl|other)s?", "no humans")),
-    ("character", (r"character:.*", "cosplay")),
-    ("solo", ("solo",)),
-    ("style", (r"style:.*",)),
-    ("background", (r".*\bbackground\b.*",)),
-    ("eye", (r".*\beyes\b.*",)),
-    ("hair", (r".*\bhair\b.*",)),
-    ("clothes", (r".*\b(?:dress|shirt|skirt|hat|coat)s?\b.*",)),
-    ("aesthetic", ("detailed", "colorful", "beautiful")),
-    ("quality", (r"\b(?:" + "|".join(QUALITY_WORDS) + r") quality\b",)),
-)
-
-#: A short neutral list of feature patterns (hair and eyes); real lists are user input.
-DEFAULT_FEATURE_PATTERNS = (r".*\b(?:hair|eye|braid|ponytail)s?\b.*",)
-
-
 @dataclass(frozen=True)
 class Regex:
     """A regular expression in Python syntax; matching is anchored at the start of the tag."""
@@ -63,6 +44,11 @@ class Regex:
         return r"(?U)\A(?:" + java_regex(self.pattern) + ")"
 
 
+def loose(pattern: str) -> Regex:
+    """A pattern of tags as people write it: a blank also stands for an underscore."""
+    return Regex(r"[\s_]".join(pattern.split(" ")))
+
+
 def java_regex(pattern: str) -> str:
     """Python regex syntax to Java regex syntax (validated by Python first)."""
     re.compile(pattern)

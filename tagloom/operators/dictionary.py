@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import derived as dv, normal, tags as tg
 from ..functions.binding import let
-from ..functions.rules import DEFAULT_LADDER, LOWEST_PRIORITY, Regex
+from ..functions.rules import LOWEST_PRIORITY, Regex, loose
 from ..runtime import collect_if_small, explode_rows, gather
 
 INLINE_LIMIT = 5000
@@ -24,7 +24,7 @@ INLINE_PAIRS = 200
 
 def inline_kinds(tag_dict: DataFrame, limit: int = INLINE_LIMIT) -> dict[str, list[str]] | None:
     """``(kind, tag)`` rows as lists per kind if the dictionary is small, else None."""
-    rows = collect_if_small(tag_dict.select("kind", "tag").distinct(), limit)
+    rows = collect_if_small(tag_dict.select("kind", "tag").dropna().distinct(), limit)
     if rows is None:
         return None
     sets: dict[str, list[str]] = defaultdict(list)
@@ -60,7 +60,7 @@ def with_typed_tags(
         rank = F.when(F.col("kind") == kind, i).otherwise(rank)
     best = (
         tag_dict.withColumn("__rank", rank)
-        .filter(F.col("__rank").isNotNull())
+        .filter(F.col("__rank").isNotNull() & F.col("tag").isNotNull())
         .groupBy("tag")
         .agg(F.min_by("kind", "__rank").alias("kind"))
     )
@@ -79,8 +79,11 @@ def tag_types(df: DataFrame, typed: str = "typed", key: str = "image_key") -> Da
 
 
 def lookup_tag_table(df: DataFrame, table: DataFrame, tag: str = "tag", default: str | None = None) -> DataFrame:
-    """Add ``value`` of each tag from ``table(tag, value)``, found under its table form."""
-    keyed = table.select(normal.table_form(F.col("tag")).alias("__norm"), F.col("value"))
+    """Add ``value`` of each tag from ``table(tag, value)``, found under its table form.
+
+    Spellings with the same table form are one entry; the smallest value of them counts.
+    """
+    keyed = table.select(normal.table_form(F.col("tag")).alias("__norm"), "value").groupBy("__norm").agg(F.min("value").alias("value"))
     return (
         df.withColumn("__norm", normal.table_form(F.col(tag)))
         .join(keyed, "__norm", "left")
@@ -91,43 +94,65 @@ def lookup_tag_table(df: DataFrame, table: DataFrame, tag: str = "tag", default:
 
 # -- priorities ------------------------------------------------------------------------------------
 
-Ladder = Sequence[tuple[str, Sequence[str]]]
+#: Rows ``(level, category, pattern)`` or a table of them; a category matches if one of its patterns does.
+Ladder = DataFrame | Sequence[tuple[int, str, str]]
+LADDER_LIMIT = 10_000
+
 
+def ladder_levels(ladder: Ladder) -> list[tuple[int, str, list[Regex]]]:
+    """Levels in order with their compiled patterns.  A ladder is a parameter: a table of too many rows is refused."""
+    if isinstance(ladder, DataFrame):
+        rows = collect_if_small(ladder.select("level", "category", "pattern").dropna().distinct(), LADDER_LIMIT)
+        if rows is None:
+            raise ValueError(f"a ladder has at most {LADDER_LIMIT} rows")
+        ladder = [tuple(r) for r in rows]
+    levels: dict[tuple[int, str], list[Regex]] = defaultdict(list)
+    for level, category, pattern in sorted(ladder):
+        if pattern.strip():
+            levels[level, category].append(loose(pattern))
+    return [(level, category, patterns) for (level, category), patterns in levels.items()]
 
-def ladder_patterns(ladder: Ladder = DEFAULT_LADDER) -> list[Regex]:
-    """One regex per category; spaces in patterns also match underscores."""
-    return [Regex("|".join(p for p in patterns if p.strip()).replace(" ", r"[\s_]")) for _, patterns in ladder]
 
+def ladder_priority(ladder: Ladder) -> Callable[[Column], Column]:
+    """Priority of a tag: the first level with a matching pattern."""
+    levels = ladder_levels(ladder)
 
-def ladder_priority(ladder: Ladder = DEFAULT_LADDER) -> Callable[[Column], Column]:
-    """Priority of a tag as its first matching category of the ladder."""
-    patterns = ladder_patterns(ladder)
-    return lambda tag: tg.first_level(tag, patterns, LOWEST_PRIORITY)
+    def priority(tag: Column) -> Column:
+        hits = [F.when(tg.matches(tag, patterns), level) for level, _, patterns in levels]
+        return F.coalesce(*hits, F.lit(LOWEST_PRIORITY))
+
+    return priority
 
 
 def _category_rules(tag: Column, ladder: Ladder, aesthetic: Sequence[str]) -> Column:
-    index = {name: i for i, (name, _) in enumerate(ladder)}
-    chain = (
-        F.when(tag.startswith("artist:"), index["artist"])
-        .when(tag.startswith("character:"), index["character"])
-        .when(tag.startswith("style:"), index["style"])
-        .when(F.contains(tag, F.lit("quality")), index["quality"])
-    )
-    return chain.when(tag.isin(list(aesthetic)), index["aesthetic"]) if aesthetic else chain
+    index = {category: level for level, category, _ in ladder_levels(ladder)}
+    found = {
+        "artist": tag.startswith("artist:"),
+        "character": tag.startswith("character:"),
+        "style": tag.startswith("style:"),
+        "quality": F.contains(tag, F.lit("quality")),
+    }
+    if aesthetic:
+        found["aesthetic"] = tag.isin(list(aesthetic))
+    return F.coalesce(*[F.when(hit, index[name]) for name, hit in found.items() if name in index], F.lit(None).cast("int"))
 
 
 def with_table_priorities(
     df: DataFrame,
     priority_table: DataFrame,
-    ladder: Ladder = DEFAULT_LADDER,
+    ladder: Ladder,
     aesthetic: Sequence[str] = (),
     tags: str = "tags",
     key: str = "image_key",
     out: str = "priorities",
     inline_limit: int = INLINE_LIMIT,
 ) -> DataFrame:
-    """Add the priority of every tag: prefix and quality rules first, then ``priority_table(tag, priority)``."""
-    rows = collect_if_small(priority_table.select("tag", "priority").distinct(), inline_limit)
+    """Add the priority of every tag: prefix and quality rules first, then ``priority_table(tag, priority)``.
+
+    A tag that the table lists several times has the smallest of its priorities; null entries do not count.
+    """
+    priority_table = priority_table.select("tag", "priority").dropna().groupBy("tag").agg(F.min("priority").alias("priority"))
+    rows = collect_if_small(priority_table, inline_limit)
     if rows is not None:
         by_level: dict[int, list[str]] = defaultdict(list)
         for row in sorted(rows):
@@ -171,10 +196,15 @@ def sort_by_priority(tags: Column, priorities: Column | Callable[[Column], Colum
 # -- de-overlap --------------------------------------------------------------------------------------
 
 
-def _drop_overlapped(tags: Column, children_of: Callable[[Column], Column]) -> Column:
+def _drop_overlapped(
+    tags: Column, children_of: Callable[[Column], Column], covering: Callable[[Column], Column] | None = None
+) -> Column:
     """Walk distinct forms in caption order; a form not yet suppressed suppresses its children."""
     forms = F.array_distinct(F.transform(tags, lambda t: normal.underscore_form(t)))
 
+    if covering is not None:  # only these suppress anything, and a caption holds few of them
+        forms = F.filter(forms, covering)
+
     def step(gone: Column, form: Column) -> Column:
         more = F.coalesce(children_of(form), tg.empty())
         return F.when(F.array_contains(gone, form), gone).otherwise(F.concat(gone, more))
@@ -192,8 +222,12 @@ def deoverlap(
     key: str = "image_key",
     inline_limit: int = INLINE_PAIRS,
 ) -> DataFrame:
-    """Drop tags that a more specific tag of the same caption covers; ``overlap(query, parents, children)``."""
-    table = overlap.filter(F.size("children") > 0).select("query", "children")
+    """Drop tags that a more specific tag of the same caption covers; ``overlap(query, parents, children)``.
+
+    A query listed several times covers the children of all its rows; null queries and children do not count.
+    """
+    pairs = explode_rows(overlap.filter(F.col("query").isNotNull()), ["query"], F.col("children"), "__child")
+    table = pairs.groupBy("query").agg(F.sort_array(F.collect_set("__child")).alias("children"))
     rows = collect_if_small(table, inline_limit)
     if rows is not None:
         def children_of(form: Column) -> Column:
@@ -204,7 +238,8 @@ def deoverlap(
                 chain = F.when(chain_hit, value) if chain is None else chain.when(chain_hit, value)
             return tg.empty() if chain is None else chain
 
-        return df.withColumn(tags, _drop_overlapped(F.col(tags), children_of))
+        names = [row.query for row in rows]
+        return df.withColumn(tags, _drop_overlapped(F.col(tags), children_of, lambda form: form.isin(names)))
     distinct_forms = F.array_distinct(F.transform(F.col(tags), lambda t: normal.underscore_form(t)))
     forms = explode_rows(df, [key], distinct_forms, "query")
     hits = gather(
@@ -214,7 +249,14 @@ def deoverlap(
     )
     return (
         df.join(hits, key, "left")
-        .withColumn(tags, _drop_overlapped(F.col(tags), lambda form: F.try_element_at(F.col("__children"), form)))
+        .withColumn(
+            tags,
+            _drop_overlapped(
+                F.col(tags),
+                lambda form: F.try_element_at(F.col("__children"), form),
+                lambda form: F.coalesce(F.map_contains_key(F.col("__children"), form), F.lit(False)),
+            ),
+        )
         .drop("__children")
     )
 
@@ -264,17 +306,13 @@ def optimise(
     df: DataFrame,
     tag_dict: DataFrame,
     overlap: DataFrame,
+    ladder: Ladder,
     unwanted: Sequence[str | Regex] = (),
-    ladder: Ladder = DEFAULT_LADDER,
     tags: str = "tags",
     key: str = "image_key",
 ) -> DataFrame:
     """Formalise, de-duplicate, remove unwanted tags, order by the ladder, de-overlap."""
     typed = with_typed_tags(df, tag_dict, tags=tags, key=key, out="__typed")
-    edited = typed.withColumn(
-        tags,
-        tg.prioritise(
-            tg.remove(tg.unique(dv.formalise(F.col("__typed"))), list(unwanted)), ladder_patterns(ladder)
-        ),
-    ).drop("__typed")
+    wanted = tg.remove(tg.unique(dv.formalise(F.col("__typed"))), list(unwanted))
+    edited = typed.withColumn(tags, sort_by_priority(wanted, ladder_priority(ladder))).drop("__typed")
     return deoverlap(edited, overlap, tags=tags, key=key)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import normal
 from ..runtime import explode_rows
@@ -61,17 +61,23 @@ def apply_changes(stored: DataFrame, changes: DataFrame, key: str = KEY, op: str
 def first_source_wins(sources: Sequence[DataFrame], order: str | None = None, key: str = KEY) -> DataFrame:
     """Union of sources; of a duplicate key the first source's (and there the first) record is kept.
 
-    ``min_by`` keeps one record per key already on the map side, so a hot key does not gather in one task.
+    Records of one source come in the order of ``order``; without it, and among equals, the smallest path is first,
+    then the smallest hash of the record, so the winner never depends on the run.  A rank-limit window is cut before
+    the shuffle, so a hot key sends one record per task.
     """
-    rank = lambda df, i: df.withColumn(
-        "__rank", F.struct(F.lit(i).alias("src"), (F.col(order) if order else F.lit(0)).alias("ord"))
-    )
+
+    def rank(df: DataFrame, i: int) -> DataFrame:
+        path = F.col("image_path") if "image_path" in df.columns else F.lit(None).cast("string")
+        whole = F.xxhash64(F.to_json(F.struct(*[c for c in df.columns if c != key])))
+        ranks = {"__source": F.lit(i), "__order": F.col(order) if order else F.lit(0), "__path": path, "__whole": whole}
+        return df.withColumns(ranks)
+
     merged = rank(sources[0], 0)
     for i, source in enumerate(sources[1:], start=1):
         merged = merged.unionByName(rank(source, i), allowMissingColumns=True)
-    fields = [c for c in merged.columns if c not in (key, "__rank")]
-    picked = merged.groupBy(key).agg(F.min_by(F.struct(*fields), "__rank").alias("__r"))
-    return picked.select(key, "__r.*")
+    ranks = ["__source", "__order", "__path", "__whole"]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*ranks))
+    return merged.withColumn("__n", first).filter("__n = 1").drop("__n", *ranks)
 
 
 def cache_override(source: DataFrame, cache: DataFrame, key: str = KEY) -> DataFrame:
@@ -85,7 +91,7 @@ def cache_override(source: DataFrame, cache: DataFrame, key: str = KEY) -> DataF
 def compact_edits(edits: DataFrame, key: str = KEY, seq: str = "seq", op: str = "op") -> DataFrame:
     """Last version per key of an edit log, without the keys whose last edit deletes.
 
-    ``max_by`` aggregates map-side, so a key with very many edits costs one row per task.
+    A rank-limit window cuts before the shuffle, so a key with very many edits sends one row per task.
     """
     last = latest_edits(edits, key, seq)
     return last.filter(F.col(op) != "D").drop(op)
@@ -93,8 +99,8 @@ def compact_edits(edits: DataFrame, key: str = KEY, seq: str = "seq", op: str =
 
 def latest_edits(edits: DataFrame, key: str = KEY, seq: str = "seq") -> DataFrame:
     """Last edit per key, deletions included."""
-    fields = [c for c in edits.columns if c != key]
-    return edits.groupBy(key).agg(F.max_by(F.struct(*fields), seq).alias("__r")).select(key, "__r.*")
+    newest = Window.partitionBy(key).orderBy(F.col(seq).desc())
+    return edits.withColumn("__n", F.row_number().over(newest)).filter("__n = 1").drop("__n")
 
 
 def index_delta(before: DataFrame, after: DataFrame, tags: str = "tags", key: str = KEY) -> DataFrame:

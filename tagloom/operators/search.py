@@ -147,10 +147,10 @@ def existing_files(df: DataFrame, listing: DataFrame, path: str = "image_path")
 
 
 def posts_with_all_tags(posts: DataFrame, tag_dim: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Posts whose ``tag_ids`` hold the ids of all given tag names; an unknown name is an error."""
+    """Posts whose ``tag_ids`` hold an id of each given tag name; an unknown name is an error."""
     wanted = sorted(set(names))
-    ids = [r.id for r in tag_dim.filter(F.col("name").isin(wanted)).select("id", "name").distinct().collect()]
-    if len(ids) < len(wanted):
-        raise KeyError("unknown tag name")
-    hits = [F.array_contains("tag_ids", F.lit(i).cast("bigint")) for i in ids]
-    return posts.filter(reduce(lambda a, b: a & b, hits)) if hits else posts
+    rows = tag_dim.filter(F.col("name").isin(wanted) & F.col("id").isNotNull()).groupBy("name").agg(F.collect_set("id").alias("ids")).collect()
+    if unknown := set(wanted) - {r.name for r in rows}:
+        raise KeyError(f"unknown tag names: {', '.join(sorted(unknown))}")
+    hits = [F.arrays_overlap("tag_ids", F.array(*[F.lit(i).cast("bigint") for i in r.ids])) for r in rows]
+    return posts.filter(F.coalesce(reduce(lambda a, b: a & b, hits), F.lit(False))) if hits else posts

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import derived as dv, normal, paths, tags as tg
-from ..functions.rules import DEFAULT_FEATURE_PATTERNS, Regex
-from ..runtime import explode_rows
+from ..functions.rules import Regex, loose
+from ..runtime import collect_if_small, explode_rows
 
 
 def inverted_index(df: DataFrame, style_tags: Sequence[str] = (), typed: str = "typed", key: str = "image_key") -> DataFrame:
@@ -20,6 +20,11 @@ def inverted_index(df: DataFrame, style_tags: Sequence[str] = (), typed: str = "
     return entries.select("e.tag", key, "e.is_artist", "e.is_character", "e.is_style")
 
 
+def term_index(df: DataFrame, style_tags: Sequence[str] = (), tags: str = "tags", key: str = "image_key") -> DataFrame:
+    """``(tag, key)``: the same index without types, straight from the tags; no dictionary is looked up."""
+    return explode_rows(df, [key], dv.search_terms(F.col(tags), style_tags), "tag").select("tag", key)
+
+
 def keys_per_tag(index: DataFrame, tags: Sequence[str], key: str = "image_key") -> DataFrame:
     """Rows of the index for the given tags; kept long, so a hot tag stays spread over partitions."""
     return index.filter(F.col("tag").isin(list(tags))).select("tag", key)
@@ -30,11 +35,9 @@ def tag_frequency(index: DataFrame, threshold: int = 1, kind: str | None = None)
 
     Index rows are distinct per record, so a plain count with map-side partial sums is exact.
     """
-    flags = [F.max(f"is_{k}").alias(f"is_{k}") for k in ("artist", "character", "style")]
-    counted = index.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), *flags).filter(F.col("n") >= threshold)
-    if kind is not None:
-        counted = counted.filter(F.col(f"is_{kind}"))
-    return counted.select("tag", "n")
+    typed = [F.max(f"is_{kind}").alias("typed")] if kind is not None else []
+    counted = index.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), *typed).filter(F.col("n") >= threshold)
+    return (counted.filter("typed") if typed else counted).select("tag", "n")
 
 
 def _prefixed_characters(tags):
@@ -56,17 +59,30 @@ def co_occurrence(df: DataFrame, tags: str = "tags", distinct: bool = False) ->
     return pairs.groupBy("character", "tag").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _is_feature(tag, patterns: Sequence[str]):
-    compiled = [Regex(p.replace(" ", r"[\s_]")) for p in patterns]
-    return tg.matches(normal.space_form(tag), compiled)
+Patterns = DataFrame | Sequence[str]
+PATTERN_LIMIT = 10_000
+
+
+def feature_patterns(patterns: Patterns) -> list[Regex]:
+    """Patterns of feature tags, given as a list or as a table ``(pattern)``: a parameter of bounded size."""
+    if isinstance(patterns, DataFrame):
+        rows = collect_if_small(patterns.select("pattern").dropna().distinct(), PATTERN_LIMIT)
+        if rows is None:
+            raise ValueError(f"at most {PATTERN_LIMIT} patterns")
+        patterns = sorted(r.pattern for r in rows)
+    return [loose(p) for p in patterns]
+
+
+def _is_feature(tag, patterns: Patterns):
+    return tg.matches(normal.space_form(tag), feature_patterns(patterns))
 
 
 def features_from_counts(
     counts: DataFrame,
+    patterns: Patterns,
     freq_threshold: float = 0.3,
     count_threshold: int = 1,
     least_sample_size: int = 50,
-    patterns: Sequence[str] = DEFAULT_FEATURE_PATTERNS,
 ) -> DataFrame:
     """Counts to ``(character, feature, cnt, freq)``.
 
@@ -89,7 +105,7 @@ def features_from_counts(
 
 
 def features_from_freqs(
-    freqs: DataFrame, freq_threshold: float = 0.3, patterns: Sequence[str] = DEFAULT_FEATURE_PATTERNS
+    freqs: DataFrame, patterns: Patterns, freq_threshold: float = 0.3
 ) -> DataFrame:
     """Frequencies ``(character, tag, freq)`` to a feature table."""
     kept = freqs.filter((F.col("freq") >= freq_threshold) & _is_feature(F.col("tag"), patterns))
@@ -99,15 +115,15 @@ def features_from_freqs(
 def character_features(
     df: DataFrame,
     retype,
+    patterns: Patterns,
     tags: str = "tags",
-    patterns: Sequence[str] = DEFAULT_FEATURE_PATTERNS,
 ) -> DataFrame:
     """``(character, feature, cnt, freq)`` over captions with spaces and escapes.
 
     ``retype`` adds the ``typed`` column.  A null marker per character occurrence counts the captions in the same
     aggregate as the features.
     """
-    compiled = [Regex(p.replace(" ", r"[\s_]")) for p in patterns]
+    compiled = feature_patterns(patterns)
     prepared = retype(df.drop("typed").withColumn(tags, tg.escaped(tg.spaced(F.col(tags)))))
     marker = F.array(F.lit(None).cast("string"))
     found = prepared.select(

@@ -134,13 +134,9 @@ query(
 # -- priorities ---------------------------------------------------------------------------------------
 
 LADDER_SQL = (
-    r"CASE WHEN regexp_matches(x, '^(?:by[\s_]\w.*|artist:.*)') THEN 0 WHEN regexp_matches(x, '^(?:\d?\+?(?:boy|girl|other)s?|no[\s_]humans)') THEN 1 "
-    r"WHEN regexp_matches(x, '^(?:character:.*|cosplay)') THEN 2 WHEN regexp_matches(x, '^(?:solo)') THEN 3 "
-    r"WHEN regexp_matches(x, '^(?:style:.*)') THEN 4 WHEN regexp_matches(x, '^(?:.*\bbackground\b.*)') THEN 5 "
-    r"WHEN regexp_matches(x, '^(?:.*\beyes\b.*)') THEN 6 WHEN regexp_matches(x, '^(?:.*\bhair\b.*)') THEN 7 "
-    r"WHEN regexp_matches(x, '^(?:.*\b(?:dress|shirt|skirt|hat|coat)s?\b.*)') THEN 8 "
-    r"WHEN regexp_matches(x, '^(?:detailed|colorful|beautiful)') THEN 9 "
-    r"WHEN regexp_matches(x, '^(?:\b(?:amazing|best|high|normal|low|worst|horrible)[\s_]quality\b)') THEN 10 ELSE 999 END"
+    "CASE WHEN starts_with(x, 'artist:') THEN 0 WHEN starts_with(x, 'character:') THEN 1 WHEN starts_with(x, 'style:') THEN 2 ELSE "
+    r"coalesce((SELECT list_position(list_sort(list(DISTINCT split_part(p_name, ' ', 1))), nullif(regexp_extract(x, '^([^\s_]+)[\s_].*', 1), '')) + 2 FROM part), "
+    r"CASE WHEN regexp_matches(x, '^(?:\w+[\s_]quality\b)') THEN 500 ELSE 999 END) END"
 )
 
 
@@ -154,27 +150,42 @@ def sorted_rows(level: str, extra: str = "", parts: str = "") -> str:
 
 
 query("c20_sort_by_ladder", sorted_rows(LADDER_SQL))(
-    lambda t: out(t.records, dc.sort_by_priority(T(), dc.ladder_priority()))
+    lambda t: out(t.records, dc.sort_by_priority(T(), dc.ladder_priority(t.ladder)))
 )
 query("c20_sort_by_ladder_reverse", sorted_rows(f"-({LADDER_SQL})"))(
-    lambda t: out(t.records, dc.sort_by_priority(T(), dc.ladder_priority(), reverse=True))
+    lambda t: out(t.records, dc.sort_by_priority(T(), dc.ladder_priority(t.ladder), reverse=True))
 )
 TABLE_SQL = (
-    "CASE WHEN starts_with(x, 'artist:') THEN 0 WHEN starts_with(x, 'character:') THEN 2 WHEN starts_with(x, 'style:') THEN 4 "
-    "WHEN contains(x, 'quality') THEN 10 ELSE coalesce(size, 999) END"
+    "CASE WHEN starts_with(x, 'artist:') THEN 0 WHEN starts_with(x, 'character:') THEN 1 WHEN starts_with(x, 'style:') THEN 2 "
+    "WHEN contains(x, 'quality') THEN 500 ELSE coalesce(size, 999) END"
 )
 TABLE_QUERY = sorted_rows(TABLE_SQL, f"LEFT JOIN names ON replace(p_name, ' ', '_') = {q.prio_key('x')}")
 query("c20_sort_by_table", TABLE_QUERY, "records", "names")(
     lambda t: out(
-        dc.with_table_priorities(t.records, t.priority_table), dc.sort_by_priority(T(), F.col("priorities"))
+        dc.with_table_priorities(t.records, t.priority_table, t.ladder), dc.sort_by_priority(T(), F.col("priorities"))
     )
 )
 query("c20_sort_by_table_joined", TABLE_QUERY, "records", "names")(
     lambda t: out(
-        dc.with_table_priorities(t.records, t.priority_table, inline_limit=0), dc.sort_by_priority(T(), F.col("priorities"))
+        dc.with_table_priorities(t.records, t.priority_table, t.ladder, inline_limit=0), dc.sort_by_priority(T(), F.col("priorities"))
     )
 )
 
+
+def repeated(table: DataFrame, **changed) -> DataFrame:
+    """A table with every row twice, a second version of it, and a row of nulls."""
+    nulls = table.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields]).limit(1)
+    return table.union(table).union(table.withColumns(changed).select(*table.columns)).union(nulls)
+
+
+for suffix, limit in (("", dc.INLINE_LIMIT), ("_joined", 0)):
+    query(f"c20_sort_by_repeated_table{suffix}", TABLE_QUERY, "records", "names")(
+        lambda t, limit=limit: out(
+            dc.with_table_priorities(t.records, repeated(t.priority_table, priority=F.col("priority") + 7), t.ladder, inline_limit=limit),
+            dc.sort_by_priority(T(), F.col("priorities")),
+        )
+    )
+
 # -- overlap --------------------------------------------------------------------------------------------
 
 
@@ -197,6 +208,10 @@ query("c21_deoverlap", deoverlap_sql("tags", "records"), "records", "overlap")(
 query("c21_deoverlap_joined", deoverlap_sql("tags", "records"), "records", "overlap")(
     lambda t: out(dc.deoverlap(t.records, t.overlap, inline_limit=0), T())
 )
+for suffix, limit in (("", dc.INLINE_PAIRS), ("_joined", 0)):
+    query(f"c21_deoverlap_repeated{suffix}", deoverlap_sql("tags", "records"), "records", "overlap")(
+        lambda t, limit=limit: out(dc.deoverlap(t.records, repeated(t.overlap, children=F.slice("children", 1, 1)), inline_limit=limit), T())
+    )
 
 # -- types --------------------------------------------------------------------------------------------------
 
@@ -355,7 +370,7 @@ query(
     "WITH " + OPTIMISED + ",\n" + deoverlap_sql("t4", "o4")[5:],
     "typed",
     "overlap",
-)(lambda t: out(dc.optimise(t.records, t.tag_dict, t.overlap, ["low quality", "red ring"]), T()))
+)(lambda t: out(dc.optimise(t.records, t.tag_dict, t.overlap, t.ladder, ["low quality", "red ring"]), T()))
 query("c37_ascii_only", r"SELECT doc_id, regexp_replace(text, '[^\x00-\x7f]', '', 'g') AS text FROM documents")(
     lambda t: t.table("documents").select("doc_id", normal.ascii_only(F.col("text")).alias("text"))
 )

@@ -10,7 +10,7 @@ from ..operators import dictionary as dc, lookup as lk, merge as mg, predictions
 from ..runtime import explode_rows, scratch_path
 from ..sources import writers as wr
 from . import sqltext as q
-from .captions import out, rows
+from .captions import out, repeated, rows
 from .recordset import P
 from .registry import query
 from .tables import STYLE_TAGS, Tables
@@ -86,7 +86,7 @@ query(
 
 def stored_index(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "index")
-    wr.write_index(st.inverted_index(t.typed, STYLE_TAGS).select("tag", "image_key"), path)
+    wr.write_index(st.term_index(t.records, STYLE_TAGS), path)
     return t.spark.read.parquet(path)
 
 
@@ -156,6 +156,17 @@ query(
 query("f10_existing_files", "SELECT image_key FROM records WHERE caption IS NOT NULL")(
     lambda t: keys(sr.existing_files(t.records, t.listing))
 )
+query(
+    "f11_posts_tags_with_two_ids",
+    """WITH twice AS (SELECT id, name FROM dim UNION ALL SELECT id, 'red ring' FROM dim WHERE name = 'old bolt')
+    SELECT DISTINCT p.id FROM post_ids p WHERE tag_id IN (SELECT id FROM twice WHERE name = 'red ring')
+       AND p.id IN (SELECT id FROM post_ids WHERE tag_id IN (SELECT id FROM dim WHERE name = 'new bolt'))""",
+    "posts",
+)(
+    lambda t: sr.posts_with_all_tags(
+        t.posts, t.tag_rows.select("id", "name").union(t.tag_rows.filter("name = 'old bolt'").select("id", F.lit("red ring"))), ["red ring", "new bolt"]
+    ).select("id")
+)
 query(
     "f11_posts_all_tags",
     """SELECT id FROM post_ids WHERE tag_id IN (SELECT id FROM dim WHERE name IN ('red ring', 'old bolt'))
@@ -176,12 +187,18 @@ query("j01_tag_types", TYPES, "typed")(lambda t: typed_rows(t.typed))
 query("j01_tag_types_joined", TYPES, "typed")(
     lambda t: typed_rows(dc.with_typed_tags(t.records, t.tag_dict, inline_limit=0))
 )
-query(
-    "j02_tag_table",
-    f"""SELECT image_key, x AS tag, coalesce(CAST(cnt AS VARCHAR), 'none') AS value
-    FROM (SELECT image_key, unnest(tags) AS x FROM records) LEFT JOIN names ON replace(p_name, ' ', '_') = trim({q.prio_key('x')}, '_')""",
-    "records", "names",
-)(
+for joined_name, joined_limit in (("j01_tag_types_repeated", dc.INLINE_LIMIT), ("j01_tag_types_repeated_joined", 0)):
+    query(joined_name, TYPES, "typed")(
+        lambda t, limit=joined_limit: typed_rows(dc.with_typed_tags(t.records, repeated(t.tag_dict), inline_limit=limit))
+    )
+J02 = f"""SELECT image_key, x AS tag, coalesce(CAST(cnt AS VARCHAR), 'none') AS value
+    FROM (SELECT image_key, unnest(tags) AS x FROM records) LEFT JOIN names ON replace(p_name, ' ', '_') = trim({q.prio_key('x')}, '_')"""
+query("j02_tag_table_spellings", J02, "records", "names")(
+    lambda t: dc.lookup_tag_table(
+        explode_rows(t.records, ["image_key"], F.col("tags"), "tag"), repeated(t.tag_table, tag=F.initcap(F.replace("tag", F.lit("_"), F.lit(" ")))), default="none"
+    ).select("image_key", "tag", "value")
+)
+query("j02_tag_table", J02, "records", "names")(
     lambda t: dc.lookup_tag_table(explode_rows(t.records, ["image_key"], F.col("tags"), "tag"), t.tag_table, default="none")
     .select("image_key", "tag", "value")
 )
@@ -249,11 +266,12 @@ def index(t: Tables) -> DataFrame:
 
 
 query("a01_inverted_index", f"WITH {INDEX} SELECT * FROM idx", "full")(index)
+query("a01_term_index", f"WITH {INDEX} SELECT tag, image_key FROM idx", "full")(lambda t: st.term_index(t.records, STYLE_TAGS))
 query("a01_keys_per_tag", f"WITH {INDEX} SELECT tag, image_key FROM idx WHERE tag IN ('red_ring', 'old_bolt')", "full")(
     lambda t: st.keys_per_tag(index(t), ["red_ring", "old_bolt"])
 )
 query("a02_tag_frequency", f"WITH {INDEX} SELECT tag, count(*) AS n FROM idx GROUP BY tag HAVING count(*) >= 20", "full")(
-    lambda t: st.tag_frequency(index(t), 20)
+    lambda t: st.tag_frequency(st.term_index(t.records, STYLE_TAGS), 20)
 )
 for kind in ("artist", "character", "style"):
     query(
@@ -265,13 +283,12 @@ query(
     "a02_tag_list",
     f"WITH {INDEX} SELECT tag, count(*) AS n FROM idx GROUP BY tag ORDER BY n DESC, tag LIMIT 50",
     "full",
-)(lambda t: st.tag_frequency(index(t)).orderBy(F.desc("n"), "tag").limit(50))
+)(lambda t: st.tag_frequency(st.term_index(t.records, STYLE_TAGS)).orderBy(F.desc("n"), "tag").limit(50))
 
 COUNTS = f"""pairs AS (SELECT {q.space("trim(string_split(c, ':')[2])")} AS character, {q.space('x')} AS tag
     FROM (SELECT c, unnest(tags) AS x FROM (SELECT tags, unnest(list_filter(tags, lambda y: starts_with(y, 'character:'))) AS c FROM records))),
   counts AS (SELECT character, tag, count(*) AS cnt FROM pairs GROUP BY 1, 2)"""
 query("a03_co_occurrence", f"WITH {COUNTS} SELECT * FROM counts")(lambda t: st.co_occurrence(t.records))
-FEATURE = [r".*\b(?:red|old|hot)\b.*"]
 FEATURE_SQL = r"regexp_matches(tag, '^(?:.*\b(?:red|old|hot)\b.*)')"
 query(
     "a04_features_from_counts",
@@ -279,7 +296,7 @@ query(
     SELECT c.character, tag AS feature, cnt, round(cnt / total, 9) AS freq FROM counts c JOIN totals t ON t.character = c.character
     WHERE total >= 5 AND cnt >= 2 AND cnt / total >= 0.02 AND {FEATURE_SQL}""",
 )(
-    lambda t: st.features_from_counts(st.co_occurrence(t.records), 0.02, 2, 5, FEATURE).withColumn("freq", F.round("freq", 9))
+    lambda t: st.features_from_counts(st.co_occurrence(t.records), t.feature_patterns, 0.02, 2, 5).withColumn("freq", F.round("freq", 9))
 )
 query(
     "a05_features_from_freqs",
@@ -290,7 +307,7 @@ query(
         (lambda c: c.join(c.groupBy("character").agg(F.sum("cnt").alias("s")), "character").select("character", "tag", (F.col("cnt") / F.col("s")).alias("freq")))(
             st.co_occurrence(t.records)
         ),
-        0.02, FEATURE,
+        t.feature_patterns, 0.02,
     ).withColumn("freq", F.round("freq", 9))
 )
 query(
@@ -302,7 +319,7 @@ query(
     f AS (SELECT character, feature, count(*) AS cnt FROM (SELECT character, unnest(list_filter(tags, lambda x: regexp_matches({q.space('x')}, '^(?:.*\b(?:red|old|hot)\b.*)'))) AS feature FROM c) GROUP BY 1, 2)
     SELECT f.character, feature, cnt, round(cnt / total, 9) AS freq FROM f JOIN totals t ON t.character = f.character""",
     "records", "dict",
-)(lambda t: st.character_features(t.records, t.retype, patterns=FEATURE).withColumn("freq", F.round("freq", 9)))
+)(lambda t: st.character_features(t.records, t.retype, t.feature_patterns).withColumn("freq", F.round("freq", 9)))
 
 REPORT = """report AS (SELECT 'missing_caption' AS kind, image_key FROM records WHERE caption IS NULL
     UNION ALL SELECT 'missing_image_file', image_key FROM records WHERE caption IS NULL)"""

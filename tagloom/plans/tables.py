@@ -160,6 +160,23 @@ class Tables:
             F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("tag"), F.col("size").cast("int").alias("priority")
         )
 
+    @cached_property
+    def ladder(self) -> DataFrame:
+        """``(level, category, pattern)``: prefixes first, then one level for each first word of a part's name, quality last."""
+        words = self.part_names.select(F.substring_index("p_name", " ", 1).alias("word")).groupBy().agg(F.sort_array(F.collect_set("word")).alias("words"))
+        rows = F.concat(
+            F.array(*[F.struct(F.lit(i).alias("level"), F.lit(c).alias("category"), F.lit(f"{c}:.*").alias("pattern")) for i, c in enumerate(("artist", "character", "style"))]),
+            F.transform("words", lambda w, i: F.struct((i + 3).alias("level"), w.alias("category"), F.concat(w, F.lit(" .*")).alias("pattern"))),
+            F.array(F.struct(F.lit(500).alias("level"), F.lit("quality").alias("category"), F.lit(r"\w+ quality\b").alias("pattern"))),
+        )
+        return words.select(F.explode(rows).alias("r")).select("r.*")
+
+    @cached_property
+    def feature_patterns(self) -> DataFrame:
+        """``(pattern)``: tags with one of the first words that mark features here."""
+        words = self.part_names.select(F.substring_index("p_name", " ", 1).alias("word")).filter(F.col("word").isin("red", "old", "hot")).distinct()
+        return words.select(F.concat(F.lit(r".*\b"), "word", F.lit(r"\b.*")).alias("pattern"))
+
     @cached_property
     def tag_table(self) -> DataFrame:
         return self.part_names.select(

@@ -233,9 +233,12 @@ def load(
     key_condition: Column | None = None,
     order: str | None = None,
 ) -> DataFrame:
-    """Several sources as one dataset: key filter before anything else, first source wins, then cached records."""
+    """Several sources as one dataset: key filter before anything else, first source wins, then cached records.
+
+    Keys are unique afterwards, also those of a single source.
+    """
     scoped = [s.filter(key_condition) if key_condition is not None else s for s in sources]
-    merged = first_source_wins(scoped, order) if len(scoped) > 1 or order else scoped[0]
+    merged = first_source_wins(scoped, order)
     return merged if cache is None else cache_override(merged, cache)
 
 

@@ -9,6 +9,8 @@ from tagloom.operators import dictionary as dc
 
 SETS = {"character": ["ganyu_(genshin_impact)", "honma_meiko"], "style": ["3d"], "artist": ["some_artist"]}
 
+LADDER = [(0, "count", r"\d\+?(?:boy|girl)s?"), (1, "character", "character:.*"), (2, "hair", ".* hair")]
+
 
 def split(text):
     return text.split(", ") if text else []
@@ -25,7 +27,7 @@ CASES = [
     ("replace regex", lambda t: tg.substitute(t, r"(.*) hair", r"\1 ponytail"), "blonde hair, long hair, blue eyes", "blonde ponytail, long ponytail, blue eyes"),
     ("replace text", lambda t: tg.replace_text(t, "long hair", "ponytail"), "long hair, very long hair", "ponytail, very ponytail"),
     ("parse", lambda t: dv.prefix_metatags(dv.typed(t, SETS)), "ganyu (genshin impact), blue hair", "character: ganyu (genshin impact), blue hair"),
-    ("sort", lambda t: dc.sort_by_priority(t, dc.ladder_priority()), "blue hair, 1girl, character: xxx", "1girl, character: xxx, blue hair"),
+    ("sort", lambda t: dc.sort_by_priority(t, dc.ladder_priority(LADDER)), "blue hair, 1girl, character: xxx", "1girl, character: xxx, blue hair"),
     ("unique", tg.unique, "1girl, blonde hair, blue eyes, blonde hair", "1girl, blonde hair, blue eyes"),
     ("formalise", lambda t: dv.formalise(dv.typed(t, SETS)), "honma meiko, by xxx, 3d", "character: honma meiko, artist: xxx, style: 3d"),
     ("deformalise", dv.deformalise, "character: honma meiko, artist: xxx, style: 3d", "honma meiko, by xxx, 3d"),

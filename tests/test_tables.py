@@ -115,7 +115,7 @@ def test_inline_and_joined_dictionaries_agree(spark, tagged):
     for reverse in (False, True):
         orders = []
         for limit in (100, 0):
-            out = dc.with_table_priorities(df, table, inline_limit=limit)
+            out = dc.with_table_priorities(df, table, [(0, "style", "style:.*")], inline_limit=limit)
             sorted_tags = dc.sort_by_priority(F.col("tags"), F.col("priorities"), reverse)
             orders.append({r.image_key: r.t for r in out.select("image_key", sorted_tags.alias("t")).collect()})
         assert orders[0] == orders[1]
