@@ -27,14 +27,19 @@ def nearest(df: DataFrame, t1: int, t2: int, k: int, key: str = "vec_id") -> Dat
     return df.select(key, distance.alias("distance")).orderBy("distance", key).limit(k)
 
 
+def _widths(bands: int) -> list[int]:
+    """Bits of each band; they add up to all bits, whatever the number of bands."""
+    if not 2 <= bands <= 16:
+        raise ValueError("bands must be 2 to 16")
+    return [BITS * (i + 1) // bands - BITS * i // bands for i in range(bands)]
+
+
 def _bands(h1: Column, h2: Column, bands: int) -> list[Column]:
-    width = BITS // bands
-    per_half = bands // 2
-    mask = (1 << width) - 1
-    out = []
-    for half in (h1, h2):
-        for i in range(per_half):
-            out.append(F.shiftright(half, width * (per_half - 1 - i)).bitwiseAND(F.lit(mask).cast("bigint")))
+    whole = F.shiftleft(h1.cast("bigint"), 32).bitwiseOR(h2.cast("bigint"))
+    out, end = [], 0
+    for width in _widths(bands):
+        end += width
+        out.append(F.shiftrightunsigned(whole, BITS - end).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")))
     return out
 
 
@@ -53,80 +58,65 @@ def _flipped(value: Column, masks: Sequence[int]) -> Column:
     )
 
 
-def _band_rows(columns: Sequence[Column], radius: int, width: int) -> Column:
+def _band_rows(columns: Sequence[Column], radius: int) -> Column:
     """``array<struct<band, value>>``: every band with all flips of at most ``radius`` bits."""
-    masks = _flips(width, radius)
+    widths = _widths(len(columns))
 
     def one(band: int, value: Column) -> Column:
         return F.transform(
-            _flipped(value, masks), lambda x: F.struct(F.lit(band).alias("band"), x.alias("value"))
+            _flipped(value, _flips(widths[band], radius)), lambda x: F.struct(F.lit(band).alias("band"), x.alias("value"))
         )
 
     return F.flatten(F.array(*[one(band, value) for band, value in enumerate(columns)]))
 
 
-def _second_rows(columns: Sequence[Column], radius: int, width: int) -> Column:
+def _second_rows(columns: Sequence[Column], radius: int) -> Column:
     return F.transform(
-        _band_rows(columns, radius, width),
-        lambda s: F.struct(s["band"].alias("band2"), s["value"].alias("value2")),
+        _band_rows(columns, radius), lambda s: F.struct(s["band"].alias("band2"), s["value"].alias("value2"))
     )
 
 
-def hash_pairs(distinct: DataFrame, distance: int = 7, bands: int = BANDS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Pairs ``(a1, a2, b1, b2, distance)`` of different hashes within the distance, each once with a < b.
+def _near(index: DataFrame, probes: DataFrame, distance: int, bands: int, hot_bucket: int) -> DataFrame:
+    """``(h1, h2, k, p1, p2, pk)`` within the distance, of ``index(h1, h2, k)`` and ``probes(p1, p2, pk)``; may repeat.
 
-    ``distinct`` has one row per hash (``h1, h2``).  Bands whose value is shared by more than ``hot_bucket`` hashes
-    also match on one of the other bands: those differ by at most ``distance`` bits in total, so one of them is
-    within ``distance // (bands - 1)`` bits.  Both sides flip half of these, which needs far fewer rows than one side
-    flipping all.  The result is exact either way.
+    Bands whose value is shared by more than ``hot_bucket`` hashes also match on one of the other bands: those differ by
+    at most ``distance`` bits in total, so one of them is within ``distance // (bands - 1)`` bits.  Both sides flip half
+    of these, which needs far fewer rows than one side flipping all.  The result is exact either way.
     """
-    width, radius, radius2 = BITS // bands, distance // bands, distance // (bands - 1)
-    columns = _bands(F.col("h1"), F.col("h2"), bands)
-    indexed = explode_rows(distinct, ["h1", "h2"], _band_rows(columns, 0, width), "k").select(
-        "h1", "h2", "k.band", "k.value"
-    )
-    probes = explode_rows(
-        distinct, [F.col("h1").alias("p1"), F.col("h2").alias("p2")], _band_rows(columns, radius, width), "k"
-    ).select("p1", "p2", "k.band", "k.value")
+    radius, radius2 = distance // bands, distance // (bands - 1)
+    own, other = ["h1", "h2", "k"], ["p1", "p2", "pk"]
+    indexed = explode_rows(index, own, _band_rows(_bands(F.col("h1"), F.col("h2"), bands), 0), "b").select(*own, "b.band", "b.value")
+    probed = explode_rows(probes, other, _band_rows(_bands(F.col("p1"), F.col("p2"), bands), radius), "b").select(*other, "b.band", "b.value")
     sizes = indexed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"))
     hot = materialise(sizes.filter(F.col("n") > hot_bucket).select("band", "value"), "hot-bands")
     mark = hot.withColumn("hot", F.lit(True))
     is_hot = F.coalesce("hot", F.lit(False))
     indexed = indexed.join(mark, ["band", "value"], "left").withColumn("hot", is_hot)
-    probes = probes.join(mark, ["band", "value"], "left").withColumn("hot", is_hot)
-
-    cool = indexed.filter(~F.col("hot")).join(probes.filter(~F.col("hot")), ["band", "value"])
-    deep = lambda df, x1, x2, flips: (
-        explode_rows(
-            df.filter("hot"),
-            [x1, x2, "band", "value"],
-            _second_rows(_bands(F.col(x1), F.col(x2), bands), flips, width),
-            "s",
-        )
-        .select(x1, x2, "band", "value", "s.band2", "s.value2")
-        .filter(F.col("band2") != F.col("band"))
-    )
+    probed = probed.join(mark, ["band", "value"], "left").withColumn("hot", is_hot)
+
+    cool = indexed.filter(~F.col("hot")).join(probed.filter(~F.col("hot")), ["band", "value"])
+
+    def deep(df: DataFrame, columns: list[str], flips: int) -> DataFrame:
+        second = _second_rows(_bands(F.col(columns[0]), F.col(columns[1]), bands), flips)
+        rows = explode_rows(df.filter("hot"), [*columns, "band", "value"], second, "s")
+        return rows.select(*columns, "band", "value", "s.band2", "s.value2").filter(F.col("band2") != F.col("band"))
+
     half = radius2 // 2
-    warm = deep(indexed, "h1", "h2", half).join(
-        deep(probes, "p1", "p2", radius2 - half), ["band", "value", "band2", "value2"]
-    )
-    smaller = (F.col("h1") < F.col("p1")) | ((F.col("h1") == F.col("p1")) & (F.col("h2") < F.col("p2")))
+    warm = deep(indexed, own, half).join(deep(probed, other, radius2 - half), ["band", "value", "band2", "value2"])
     gap = hashes.hamming(F.col("h1"), F.col("h2"), F.col("p1"), F.col("p2"))
-    verified = [
-        found.filter(smaller & (gap <= distance)).select("h1", "h2", "p1", "p2") for found in (cool, warm)
-    ]
-    return (
-        verified[0]
-        .unionByName(verified[1])
-        .distinct()
-        .select(
-            F.col("h1").alias("a1"),
-            F.col("h2").alias("a2"),
-            F.col("p1").alias("b1"),
-            F.col("p2").alias("b2"),
-            gap.alias("distance"),
-        )
-    )
+    return cool.select(*own, *other).unionByName(warm.select(*own, *other)).withColumn("distance", gap).filter(F.col("distance") <= distance)
+
+
+def hash_pairs(distinct: DataFrame, distance: int = 7, bands: int = BANDS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """Pairs ``(a1, a2, b1, b2, distance)`` of different hashes within the distance, each once with a < b.
+
+    ``distinct`` has one row per hash (``h1, h2``).
+    """
+    left = distinct.select("h1", "h2", F.lit(0).alias("k"))
+    right = distinct.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.lit(0).alias("pk"))
+    smaller = (F.col("h1") < F.col("p1")) | ((F.col("h1") == F.col("p1")) & (F.col("h2") < F.col("p2")))
+    found = _near(left, right, distance, bands, hot_bucket).filter(smaller)
+    return found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("p1").alias("b1"), F.col("p2").alias("b2"), "distance").distinct()
 
 
 def fold(df: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -139,19 +129,18 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """Drop a record if a record with a smaller key is within the distance.
 
-    Only the smallest key near each hash matters, so pairs are reduced to one value per hash and copies of a hash
-    never pair with each other.
+    Copies of a hash fold to its smallest key.  First every hash is compared with the smallest key of each of its bands
+    only, which decides nearly all members of a dense cluster without pairing them.  Hashes that are not decided then
+    look at all smaller keys near them.
     """
-    folded = materialise(fold(df, key), "folded-hashes")
-    pairs = hash_pairs(folded.select("h1", "h2"), distance, bands, hot_bucket)
-    both = pairs.select("a1", "a2", "b1", "b2").unionByName(
-        pairs.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2"))
-    )
-    keys = folded.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "min_key")
-    nearest_key = both.join(keys, ["b1", "b2"]).groupBy("a1", "a2").agg(F.min("min_key").alias("near_key"))
-    kept = (
-        folded.join(nearest_key, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")), "left")
-        .filter(F.col("near_key").isNull() | (F.col("near_key") > F.col("min_key")))
-        .select(F.col("min_key").alias(key))
-    )
+    folded = materialise(fold(df, key), "folded-hashes").select("h1", "h2", F.col("min_key").alias("k"))
+    probes = folded.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("k").alias("pk"))
+    rows = lambda a, b: _band_rows(_bands(F.col(a), F.col(b), bands), 0)
+    firsts = explode_rows(folded, ["h1", "h2", "k"], rows("h1", "h2"), "b").groupBy("b").agg(F.min(F.struct("k", "h1", "h2")).alias("first"))
+    banded = explode_rows(probes, ["p1", "p2", "pk"], rows("p1", "p2"), "b")
+    gap = hashes.hamming(F.col("first.h1"), F.col("first.h2"), F.col("p1"), F.col("p2"))
+    decided = banded.join(firsts, "b").filter((F.col("first.k") < F.col("pk")) & (gap <= distance)).select("pk").distinct()
+    open_ = materialise(probes.join(decided, "pk", "left_anti"), "undecided-hashes")
+    late = _near(folded, open_, distance, bands, hot_bucket).filter(F.col("k") < F.col("pk")).select("pk").distinct()
+    kept = open_.join(late, "pk", "left_anti").select(F.col("pk").alias(key))
     return df.join(kept, key, "left_semi")

@@ -7,6 +7,7 @@ plus the running total of per-partition counts, a table with one row per partiti
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,10 +19,6 @@ _OFFSET_BITS = 33  # monotonically_increasing_id keeps the row position in its l
 #: Above this many rows a sample or page is taken by row number instead of a merged top-n.
 TOP_N_LIMIT = 100_000
 
-#: Up to this many rows per group Spark cuts a rank-limit window before its shuffle.
-GROUP_LIMIT = 1000
-SALTS = 64
-
 
 def _with_offsets(counts: DataFrame, by: str) -> DataFrame:
     """Add the number of rows before each bucket and the total; one row per bucket, so one task is enough."""
@@ -78,19 +75,28 @@ def shuffled_index(df: DataFrame, seed: int = 0, key: str = KEY, digits: int = 3
 # -- pages --------------------------------------------------------------------------------------------
 
 
-def page(df: DataFrame, order: Sequence[Column | str], index: int, size: int, key: str = KEY) -> DataFrame:
-    """One fixed-size page (0-based); an index out of range is empty.
+def page(
+    df: DataFrame, order: Sequence[Column | str], index: int, size: int, key: str = KEY, merged: int | None = None
+) -> DataFrame:
+    """One fixed-size page (0-based), in order; an index out of range is empty.
 
-    Early pages are a merged top-n; deep ones pick keys by row number.
+    Pages that end within the first ``merged`` rows are a merged top-n; deeper ones pick keys by row number and are
+    ordered by it.  Keys must be unique.
     """
     if index < 0:
         return df.limit(0)
-    if (index + 1) * size <= TOP_N_LIMIT:
+    if (index + 1) * size <= (TOP_N_LIMIT if merged is None else merged):
         return df.orderBy(*order).offset(index * size).limit(size)
     wanted = row_index(df, order, key).filter(
         (F.col("row_index") >= index * size) & (F.col("row_index") < (index + 1) * size)
     )
-    return df.join(wanted.select(key), key, "left_semi")
+    return _in_order(df, wanted, key)
+
+
+def _in_order(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The records of some index rows, in the order of the index."""
+    found = df.join(chosen.select(key, F.col("row_index").alias("__row")), key)
+    return found.orderBy("__row").select(*df.columns)
 
 
 def page_numbers(index: DataFrame, size: int) -> DataFrame:
@@ -135,14 +141,16 @@ def head(df: DataFrame, n: int, order: Sequence[Column | str], condition: Column
     return page(scope, order, 0, n, key)
 
 
-def sample(df: DataFrame, n: int, seed: int = 0, condition: Column | None = None, key: str = KEY) -> DataFrame:
+def sample(
+    df: DataFrame, n: int, seed: int = 0, condition: Column | None = None, key: str = KEY, merged: int | None = None
+) -> DataFrame:
     """``n`` records in reproducible random order; fewer if fewer meet the condition."""
     scope = df if condition is None else df.filter(condition)
-    if n <= TOP_N_LIMIT:
+    if n <= (TOP_N_LIMIT if merged is None else merged):
         order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)))
         return scope.orderBy(order, key).limit(n)
     chosen = shuffled_index(scope, seed, key).filter(F.col("row_index") < n)
-    return scope.join(chosen.select(key), key, "left_semi")
+    return _in_order(scope, chosen, key)
 
 
 def sample_unseen(df: DataFrame, history: DataFrame, n: int, seed: int = 0, key: str = KEY) -> DataFrame:
@@ -155,16 +163,17 @@ def cap_per_group(
 ) -> DataFrame:
     """Keep the first ``limit - already_exist`` records of each group; ``existing(group, already_exist)``.
 
-    A rank-limit window: Spark cuts each map task to the first ``limit`` rows of every group before the shuffle
-    (``WindowGroupLimit``).  It does so for small limits only, so above that a salted window cuts first and a hot
-    group reaches its final task with at most ``limit`` rows per salt.
+    Groups are cut in three steps, with as many salts as shuffle partitions, with their square root, and whole.  So the
+    last task of a hot group gets at most ``limit`` rows for each of the few salts of the step before, whatever the
+    group's size, and the plan is the same for every limit.
     """
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    if limit > GROUP_LIMIT:
-        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
-        first = F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order))
-        df = salted.withColumn("__rank", first).filter(F.col("__rank") <= limit).drop("__rank", "__salt")
-    kept = df.withColumn("__rank", rank).filter(F.col("__rank") <= limit)
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(width)))
+    for salts in (width, ceil(width**0.5), 1):
+        part = [group] if salts == 1 else [group, F.col("__salt") % salts]
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+        kept = kept.withColumn("__rank", rank).filter(F.col("__rank") <= limit)
+    kept = kept.drop("__salt")
     if existing is not None:
         kept = kept.join(existing.select(group, "already_exist"), group, "left").filter(
             F.col("__rank") <= limit - F.coalesce("already_exist", F.lit(0))

@@ -32,8 +32,22 @@ query("w01_page", "SELECT image_key, ord FROM records ORDER BY ord LIMIT 80 OFFS
     lambda t: od.page(t.records, [F.col("ord")], 2, 80).select("image_key", "ord")
 )
 query("w01_page_out_of_range", "SELECT image_key, ord FROM records WHERE false")(
-    lambda t: od.page(t.records, [F.col("ord")], -1, 80).select("image_key", "ord")
+    lambda t: od.page(t.records, [F.col("ord")], 10**6, 80, merged=0).select("image_key", "ord")
 )
+def placed(df: DataFrame) -> DataFrame:
+    """Rows with their place in the result's own order."""
+    numbered = df.select("image_key").coalesce(1).withColumn("place", F.monotonically_increasing_id())
+    return numbered.select("image_key", "place")
+
+
+for name, limit in (("w01_page_places", None), ("w01_deep_page_places", 0)):
+    query(name, "SELECT image_key, row_number() OVER (ORDER BY ord) - 1 AS place FROM (SELECT image_key, ord FROM records ORDER BY ord LIMIT 80 OFFSET 400)")(
+        lambda t, limit=limit: placed(od.page(t.records, [F.col("ord")], 5, 80, merged=limit))
+    )
+for name, limit in (("w05_sample_places", None), ("w05_large_sample_places", 0)):
+    query(name, "SELECT image_key, row_number() OVER (ORDER BY md5('7:' || image_key), image_key) - 1 AS place FROM (SELECT image_key FROM records ORDER BY md5('7:' || image_key), image_key LIMIT 90)")(
+        lambda t, limit=limit: placed(od.sample(t.records, 90, 7, merged=limit))
+    )
 query("w01_page_numbers", f"SELECT image_key, rn // 80 AS page, CAST(ceil(n / 80) AS BIGINT) AS num_pages FROM ({BY_KEY})")(
     lambda t: od.page_numbers(in_order(t), 80).select("image_key", "page", "num_pages")
 )
@@ -72,6 +86,17 @@ query(
     ).select("image_key", "category")
 )
 
+query(
+    "w07_cap_hot_group",
+    """WITH r AS (SELECT image_key, CASE WHEN ord % 3 > 0 THEN 'hot' ELSE category END AS grp, ord FROM records)
+    SELECT image_key, grp FROM r QUALIFY row_number() OVER (PARTITION BY grp ORDER BY ord) <= 1200""",
+    "records",
+)(
+    lambda t: od.cap_per_group(
+        t.records.withColumn("grp", F.when(F.col("ord") % 3 > 0, "hot").otherwise(paths.category(F.col("image_path")))), "grp", ["ord"], 1200
+    ).select("image_key", "grp")
+)
+
 # -- sorts --------------------------------------------------------------------------------------------------------------
 
 LOW, HIGH = "'-infinity'::DOUBLE", "'infinity'::DOUBLE"
@@ -160,6 +185,26 @@ query(
     f"SELECT vec_id, h1, h2 FROM hashes a WHERE NOT EXISTS (SELECT 1 FROM hashes b WHERE b.vec_id < a.vec_id AND {GAP} <= 7)",
     "hashes",
 )(lambda t: nd.drop_near_duplicates(t.hashes).select("vec_id", "h1", "h2"))
+query(
+    "x02_near_pairs_five_bands",
+    f"""WITH d AS (SELECT DISTINCT h1, h2 FROM hashes)
+    SELECT a.h1 AS a1, a.h2 AS a2, b.h1 AS b1, b.h2 AS b2, {GAP} AS distance FROM d a JOIN d b ON (a.h1 < b.h1 OR (a.h1 = b.h1 AND a.h2 < b.h2)) AND {GAP} <= 9""",
+    "hashes",
+)(lambda t: nd.hash_pairs(t.hashes.select("h1", "h2").distinct(), distance=9, bands=5))
+
+
+def dense(t: Tables) -> DataFrame:
+    """The hashes and a cluster around them: every tenth one again, moved next to one point."""
+    moved = t.hashes.filter("vec_id % 10 = 3").select((F.col("vec_id") + 5000000).alias("vec_id"), F.col("h1").bitwiseAND(F.lit(15).cast("bigint")).alias("h1"), F.lit(77).cast("bigint").alias("h2"))
+    return t.hashes.unionByName(moved)
+
+
+query(
+    "x02_drop_dense_cluster",
+    f"""WITH d AS (SELECT vec_id, h1, h2 FROM hashes UNION ALL SELECT vec_id + 5000000, h1 & 15, 77 FROM hashes WHERE vec_id % 10 = 3)
+    SELECT vec_id, h1, h2 FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.vec_id < a.vec_id AND {GAP} <= 7)""",
+    "hashes",
+)(lambda t: nd.drop_near_duplicates(dense(t), hot_bucket=5).select("vec_id", "h1", "h2"))
 
 # -- files ------------------------------------------------------------------------------------------------------------------
 
