@@ -46,30 +46,17 @@ def tool_messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def levels(calls: DataFrame) -> DataFrame:
     """``(call_id, level)``: 0 for calls that come after nothing known, null for calls on or behind a cycle."""
-    known = calls.select(F.col("call_id").alias("after"))
-    state = calls.join(known, "after", "left_semi").select("call_id", "after").withColumn("steps", F.lit(1).cast("long"))
-    state = materialise(state, "levels")  # only calls that still point at another one
-    ends = []
-    for _ in range(calls.count().bit_length() + 1):  # pointers double; what is left then is on a cycle or behind one
-        if not state.limit(1).count():
+    known = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("known"))
+    pointed = calls.select("call_id", "after").join(known, "after", "left")
+    first = F.when(F.col("known"), F.col("after"))
+    state = materialise(pointed.select("call_id", first.alias("after"), F.when(first.isNotNull(), 1).otherwise(0).cast("long").alias("level")), "levels")
+    for _ in range(calls.count().bit_length() + 1):  # what still points somewhere then is on a cycle or behind one
+        if not state.filter("after is not null").limit(1).count():
             break
-        ahead = state.select(F.col("call_id").alias("after"), F.col("after").alias("next"), F.col("steps").alias("more"))
-        joined = materialise(state.join(ahead, "after", "left"), "levels")
-        ends.append(joined.filter("next is null").select("call_id", F.col("steps").alias("level")))
-        state = joined.filter("next is not null").select("call_id", F.col("next").alias("after"), (F.col("steps") + F.col("more")).alias("steps"))
-        # a pointer whose target has just ended is found again through the ended calls
-        done = ends[0]
-        for e in ends[1:]:
-            done = done.union(e)
-        over = state.join(done.select(F.col("call_id").alias("after"), F.col("level").alias("rest")), "after", "left")
-        over = materialise(over, "levels")
-        ends.append(over.filter("rest is not null").select("call_id", (F.col("steps") + F.col("rest")).alias("level")))
-        state = over.filter("rest is null").select("call_id", "after", "steps")
-    roots = calls.join(known.join(calls.select(F.col("call_id").alias("after")), "after", "left_semi").distinct().withColumnRenamed("after", "__known"), calls["after"] == F.col("__known"), "left_anti")
-    found = roots.select("call_id", F.lit(0).cast("long").alias("level"))
-    for e in ends:
-        found = found.union(e)
-    return found
+        ahead = state.select(F.col("call_id").alias("after"), F.col("after").alias("next"), F.col("level").alias("more"))
+        joined = state.join(ahead, "after", "left")
+        state = materialise(joined.select("call_id", F.col("next").alias("after"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "levels")
+    return state.select("call_id", F.when(F.col("after").isNull(), F.col("level")).alias("level"))
 
 
 def _faults(name: Column, parsed: Column, schemas: Mapping[str, Mapping[str, tuple[str, bool, int]]]) -> Column:

@@ -53,8 +53,8 @@ def indicators(batches, extract: Extractor) -> Iterator[tuple[pa.RecordBatch, np
         yield rows, (keys >> np.uint32(BITS)).astype(np.int64), (keys & np.uint32(DIM - 1)).astype(np.int64)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, extract: Extractor, parts: int) -> DataFrame:
-    """``(part, doc_id, label, features)`` of at most ``most`` labelled documents, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, extract: Extractor) -> DataFrame:
+    """``(doc_id, label, features)`` of at most ``most`` labelled documents, chosen by a hash of the id.
 
     ``most`` bounds what is broadcast and what the fit reads; rows without id or label are no examples.  Contradicting
     labels of one document count as their maximum.  Features are little-endian 32-bit numbers.
@@ -71,12 +71,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(data, pa.binary())], names=["doc_id", "label", "features"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(run, f"doc_id {id_type}, label int, features binary")
-    return materialise(found.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)).cast("int")), "examples")
+    return materialise(texts.mapInArrow(run, f"doc_id {id_type}, label int, features binary"), "examples")
 
 
-def examples(features) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4").astype(np.int64) for x in features]
+def examples(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("features").to_pylist()]
+
+
+def class_counts(sample: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """How many examples of label 0 and of higher ones hold each feature, and how many there are of each.
+
+    Every task sends one row of fixed size.
+    """
+
+    def run(batches):
+        held, kinds = np.zeros((2, DIM), np.float32), [0, 0]
+        for batch in batches:
+            for x, y in zip(examples(batch), batch.column("label").to_pylist(), strict=True):
+                held[int(y > 0), x] += 1
+                kinds[int(y > 0)] += 1
+        if any(kinds):
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), *(pa.array([k], pa.int64()) for k in kinds)], names=["held", "low", "high"])
+
+    rows = sample.mapInArrow(run, "held binary, low long, high long").collect()
+    held = sum((np.frombuffer(r["held"], np.float32).reshape(2, DIM) for r in rows), np.zeros((2, DIM)))
+    return held, [sum(r["low"] for r in rows), sum(r["high"] for r in rows)]
 
 
 def scored(docs: DataFrame, extract: Extractor, score: Callable[[np.ndarray], dict[str, np.ndarray]], weights: np.ndarray, schema: str) -> DataFrame:

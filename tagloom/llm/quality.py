@@ -1,68 +1,67 @@
 """Quality classifier: naive Bayes support vectors.
 
 n-gram indicators are scaled by the log ratio of their smoothed class counts; a linear hinge-loss model is fitted to
-them by dual coordinate descent.  Each part of the sample runs the descent on its own dual variables against the common
-weights, and the parts' changes are averaged before the next round, so no part has to see another's examples.  A
+them by dual coordinate descent.  Each task runs the descent on the dual variables of its examples against the common
+weights, and the tasks' changes are averaged before the next round, so none has to see another's examples.  A
 logistic curve fitted to margins of examples that the weights have not seen turns margins into probabilities.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .features import DIM, examples, labelled_sample, scored, styled_ngrams
+from .features import DIM, class_counts, examples, labelled_sample, scored, styled_ngrams
 
-#: Labelled documents the fit may use, parts they are spread over, rounds, and the price of a hinge loss.
-SAMPLE, PARTS, ROUNDS, PRICE = 12_000, 8, 12, 0.1
-#: Part 0 of this many is kept for the logistic curve.
+#: Labelled documents the fit may use, rounds, and the price of a hinge loss.
+SAMPLE, ROUNDS, PRICE = 12_000, 12, 0.1
+#: One example in so many is kept for the logistic curve.
 CURVE = 5
 
 
-def log_count_ratio(sample: DataFrame) -> np.ndarray:
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        held = np.zeros((2, DIM), np.float32)
-        for x, y in zip(examples(group["features"]), group["label"], strict=True):
-            held[min(1, y), x] += 1
-        return pd.DataFrame({"held": [held.tobytes()]})
-
-    rows = sample.groupBy("part").applyInPandas(count, "held binary").collect()
-    held = sum((np.frombuffer(r["held"], np.float32).reshape(2, DIM) for r in rows), np.zeros((2, DIM))) + 1.0
+def log_count_ratio(held: np.ndarray) -> np.ndarray:
+    held = held + 1.0
     return np.log(held[1] / held[1].sum()) - np.log(held[0] / held[0].sum())
 
 
-def descend(sample: DataFrame, ratio: np.ndarray, rounds: int = ROUNDS, price: float = PRICE) -> tuple[np.ndarray, float]:
-    """(weights on indicators, bias) of the hinge-loss model; classes weigh alike, however many examples they have."""
-    counts = {r["y"]: r["n"] for r in sample.groupBy(F.least(F.col("label"), F.lit(1)).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return np.zeros(DIM), 1.0 if counts.get(1) else -1.0
-    total = sum(counts.values())
-    limit = {y: price * total / (2 * n) for y, n in counts.items()}
+def descend(sample: DataFrame, ratio: np.ndarray, kinds: list[int], rounds: int = ROUNDS, price: float = PRICE) -> tuple[np.ndarray, float]:
+    """(weights on indicators, bias) of the hinge-loss model; classes weigh alike, however many examples they have.
+
+    The driver keeps one dual variable for each example of the bounded sample, and the weights.
+    """
+    if not all(kinds):
+        return np.zeros(DIM), 1.0 if kinds[1] else -1.0
+    limit = [price * sum(kinds) / (2 * n) for n in kinds]
     weights, bias, dual = np.zeros(DIM), 0.0, {}
-    parts = max(1, sample.select("part").distinct().count())
-
-    def part(group: pd.DataFrame) -> pd.DataFrame:
-        w, b, own = weights.copy(), bias, []
-        xs, ys = examples(group["features"]), np.minimum(group["label"].to_numpy(), 1)
-        keys = group["doc_id"].tolist()
-        alpha = np.array([dual.get(i, 0.0) for i in keys])
-        norm = np.array([float((ratio[x] ** 2).sum()) + 1.0 for x in xs])
-        for i in np.random.default_rng(len(dual) + len(xs)).permutation(len(xs)):
-            x, y = xs[i], 2.0 * ys[i] - 1
-            slope = y * (float(w[x] @ ratio[x]) + b) - 1
-            new = min(max(alpha[i] - slope / norm[i], 0.0), limit[int(ys[i])])
-            if new != alpha[i]:
-                w[x] += (new - alpha[i]) * y * ratio[x]
-                b += (new - alpha[i]) * y
-                alpha[i] = new
-        own = pd.DataFrame({"doc_id": keys, "alpha": alpha, "change": None, "bias": 0.0})
-        change = pd.DataFrame({"doc_id": keys[:1], "alpha": [float("nan")], "change": [(w - weights).astype(np.float32).tobytes()], "bias": [b - bias]})
-        return pd.concat([change, own.astype({"change": object})], ignore_index=True)
 
+    def run(batches):
+        w, b, begin = weights.copy(), bias, True
+        for batch in batches:
+            xs, keys = examples(batch), batch.column("doc_id").to_pylist()
+            ys = [int(y > 0) for y in batch.column("label").to_pylist()]
+            alpha = [dual.get(i, 0.0) for i in keys]
+            for i in np.random.default_rng(len(dual) + len(xs)).permutation(len(xs)).tolist():
+                x, y = xs[i], 2.0 * ys[i] - 1
+                own = ratio[x]
+                slope = y * (float(w[x] @ own) + b) - 1
+                new = min(max(alpha[i] - slope / (float(own @ own) + 1.0), 0.0), limit[ys[i]])
+                if new != alpha[i]:
+                    w[x] += (new - alpha[i]) * y * own
+                    b += (new - alpha[i]) * y
+                    alpha[i] = new
+            begin = begin and not keys
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column("doc_id").type), pa.array(alpha, pa.float64()), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.float64())], names=names)
+        if not begin:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), pa.nulls(1, pa.float64()), pa.array([(w - weights).astype(np.float32).tobytes()], pa.binary()), pa.array([b - bias])], names=names)
+
+    names = ["doc_id", "alpha", "change", "bias"]
     id_type = sample.schema["doc_id"].dataType.simpleString()
+    id_arrow = to_arrow_type(sample.schema["doc_id"].dataType)
     for _ in range(rounds):
-        rows = sample.groupBy("part").applyInPandas(part, f"doc_id {id_type}, alpha double, change binary, bias double").collect()
+        rows = sample.mapInArrow(run, f"doc_id {id_type}, alpha double, change binary, bias double").collect()
+        parts = sum(r["change"] is not None for r in rows)
         for r in rows:
             if r["change"] is not None:
                 weights = weights + np.frombuffer(r["change"], np.float32) / parts
@@ -106,16 +105,19 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: in
     Without labels of both kinds all texts score alike.  Other columns are ignored.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % folds
-    sample = labelled_sample(docs, labels, "quality", fold != 0, most, styled_ngrams, PARTS * CURVE)
-    fitted, kept = sample.filter(f"part % {CURVE} != 0"), sample.filter(f"part % {CURVE} = 0")
-    fitted = fitted.withColumn("part", F.floor(F.col("part") / CURVE).cast("int"))
-    ratio = log_count_ratio(fitted)
-    weights, bias = descend(fitted, ratio)
-
-    def margins(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"margin": [float(weights[x].sum()) + bias for x in examples(group["features"])], "label": group["label"]})
-
-    seen = kept.groupBy("part").applyInPandas(margins, "margin double, label int").toPandas()  # a fifth of the sample
+    sample = labelled_sample(docs, labels, "quality", fold != 0, most, styled_ngrams)
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CURVE)) == 0
+    fitted, kept = sample.filter(~aside), sample.filter(aside)
+    held, kinds = class_counts(fitted)
+    ratio = log_count_ratio(held)
+    weights, bias = descend(fitted, ratio, kinds)
+
+    def margins(batches):
+        for batch in batches:
+            found = [float(weights[x].sum()) + bias for x in examples(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("label")], names=["margin", "label"])
+
+    seen = kept.mapInArrow(margins, "margin double, label int").toPandas()  # a fifth of the sample
     slope, shift = curve(seen["margin"].to_numpy(), seen["label"].to_numpy())
     weights32 = weights.astype(np.float32)
 

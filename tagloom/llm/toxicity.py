@@ -8,34 +8,19 @@ Features are words and their stems, worth the log ratio of their smoothed shares
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .features import DIM, examples, kept, labelled_sample, scored, words_and_stems
+from .features import DIM, class_counts, examples, kept, labelled_sample, scored, words_and_stems
 
-#: Labelled documents the fit may use, parts they are spread over, passes at most, and the weight penalty.
-SAMPLE, PARTS, STEPS, PENALTY = 20_000, 6, 30, 1.0
+#: Labelled documents the fit may use, steps at most, and the weight penalty.
+SAMPLE, STEPS, PENALTY = 20_000, 30, 1.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def class_counts(sample: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """How many harmless and toxic examples hold each feature, and how many examples there are of each kind."""
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        held = np.zeros((2, DIM), np.float32)
-        for x, y in zip(examples(group["features"]), group["label"], strict=True):
-            held[min(1, max(0, y)), x] += 1
-        toxic = int((group["label"] > 0).sum())
-        return pd.DataFrame({"held": [held.tobytes()], "harmless": [len(group) - toxic], "toxic": [toxic]})
-
-    rows = sample.groupBy("part").applyInPandas(count, "held binary, harmless long, toxic long").collect()
-    total = sum((np.frombuffer(r["held"], np.float32).reshape(2, DIM) for r in rows), np.zeros((2, DIM)))
-    return total, [sum(r["harmless"] for r in rows), sum(r["toxic"] for r in rows)]
-
-
 def severity_of(sample: DataFrame, total: np.ndarray, kinds: list[int], grades: int) -> dict:
     """Grade of every toxic example: how many of the features that mark toxic texts it holds, cut at quantiles.
 
@@ -45,11 +30,13 @@ def severity_of(sample: DataFrame, total: np.ndarray, kinds: list[int], grades:
     marking = (total[1] + 1) / (kinds[1] + 2) >= 10 * (total[0] + 1) / (kinds[0] + 2)
     marking &= total[1] >= max(3, 0.005 * kinds[1])
 
-    def hits(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": group["doc_id"], "hits": [int(marking[x].sum()) for x in examples(group["features"])]})
+    def run(batches):
+        for batch in batches:
+            hits = [int(marking[x].sum()) for x in examples(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hits, pa.int64())], names=["doc_id", "hits"])
 
     id_type = sample.schema["doc_id"].dataType.simpleString()
-    found = sample.filter("label > 0").groupBy("part").applyInPandas(hits, f"doc_id {id_type}, hits long").toPandas()
+    found = sample.filter("label > 0").mapInArrow(run, f"doc_id {id_type}, hits long").toPandas()
     cuts = np.quantile(found["hits"], np.arange(1, grades - 1) / (grades - 1)) if len(found) and grades > 2 else np.zeros(0)
     return dict(zip(found["doc_id"], (1 + np.searchsorted(cuts, found["hits"], side="left")).tolist(), strict=True))
 
@@ -65,24 +52,27 @@ def fit(sample: DataFrame, grade_of: dict, grades: int, scale: np.ndarray) -> tu
     def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
         weights, cut = at[:DIM], thresholds(at[DIM:])
 
-        def part(group: pd.DataFrame) -> pd.DataFrame:
+        def run(batches):
             slope, dcut, total = np.zeros(DIM), np.zeros(steps), 0.0
-            for x, y, i in zip(examples(group["features"]), group["label"], group["doc_id"], strict=True):
-                grade = grade_of.get(i, 1) if y > 0 else 0
-                above = _sigmoid(float(weights[x] @ scale[x]) - cut)
-                upper = above[grade - 1] if grade else 1.0
-                lower = above[grade] if grade < steps else 0.0
-                p = max(upper - lower, 1e-12)
-                du, dl = (upper * (1 - upper) if grade else 0.0), (lower * (1 - lower) if grade < steps else 0.0)
-                total -= np.log(p)
-                slope[x] -= (du - dl) / p * scale[x]
-                if grade:
-                    dcut[grade - 1] += du / p
-                if grade < steps:
-                    dcut[grade] -= dl / p
-            return pd.DataFrame({"total": [total], "slope": [slope.astype(np.float32).tobytes()], "cut": [dcut.tobytes()]})
-
-        rows = sample.groupBy("part").applyInPandas(part, "total double, slope binary, cut binary").collect()
+            for batch in batches:
+                rows = zip(examples(batch), batch.column("label").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
+                for x, y, i in rows:
+                    grade = grade_of.get(i, 1) if y > 0 else 0
+                    above = _sigmoid(float(weights[x] @ scale[x]) - cut)
+                    upper = above[grade - 1] if grade else 1.0
+                    lower = above[grade] if grade < steps else 0.0
+                    p = max(upper - lower, 1e-12)
+                    du, dl = (upper * (1 - upper) if grade else 0.0), (lower * (1 - lower) if grade < steps else 0.0)
+                    total -= np.log(p)
+                    slope[x] -= (du - dl) / p * scale[x]
+                    if grade:
+                        dcut[grade - 1] += du / p
+                    if grade < steps:
+                        dcut[grade] -= dl / p
+            columns = [pa.array([float(total)]), pa.array([slope.astype(np.float32).tobytes()], pa.binary()), pa.array([dcut.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["total", "slope", "cut"])
+
+        rows = sample.mapInArrow(run, "total double, slope binary, cut binary").collect()  # one row a task
         total = sum(r["total"] for r in rows) + PENALTY / 2 * float(weights @ weights)
         slope = sum((np.frombuffer(r["slope"], np.float32).astype(float) for r in rows), PENALTY * weights)
         dcut = sum((np.frombuffer(r["cut"]) for r in rows), np.zeros(steps))
@@ -122,7 +112,7 @@ def fit(sample: DataFrame, grade_of: dict, grades: int, scale: np.ndarray) -> tu
 
 def model(docs: DataFrame, labels: DataFrame, grades: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights of the features, thresholds)."""
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True), most, words_and_stems, PARTS)
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), most, words_and_stems)
     total, kinds = class_counts(sample)
     scale = np.abs(np.log((total[1] + 0.5) / (kinds[1] + 1)) - np.log((total[0] + 0.5) / (kinds[0] + 1)))
     weights, cut = fit(sample, severity_of(sample, total, kinds, grades), grades, scale)
