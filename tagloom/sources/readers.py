@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import metadata as md, paths, tags as tg
+from ..functions import metadata as md, normal, paths, tags as tg
 from ..functions.rules import IMAGE_SUFFIXES
 from ..operators.merge import cache_override, first_source_wins
+from ..operators.stats import Patterns, features_from_counts, features_from_freqs
 from ..runtime import explode_rows
 from ..schema import BOORU_META, CAPTION_ATTRS, RECORD, parse_size
 
@@ -41,33 +43,61 @@ def list_images(
     )
 
 
-def explode_record_json(documents: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of texts that each hold one object ``{key: record}``."""
-    fields = T.StructType(
-        [f if f.name != "original_size" else T.StructField(f.name, T.StringType()) for f in RECORD.fields]
-        + [T.StructField(n, T.StringType()) for n in CAPTION_ATTRS]
-    )
-    parsed = F.from_json(F.col(column), T.MapType(T.StringType(), fields))
+_TEXTS = T.StructType([T.StructField(n, T.StringType()) for n in (*RECORD.fieldNames(), *CAPTION_ATTRS)])
+
+
+def _record_map(text: Column) -> Column:
+    """``map<key, record of texts>``; null if the text is no such object."""
+    return F.from_json(text, T.MapType(T.StringType(), _TEXTS))
+
+
+def _rows_of(documents: DataFrame, parsed: Column, keep: Sequence[str]) -> DataFrame:
     rows = explode_rows(documents, keep, parsed, "image_key", "r")
-    return rows.select(*keep, "image_key", "r.*").withColumn("original_size", parse_size(F.col("original_size")))
 
+    def typed(name: str) -> Column:
+        value = F.col(f"r.{name}")
+        if name == "original_size":
+            return parse_size(value).alias(name)
+        kind = RECORD[name].dataType if name in RECORD.fieldNames() else T.StringType()
+        return (value if isinstance(kind, T.StringType) else value.try_cast(kind)).alias(name)
 
-def read_record_json(spark: SparkSession, path: str | Sequence[str], indent: int | None = None) -> DataFrame:
-    """JSON databases holding one object per file.
+    return rows.select(*keep, "image_key", *[typed(n) for n in _TEXTS.fieldNames()])
 
-    Without ``indent`` each file is one text and one task.  For files dumped with a known indent, the end of a
-    record at that depth is the line separator, so large files split and are parsed record by record (line breaks
-    inside strings are escaped in JSON, and deeper objects are indented further).
-    """
-    where = path if isinstance(path, str) else list(path)
-    if indent is None:
-        return explode_record_json(spark.read.text(where, wholetext=True))
+
+def explode_record_json(documents: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of texts that each hold one object ``{key: record}``; numbers may be written as text."""
+    return _rows_of(documents, _record_map(F.col(column)), keep)
+
+
+def _json_parts(spark: SparkSession, path: str | Sequence[str], indent: int) -> DataFrame:
+    """``(file, value, parsed)`` of the parts that files split into at the ends of records."""
     pad = " " * indent
-    chunks = spark.read.option("lineSep", f"\n{pad}}},\n").text(where)
+    where = path if isinstance(path, str) else list(path)
+    parts = spark.read.option("lineSep", f"\n{pad}}},\n").text(where).select(F.col("_metadata.file_path").alias("file"), "value")
     opened = F.regexp_replace("value", r"\A\s*\{?\s*(?=\")", "")
     body = F.regexp_replace(opened, r"\n" + pad + r"\}\s*\}\s*\z", "")
-    records = chunks.select(F.concat(F.lit("{"), body, F.lit("}}")).alias("value")).filter(F.col("value").startswith('{"'))
-    return explode_record_json(records)
+    return parts.withColumn("parsed", F.coalesce(_record_map(F.col("value")), _record_map(F.concat(F.lit("{"), body, F.lit("}}")))))
+
+
+def read_record_json(spark: SparkSession, path: str | Sequence[str], indent: int = 4, damaged: str = "skip") -> DataFrame:
+    """JSON databases holding one object ``{key: record}`` per file.
+
+    Files dumped with this indent split at the ends of records and are parsed record by record (line breaks inside
+    strings are escaped in JSON, and deeper objects are indented further); a file written in another way is one part.
+    ``damaged="fail"`` stops at a part that can't be parsed, ``"skip"`` leaves it out: ``damaged_parts`` counts them.
+    """
+    parts = _json_parts(spark, path, indent)
+    if damaged == "fail":
+        message = F.concat(F.lit("damaged JSON in "), F.col("file"))
+        broken = F.col("parsed").isNull() & (F.trim("value") != "")
+        parts = parts.withColumn("parsed", F.when(broken, F.raise_error(message).cast(parts.schema["parsed"].dataType)).otherwise(F.col("parsed")))
+    return _rows_of(parts, F.col("parsed"), [])
+
+
+def damaged_parts(spark: SparkSession, path: str | Sequence[str], indent: int = 4) -> DataFrame:
+    """``(file, n)``: parts of each file that hold no readable record."""
+    broken = _json_parts(spark, path, indent).filter(F.col("parsed").isNull() & (F.trim("value") != ""))
+    return broken.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -78,12 +108,15 @@ def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_record_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> DataFrame:
-    """CSV databases with an ``image_key`` column; known columns only, empty cells are null."""
+def read_record_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = False) -> DataFrame:
+    """CSV databases with an ``image_key`` column; known columns only, empty cells are null.
+
+    Files with line breaks inside cells need ``multi_line``, which reads each file in one task.
+    """
     raw = (
         spark.read.option("header", True)
         .option("sep", sep)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path if isinstance(path, str) else list(path))
@@ -116,18 +149,23 @@ def read_captions(spark: SparkSession, directory: str | Sequence[str]) -> DataFr
     )
 
 
-def _read_local(path: str) -> str | None:
+def mounted_text(path: str) -> str | None:
+    """The text at a path of a file system that all executors mount; null if there is no such file.
+
+    Paths with a scheme are refused: reading them as local files would find nothing.
+    """
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        raise ValueError(f"{path} is no mounted path; give a fetch function for its file system")
     try:
         return Path(path).read_text(encoding="utf-8")
     except FileNotFoundError:
         return None
 
 
-def fetch_files(df: DataFrame, path: Column, fetch: Callable[[str], str | None] = _read_local) -> DataFrame:
+def fetch_files(df: DataFrame, path: Column, fetch: Callable[[str], str | None]) -> DataFrame:
     """``(path, value)`` for the paths at which ``fetch`` finds a text, asked for in the tasks.
 
-    For files that Spark's listing does not show: empty ones and dot-files.  The default reads a file system that
-    all executors mount.
+    For files that Spark's listing does not show: empty ones and dot-files.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,13 +176,13 @@ def fetch_files(df: DataFrame, path: Column, fetch: Callable[[str], str | None]
     return df.select(path.alias("path")).mapInPandas(run, "path string, value string")
 
 
-def fetch_captions(images: DataFrame, fetch: Callable[[str], str | None] = _read_local) -> DataFrame:
+def fetch_captions(images: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
     """``(label_path, caption)`` of the text sidecar of every image that has one; empty files give null."""
     found = fetch_files(images, paths.label_path(F.col("image_path")), fetch)
     return found.select(F.col("path").alias("label_path"), F.nullif("value", F.lit("")).alias("caption"))
 
 
-def read_hidden_meta(images: DataFrame, fetch: Callable[[str], str | None] = _read_local) -> DataFrame:
+def read_hidden_meta(images: DataFrame, fetch: Callable[[str], str | None]) -> DataFrame:
     """Metadata of ``.{stem}_meta.json`` files, payload under ``danbooru``."""
     path = F.col("image_path")
     hidden = paths.with_name(path, F.concat(F.lit("."), paths.stem(path), F.lit("_meta.json")))
@@ -209,11 +247,12 @@ def read_folder(
     directory: str,
     recursive: bool = True,
     read_types: Sequence[str] = ("txt", "danbooru"),
-    fetch: Callable[[str], str | None] | None = _read_local,
+    fetch: Callable[[str], str | None] | None = None,
 ) -> DataFrame:
     """Image records of a folder with captions from their sidecars.
 
-    Without ``fetch`` sidecars come from Spark's listing alone, which knows no empty or hidden files.
+    Sidecars come from Spark's listing, on any file system; it shows neither empty nor hidden files.  ``fetch`` asks for
+    these in the tasks: ``mounted_text`` on a file system that all executors mount, or a function for another one.
     """
     images = list_images(spark, directory, recursive)
     captions = None
@@ -242,6 +281,35 @@ def load(
     return merged if cache is None else cache_override(merged, cache)
 
 
+IMAGE_PATH_FIELDS = "image_key string, image_path string"
+
+
+def read_source(spark: SparkSession, path: str, fetch: Callable[[str], str | None] | None = None, **options) -> DataFrame:
+    """A source by its path: a JSON or CSV database, one image file, or a folder of images."""
+    suffix = Path(path).suffix
+    if suffix == ".json":
+        return read_record_json(spark, path, **options)
+    if suffix == ".csv":
+        return read_record_csv(spark, path, **options)
+    if suffix in IMAGE_SUFFIXES:
+        image = spark.createDataFrame([(Path(path).stem, path)], IMAGE_PATH_FIELDS)
+        captions = None if fetch is None else fetch_captions(image, fetch)
+        return attach_sidecars(image, captions, None if fetch is None else read_hidden_meta(image, fetch))
+    return read_folder(spark, path, fetch=fetch, **options)
+
+
+def load_paths(
+    spark: SparkSession, sources: Sequence[str], cache: DataFrame | None = None, key_condition: Column | None = None,
+    fetch: Callable[[str], str | None] | None = None,
+) -> DataFrame:
+    """Sources of any kind by path as one dataset, as ``load`` merges them; captions are tag lists throughout."""
+
+    def tagged(df: DataFrame) -> DataFrame:
+        return df if "tags" in df.columns else df.withColumn("tags", tg.parse(F.col("caption"))).drop("caption")
+
+    return load([tagged(read_source(spark, s, fetch)) for s in sources], cache, key_condition)
+
+
 # -- post database and statistic tables ---------------------------------------------------------------------
 
 
@@ -250,35 +318,57 @@ def read_tables(spark: SparkSession, path: str, names: Sequence[str] = ("post",
     return {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in names}
 
 
-def statistic_rows(documents: DataFrame, column: str = "value") -> DataFrame:
-    """Texts of statistic tables to ``(character, tag, cnt, freq)``, the shape detected per character.
+def statistic_rows(documents: DataFrame, column: str = "value", table: str | None = None) -> DataFrame:
+    """Texts of statistic tables to ``(character, tag, cnt, freq)``.
 
-    ``{character: {tag: int}}`` are counts, ``{character: {tag: float}}`` frequencies and
-    ``{character: [tag]}`` plain features.
+    ``{character: {tag: [count, frequency]}}`` has both and ``{character: [tag]}`` neither.  Single numbers are
+    frequencies if any number of the same table is written with a fraction, else counts.  Texts with the same value of
+    ``table`` are parts of one table; without it each text is one.
     """
-    outer = explode_rows(documents, [], F.from_json(F.col(column), "map<string,string>"), "character", "body")
-    listed = F.col("body").startswith("[")
-    entries = F.when(
-        listed,
-        F.transform(
-            F.from_json("body", "array<string>"),
-            lambda t: F.struct(t.alias("tag"), F.lit(None).cast("string").alias("value")),
-        ),
-    ).otherwise(
-        F.transform(
-            F.map_entries(F.from_json("body", "map<string,string>")),
-            lambda e: F.struct(e["key"].alias("tag"), e["value"].alias("value")),
-        )
+    source = F.col(table) if table else F.xxhash64(column)
+    outer = explode_rows(
+        documents, [source.alias("__table")], F.from_json(F.col(column), "map<string,string>"), "character", "body"
+    )
+    none = F.lit(None).cast("string")
+    listed = F.transform(F.from_json("body", "array<string>"), lambda t: F.struct(t.alias("tag"), none.alias("value")))
+    valued = F.transform(
+        F.map_entries(F.from_json("body", "map<string,string>")), lambda e: F.struct(e["key"].alias("tag"), e["value"].alias("value"))
     )
-    value = F.col("e.value")
-    whole = value.rlike(r"\A-?\d+\z")
-    return explode_rows(outer, ["character"], entries, "e").select(
+    entries = F.when(F.col("body").startswith("["), listed).otherwise(valued)
+    rows = explode_rows(outer, ["__table", "character"], entries, "e").select("__table", "character", "e.tag", "e.value")
+    pair = F.when(F.col("value").startswith("["), F.from_json("value", "array<double>"))
+    single = F.when(~F.col("value").startswith("["), F.col("value"))
+    fraction = F.coalesce(single.rlike("[.eE]"), F.lit(False))
+    shapes = rows.groupBy("__table").agg(F.max(fraction).alias("__freqs"))
+    return rows.join(shapes, "__table").select(
         "character",
-        F.col("e.tag").alias("tag"),
-        F.when(whole, value.try_cast("bigint")).alias("cnt"),
-        F.when(~whole, value.try_cast("double")).alias("freq"),
+        "tag",
+        F.coalesce(F.get(pair, 0).cast("bigint"), F.when(~F.col("__freqs"), single.try_cast("bigint"))).alias("cnt"),
+        F.coalesce(F.get(pair, 1), F.when(F.col("__freqs"), single.try_cast("double"))).alias("freq"),
     )
 
 
-def read_statistics(spark: SparkSession, path: str) -> DataFrame:
-    return statistic_rows(spark.read.text(path, wholetext=True))
+def read_statistics(spark: SparkSession, path: str, indent: int = 4) -> DataFrame:
+    """Statistic tables, one per file; files dumped with this indent split at the ends of characters."""
+    pad = " " * indent
+    parts = spark.read.option("lineSep", f"\n{pad}}},\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    opened = F.regexp_replace("value", r"\A\s*\{?\s*(?=\")", "")
+    body = F.regexp_replace(opened, r"\n" + pad + r"\}\s*\}\s*\z", "")
+    whole = F.from_json("value", "map<string,string>").isNotNull()
+    texts = parts.select("file", F.when(whole, F.col("value")).otherwise(F.concat(F.lit("{"), body, F.lit("}}"))).alias("value"))
+    return statistic_rows(texts, table="file")
+
+
+def feature_table(
+    statistics: DataFrame, patterns: Patterns, freq_threshold: float = 0.3, count_threshold: int = 1, least_sample_size: int = 50
+) -> DataFrame:
+    """``(character, feature)`` from statistics, whatever their shape; both sides in the form with blanks.
+
+    Frequencies decide where there are any, counts where a character has its own total, and plain lists as they are.
+    """
+    normed = statistics.select(normal.space_form(F.col("character")).alias("character"), normal.space_form(F.col("tag")).alias("tag"), "cnt", "freq")
+    by_freq = features_from_freqs(normed.filter("freq is not null and coalesce(cnt, 1e9) >= " + str(int(count_threshold))), patterns, freq_threshold)
+    counts = normed.filter("freq is null and cnt is not null")
+    by_count = features_from_counts(counts, patterns, freq_threshold, count_threshold, least_sample_size)
+    plain = normed.filter("freq is null and cnt is null").select("character", F.col("tag").alias("feature"))
+    return by_freq.select("character", "feature").union(by_count.select("character", "feature")).union(plain).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -47,6 +48,11 @@ def record_json(df: DataFrame) -> DataFrame:
     )
 
 
+def write_record_json(df: DataFrame, path: str) -> None:
+    """Files in the form ``{key: record}`` that ``read_record_json`` reads, one object on a line; ``path`` must be new."""
+    record_json(df).write.text(path)
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",", stored: DataFrame | None = None) -> None:
     """CSV in tabular order with a header in every part file; ``path`` must be new."""
     view = _with_stored(_size_text(tabular(df)), None if stored is None else _size_text(stored))
@@ -79,17 +85,20 @@ def write_index(index: DataFrame, path: str, key: str = "image_key") -> None:
     index.repartitionByRange("tag", key).sortWithinPartitions("tag", key).write.parquet(path)
 
 
-def _write_local(path: str, text: str) -> None:
+def mounted_text(path: str, text: str) -> None:
+    """Write a text on a file system that all executors mount; paths with a scheme are refused."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        raise ValueError(f"{path} is no mounted path; give a put function for its file system")
     target = Path(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     target.write_text(text, encoding="utf-8")
 
 
-def write_captions(df: DataFrame, put: Callable[[str, str], None] = _write_local) -> DataFrame:
+def write_captions(df: DataFrame, put: Callable[[str, str], None]) -> DataFrame:
     """Write one text file per record with a non-empty caption; returns a lazy manifest.
 
-    ``put(path, text)`` runs on executors and decides where files go; the default writes to a file system that all
-    executors mount.  A retried task rewrites the same files with the same content.
+    ``put(path, text)`` runs on executors and decides where files go: ``mounted_text``, or a function for another file
+    system.  Rows say ``written`` after their file was.  A retried task rewrites the same files with the same content.
     """
     todo = df.filter(F.size("tags") > 0).select(
         "image_key", paths.label_path(F.col("image_path")).alias("label_path"), tg.render(F.col("tags")).alias("text")
@@ -123,7 +132,9 @@ __all__ = [
     "pending",
     "record_json",
     "save_changes",
+    "mounted_text",
     "write_captions",
+    "write_record_json",
     "write_csv",
     "write_index",
     "write_json",

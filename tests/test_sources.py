@@ -31,7 +31,7 @@ def folder(tmp_path):
 
 
 def test_folder_scan_and_sidecars(spark, folder):
-    rows = {r.image_key: r for r in rd.read_folder(spark, str(folder)).collect()}
+    rows = {r.image_key: r for r in rd.read_folder(spark, str(folder), fetch=rd.mounted_text).collect()}
     assert set(rows) >= {"one", "two", "three", "five", "six"} and "four" not in rows
     assert rows["one"].tags == ["a", "b,c", "日本"]
     assert rows["two"].tags is None  # an empty text sidecar still wins over metadata
@@ -39,11 +39,11 @@ def test_folder_scan_and_sidecars(spark, folder):
     assert rows["three"].safe_level == "s" and tuple(rows["three"].original_size) == (10, 20)
     assert rows["five"].safe_level == "q"
     assert rows["six"].tags is None
-    listed = {r.image_key: r.tags for r in rd.read_folder(spark, str(folder), fetch=None).collect()}
+    listed = {r.image_key: r.tags for r in rd.read_folder(spark, str(folder)).collect()}
     assert listed["one"] == rows["one"].tags and listed["three"] is None
     flat = rd.list_images(spark, str(folder), recursive=False)
     assert flat.count() == 0
-    only_meta = {r.image_key: r.tags for r in rd.read_folder(spark, str(folder), read_types=("danbooru",)).collect()}
+    only_meta = {r.image_key: r.tags for r in rd.read_folder(spark, str(folder), read_types=("danbooru",), fetch=rd.mounted_text).collect()}
     assert only_meta["one"] is None and only_meta["two"] == ["x y", "artist: artist a", "character: char b"]
 
 
@@ -65,8 +65,18 @@ def test_json_object_and_csv(spark, tmp_path):
     for n, some in enumerate((records, {"k1": records["k1"]}, {})):
         (tmp_path / f"indented{n}.json").write_text(json.dumps(some, indent=4))
         path = str(tmp_path / f"indented{n}.json")
-        split = sorted(rd.read_record_json(spark, path, indent=4).collect(), key=str)
-        assert split == sorted(rd.read_record_json(spark, path).collect(), key=str) and len(split) == len(some)
+        split = sorted(rd.read_record_json(spark, path).collect(), key=str)
+        assert split == sorted(rd.read_record_json(spark, path, indent=3).collect(), key=str) and len(split) == len(some)
+    records["k4"] = {"image_path": "/a/b/k4.png", "aesthetic_score": "7.5", "safe_rating": "no number"}
+    (tmp_path / "damaged.json").write_text(json.dumps(records, indent=4)[:-120])
+    (tmp_path / "flat.json").write_text(json.dumps(records))
+    both = [str(tmp_path / "damaged.json"), str(tmp_path / "flat.json")]
+    assert {r.n for r in rd.damaged_parts(spark, both).collect()} == {1}
+    flat = {r.image_key: r for r in rd.read_record_json(spark, both[1], damaged="fail").collect()}
+    assert set(flat) == {"k1", "k2", "k3", "k4"} and flat["k4"].aesthetic_score == 7.5 and flat["k4"].safe_rating is None
+    assert rd.read_record_json(spark, both[0]).count() == 3
+    with pytest.raises(Exception, match="damaged JSON"):
+        rd.read_record_json(spark, both[0], damaged="fail").collect()
 
     (tmp_path / "db.csv").write_text(
         'image_key,image_path,caption,original_size,aesthetic_score,unknown\nk1,/a/k1.png,"x, ""y""","(3, 4)",1.25,z\nk2,/a/k2.png,,,,\n'
@@ -99,7 +109,7 @@ def test_round_trips_and_upsert(spark, tmp_path):
 
 def test_caption_files(spark, tmp_path):
     df = records_frame(spark).withColumn("image_path", F.concat(F.lit(str(tmp_path)), F.lit("/c/"), "image_key", F.lit(".png")))
-    manifest = wr.write_captions(df).collect()
+    manifest = wr.write_captions(df, wr.mounted_text).collect()
     assert [(m.image_key, m.bytes, m.status) for m in manifest] == [("k1", 8, "written")]
     assert (tmp_path / "c" / "k1.txt").read_text() == 'x, q "r"'
     assert not (tmp_path / "c" / "k2.txt").exists()
@@ -108,10 +118,41 @@ def test_caption_files(spark, tmp_path):
 
 
 def test_statistic_shapes(spark):
-    texts = ['{"c1": {"t1": 3, "t2": 1}}', '{"c2": {"t1": 0.5}}', '{"c3": ["t1", "t2"]}']
+    texts = ['{"c1": {"t1": 3, "t2": 1}}', '{"c2": {"t1": 0.5, "t2": 1}}', '{"c3": ["t1", "t2"]}', '{"c4": {"t1": [5, 0.5]}}']
     df = spark.createDataFrame([(t,) for t in texts], "value string")
     rows = {(r.character, r.tag, r.cnt, r.freq) for r in rd.statistic_rows(df).collect()}
-    assert rows == {("c1", "t1", 3, None), ("c1", "t2", 1, None), ("c2", "t1", None, 0.5), ("c3", "t1", None, None), ("c3", "t2", None, None)}
+    assert rows == {("c1", "t1", 3, None), ("c1", "t2", 1, None), ("c2", "t1", None, 0.5), ("c2", "t2", None, 1.0), ("c4", "t1", 5, 0.5), ("c3", "t1", None, None), ("c3", "t2", None, None)}
+
+
+def test_feature_table_from_files(spark, tmp_path):
+    tables = {
+        "counts": {"Some_Girl": {"Some girl": 60, "red hair": 40, "long_hair": 5, "hat": 50}, "rare": {"rare": 3, "red hair": 3}},
+        "freqs": {"other": {"blue hair": 0.5, "red hair": 0.1}},
+        "pairs": {"third": {"pink hair": [9, 0.9], "grey hair": [0, 0.9]}},
+        "lists": {"fourth": ["anything"]},
+    }
+    for name, body in tables.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(body, indent=4))
+    found = rd.feature_table(rd.read_statistics(spark, str(tmp_path)), [".* hair"])
+    assert {tuple(r) for r in found.collect()} == {("some girl", "red hair"), ("other", "blue hair"), ("third", "pink hair"), ("fourth", "anything")}
+
+
+def test_sources_by_path(spark, folder):
+    (folder / "db.json").write_text(json.dumps({"one": {"image_path": "/z/one.png", "caption": "from json"}, "new": {"image_path": "/z/new.png"}}))
+    (folder / "db.csv").write_text("image_key,image_path,caption\nnew,/y/new.png,from csv\nnew,/x/new.png,again\nlast,/y/last.png,\n")
+    image = str(folder / "cat a" / "one.png")
+    got = {r.image_key: r for r in rd.load_paths(spark, [image, str(folder / "db.json"), str(folder / "db.csv")], fetch=rd.mounted_text).collect()}
+    assert set(got) == {"one", "new", "last"}
+    assert got["one"].tags == ["a", "b,c", "日本"] and got["new"].image_path == "/z/new.png"
+    alone = rd.load_paths(spark, [str(folder / "db.csv")], key_condition=F.col("image_key") == "new").collect()
+    assert [(r.image_key, r.image_path) for r in alone] == [("new", "/x/new.png")]
+
+
+def test_other_file_systems_are_refused():
+    with pytest.raises(ValueError, match="no mounted path"):
+        rd.mounted_text("s3a://bucket/x.txt")
+    with pytest.raises(ValueError, match="no mounted path"):
+        wr.mounted_text("hdfs://host/x.txt", "x")
 
 
 def test_paths(spark):
