@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return materialise(texts.mapInArrow(run, f"doc_id {id_type}, label int, features binary"), "examples")
 
 
+@contextmanager
+def shared(sample: DataFrame, value) -> Iterator:
+    """A broadcast of bounded size (weights, dual variables of the sample) that is gone, also from disk, afterwards."""
+    sent = sample.sparkSession.sparkContext.broadcast(value)
+    try:
+        yield sent
+    finally:
+        sent.destroy()
+
+
 def examples(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("features").to_pylist()]
 

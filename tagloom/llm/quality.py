@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .features import DIM, class_counts, examples, labelled_sample, scored, styled_ngrams
+from .features import DIM, class_counts, examples, labelled_sample, scored, shared, styled_ngrams
 
 #: Labelled documents the fit may use, rounds, and the price of a hinge loss.
 SAMPLE, ROUNDS, PRICE = 12_000, 12, 0.1
@@ -37,7 +37,8 @@ def descend(sample: DataFrame, ratio: np.ndarray, kinds: list[int], rounds: int
     weights, bias, dual = np.zeros(DIM), 0.0, {}
 
     def run(batches):
-        w, b, begin = weights.copy(), bias, True
+        first, ratio, dual, b = sent.value
+        w, begin, bias = first.astype(float), True, b
         for batch in batches:
             xs, keys = examples(batch), batch.column("doc_id").to_pylist()
             ys = [int(y > 0) for y in batch.column("label").to_pylist()]
@@ -54,13 +55,14 @@ def descend(sample: DataFrame, ratio: np.ndarray, kinds: list[int], rounds: int
             begin = begin and not keys
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column("doc_id").type), pa.array(alpha, pa.float64()), pa.nulls(len(keys), pa.binary()), pa.nulls(len(keys), pa.float64())], names=names)
         if not begin:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), pa.nulls(1, pa.float64()), pa.array([(w - weights).astype(np.float32).tobytes()], pa.binary()), pa.array([b - bias])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), pa.nulls(1, pa.float64()), pa.array([(w - first).astype(np.float32).tobytes()], pa.binary()), pa.array([b - bias])], names=names)
 
     names = ["doc_id", "alpha", "change", "bias"]
     id_type = sample.schema["doc_id"].dataType.simpleString()
     id_arrow = to_arrow_type(sample.schema["doc_id"].dataType)
     for _ in range(rounds):
-        rows = sample.mapInArrow(run, f"doc_id {id_type}, alpha double, change binary, bias double").collect()
+        with shared(sample, (weights.astype(np.float32), ratio.astype(np.float32), dual, bias)) as sent:
+            rows = sample.mapInArrow(run, f"doc_id {id_type}, alpha double, change binary, bias double").collect()
         parts = sum(r["change"] is not None for r in rows)
         for r in rows:
             if r["change"] is not None:
@@ -112,6 +114,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: in
     ratio = log_count_ratio(held)
     weights, bias = descend(fitted, ratio, kinds)
 
+    weights = weights.astype(np.float32)
+
     def margins(batches):
         for batch in batches:
             found = [float(weights[x].sum()) + bias for x in examples(batch)]
@@ -119,10 +123,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: in
 
     seen = kept.mapInArrow(margins, "margin double, label int").toPandas()  # a fifth of the sample
     slope, shift = curve(seen["margin"].to_numpy(), seen["label"].to_numpy())
-    weights32 = weights.astype(np.float32)
 
     def score(sums: np.ndarray) -> dict[str, np.ndarray]:
         return {"score": 1 / (1 + np.exp(-np.clip(slope * (sums + bias) + shift, -500, 500)))}
 
-    found = scored(docs, styled_ngrams, score, weights32, "score double")
+    found = scored(docs, styled_ngrams, score, weights, "score double")
     return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .features import DIM, class_counts, examples, kept, labelled_sample, scored, words_and_stems
+from .features import DIM, class_counts, examples, kept, labelled_sample, scored, shared, words_and_stems
 
 #: Labelled documents the fit may use, steps at most, and the weight penalty.
 SAMPLE, STEPS, PENALTY = 20_000, 30, 1.0
@@ -53,18 +53,19 @@ def fit(sample: DataFrame, grade_of: dict, grades: int, scale: np.ndarray) -> tu
         weights, cut = at[:DIM], thresholds(at[DIM:])
 
         def run(batches):
+            weights = sent.value
             slope, dcut, total = np.zeros(DIM), np.zeros(steps), 0.0
             for batch in batches:
                 rows = zip(examples(batch), batch.column("label").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
                 for x, y, i in rows:
                     grade = grade_of.get(i, 1) if y > 0 else 0
-                    above = _sigmoid(float(weights[x] @ scale[x]) - cut)
+                    above = _sigmoid(float(weights[x].sum()) - cut)
                     upper = above[grade - 1] if grade else 1.0
                     lower = above[grade] if grade < steps else 0.0
                     p = max(upper - lower, 1e-12)
                     du, dl = (upper * (1 - upper) if grade else 0.0), (lower * (1 - lower) if grade < steps else 0.0)
                     total -= np.log(p)
-                    slope[x] -= (du - dl) / p * scale[x]
+                    slope[x] -= (du - dl) / p
                     if grade:
                         dcut[grade - 1] += du / p
                     if grade < steps:
@@ -72,9 +73,10 @@ def fit(sample: DataFrame, grade_of: dict, grades: int, scale: np.ndarray) -> tu
             columns = [pa.array([float(total)]), pa.array([slope.astype(np.float32).tobytes()], pa.binary()), pa.array([dcut.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["total", "slope", "cut"])
 
-        rows = sample.mapInArrow(run, "total double, slope binary, cut binary").collect()  # one row a task
+        with shared(sample, (weights * scale).astype(np.float32)) as sent:
+            rows = sample.mapInArrow(run, "total double, slope binary, cut binary").collect()  # one row a task
         total = sum(r["total"] for r in rows) + PENALTY / 2 * float(weights @ weights)
-        slope = sum((np.frombuffer(r["slope"], np.float32).astype(float) for r in rows), PENALTY * weights)
+        slope = sum((np.frombuffer(r["slope"], np.float32).astype(float) for r in rows), np.zeros(DIM)) * scale + PENALTY * weights
         dcut = sum((np.frombuffer(r["cut"]) for r in rows), np.zeros(steps))
         dfree = np.cumsum(dcut[::-1])[::-1].copy()
         dfree[1:] *= np.exp(np.clip(at[DIM + 1 :], -30, 30))
