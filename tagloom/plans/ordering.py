@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, tags as tg
 from ..operators import neardup as nd, ordinal as od, sorting as so
-from ..runtime import scratch_path
-from ..schema import BOORU_META
+from ..runtime import materialise, scratch_path
 from ..sources import readers as rd, writers as wr
 from . import sqltext as q
 from .recordset import META_SQL, VIEW, booru, dumped
@@ -229,16 +230,52 @@ def upserted(t: Tables) -> DataFrame:
     return rd.read_record_lines(t.spark, second).select("image_key", "image_path", "caption", "aesthetic_score")
 
 
-def exported_folders(t: Tables) -> DataFrame:
-    """Folders found by listing an export that is partitioned by category."""
-    path = scratch_path(t.spark, "export")
-    t.slim.withColumn("category", paths.category(F.col("image_path"))).write.partitionBy("category").parquet(path)
-    files = rd.list_images(t.spark, path, suffixes=[".parquet"])
-    return files.select(paths.category(F.col("image_path")).alias("folder")).distinct()
+def folder(t: Tables, purpose: str) -> str:
+    """A new folder that all executors mount, as a plain path."""
+    return re.sub(r"\Afile:(//)?(?=/)", "", scratch_path(t.spark, purpose))
+
+
+def below(base: str, path: Column) -> Column:
+    return F.concat(F.lit(base), path)
+
+
+def relative(base: str, path: Column) -> Column:
+    return F.substring(path, len(base) + 1, 2**31 - 1)
+
+
+def listed_images(t: Tables) -> DataFrame:
+    """Image and other files of all orders, found again by listing."""
+    base = folder(t, "images")
+    suffix = F.element_at(F.array(*map(F.lit, (".png", ".jpg", ".webp", ".txt"))), (F.col("ord") % 4 + 1).cast("int"))
+    files = t.records.select(below(base, F.concat(F.regexp_replace("image_path", r"\.[^./]*\z", ""), suffix)).alias("path"), F.lit("x").alias("text"))
+    materialise(wr.write_texts(files, wr.mounted_text), "manifest")
+    return rd.list_images(t.spark, base).select("image_key", relative(base, F.col("image_path")).alias("image_path"), "length")
+
+
+def through_objects(t: Tables) -> DataFrame:
+    """Files of ``{key: record}`` with numbers as text, and a damaged one beside them."""
+    path = scratch_path(t.spark, "objects")
+    wr.write_record_json(t.full.withColumn("aesthetic_score", F.col("aesthetic_score").cast("string")), path)
+    t.table("region").limit(1).select(F.lit('{"broken": {"caption": "x"').alias("value")).write.mode("append").text(path)
+    return rd.read_record_json(t.spark, path, indent=None)
+
+
+query(
+    "s01_list_folder",
+    r"SELECT image_key, regexp_replace(image_path, '\.[^./]*$', '') || ['.png', '.jpg', '.webp', '.txt'][ord % 4 + 1] AS image_path, 1 AS length FROM records WHERE ord % 4 < 3",
+)(listed_images)
+query("s03_json_objects", VIEW, "full")(lambda t: dumped(through_objects(t)))
+query("s03_damaged_parts", "SELECT 1 AS n")(lambda t: damaged(t))
+
+
+def damaged(t: Tables) -> DataFrame:
+    """How many parts of each damaged file can't be read."""
+    path = scratch_path(t.spark, "objects")
+    wr.write_record_json(t.slim, path)
+    t.table("region").limit(1).select(F.lit('{"broken": {"caption": "x"').alias("value")).write.mode("append").text(path)
+    return rd.damaged_parts(t.spark, path, indent=None).select("n")
 
 
-query("s01_list_folder", "SELECT DISTINCT 'category=' || category AS folder FROM records")(exported_folders)
-query("s03_json_objects", VIEW, "full")(lambda t: dumped(rd.explode_record_json(wr.record_json(t.full))))
 query("s12_json_lines_round_trip", VIEW, "full")(through_lines)
 query("s04_s13_csv_round_trip", VIEW, "full")(through_csv)
 query(
@@ -249,11 +286,12 @@ query(
 )(upserted)
 
 
-def labelled(t: Tables):
-    captions = t.records.filter(F.col("safe_level") != "g").select(
-        paths.label_path(F.col("image_path")).alias("label_path"), tg.render(F.col("tags")).alias("caption")
-    )
-    return rd.attach_sidecars(t.records.select("image_key", "image_path"), captions)
+def labelled(t: Tables) -> DataFrame:
+    """Captions of some records written beside their images by the sink and read again."""
+    base = folder(t, "captions")
+    images = t.records.withColumn("image_path", below(base, F.col("image_path")))
+    materialise(wr.write_captions(images.filter(F.col("safe_level") != "g"), wr.mounted_text), "manifest")
+    return rd.attach_sidecars(images.select("image_key", "image_path"), rd.read_captions(t.spark, base))
 
 
 query(
@@ -263,18 +301,22 @@ query(
 
 
 def with_metadata(t: Tables) -> DataFrame:
-    """Every order's image, a text sidecar for some and metadata for all with lines."""
-    images = t.records.select("image_key", "image_path", "safe_level")
-    captions = images.filter(F.col("safe_level") == "g").select(
-        paths.label_path(F.col("image_path")).alias("label_path"), F.lit("from text").alias("caption")
+    """Text sidecars for some images, empty for a few, and hidden or plain metadata files for all with lines."""
+    base = folder(t, "sidecars")
+    images = t.records.select("ord", "image_key", below(base, F.col("image_path")).alias("image_path"), "safe_level")
+    path = F.col("image_path")
+    texts = images.filter(F.col("safe_level") == "g").select(
+        paths.label_path(path).alias("path"), F.when(F.col("ord") % 5 == 0, "").otherwise("from text").alias("text")
     )
-    meta = images.join(booru(t), images["image_key"] == F.concat(F.lit("img"), F.col("l_orderkey").cast("string"))).select(
-        F.regexp_replace("image_path", r"/[^/]*\z", "").alias("image_dir"),
-        F.when(F.col("safe_level") == "s", F.col("image_key")).alias("stem"),
-        F.when(F.col("safe_level") != "s", paths.name(F.col("image_path"))).alias("image_name"),
-        F.from_json("payload", BOORU_META).alias("meta"),
+    meta = images.join(booru(t), images["image_key"] == F.concat(F.lit("img"), F.col("l_orderkey").cast("string")))
+    hidden = paths.with_name(path, F.concat(F.lit("."), paths.stem(path), F.lit("_meta.json")))
+    metas = meta.select(
+        F.when(F.col("safe_level") == "s", hidden).otherwise(F.concat(path, F.lit(".json"))).alias("path"),
+        F.when(F.col("safe_level") == "s", F.concat(F.lit('{"danbooru":'), "payload", F.lit("}"))).otherwise(F.col("payload")).alias("text"),
     )
-    return rd.attach_sidecars(images.select("image_key", "image_path"), captions, meta).select(
+    materialise(wr.write_texts(texts.union(metas), wr.mounted_text), "manifest")
+    found = rd.read_booru_meta(t.spark, base).unionByName(rd.read_hidden_meta(images, rd.mounted_text))
+    return rd.attach_sidecars(images.select("image_key", "image_path"), rd.fetch_captions(images, rd.mounted_text), found).select(
         "image_key", tg.render(F.col("tags")).alias("caption"), F.col("original_size.width").cast("bigint").alias("width")
     )
 
@@ -283,7 +325,7 @@ query(
     "s06_sidecar_metadata",
     f"""WITH {META_SQL.strip()},
     firsts AS (SELECT l_orderkey, list_filter(list_transform(k, lambda x, i: struct_pack(x := x, i := i)), lambda s: list_position(k, s.x) = s.i) AS f FROM kept)
-    SELECT image_key, CASE WHEN safe_level = 'g' THEN 'from text' ELSE array_to_string(list_transform(f, lambda s: replace(s.x, '_', ' ')), ', ') END AS caption,
+    SELECT image_key, CASE WHEN safe_level = 'g' THEN CASE WHEN ord % 5 > 0 THEN 'from text' END ELSE array_to_string(list_transform(f, lambda s: replace(s.x, '_', ' ')), ', ') END AS caption,
       CASE WHEN safe_level <> 'g' THEN len(t) END AS width
     FROM records LEFT JOIN firsts f ON f.l_orderkey = ord LEFT JOIN split s ON s.l_orderkey = ord""",
 )(with_metadata)
@@ -326,26 +368,41 @@ query(
 query(
     "s14_caption_manifest",
     r"SELECT image_key, regexp_replace(image_path, '\.[^./]*$', '.txt') AS label_path, strlen(array_to_string(tags, ', ')) AS bytes, 'written' AS status FROM records WHERE len(tags) > 0",
-)(lambda t: wr.write_captions(t.records, put=lambda path, text: None))
+)(lambda t: written_captions(t))
+
+
+def written_captions(t: Tables) -> DataFrame:
+    base = folder(t, "captions")
+    images = t.records.withColumn("image_path", below(base, F.col("image_path")))
+    manifest = materialise(wr.write_captions(images, wr.mounted_text), "manifest")
+    return manifest.withColumn("label_path", relative(base, F.col("label_path")))
 
 
 def statistics(t: Tables) -> DataFrame:
-    """One statistic document per kind of part, in the three shapes."""
+    """One statistic file per kind of part, in the four shapes, written and read again."""
     names = t.table("part").groupBy("p_type", "p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice") + 0.5, 2).alias("price"))
     whole = lambda value: F.to_json(F.map_from_entries(F.collect_list(F.struct("p_name", value))))
+    kind = F.col("p_type")
     per_brand = names.groupBy("p_type", "p_brand").agg(
-        F.when(F.col("p_type") == "PROMO", F.to_json(F.collect_list("p_name")))
-        .when(F.col("p_type") == "SMALL", whole(F.col("price")))
+        F.when(kind == "PROMO", F.to_json(F.collect_list("p_name")))
+        .when(kind == "SMALL", whole(F.col("price")))
+        .when(kind == "MEDIUM", whole(F.array(F.col("n").cast("double"), "price")))
         .otherwise(whole(F.col("n"))).alias("body")
     )
-    documents = per_brand.select(
-        "p_type", F.concat(F.lit('{"'), F.concat_ws("/", "p_type", "p_brand"), F.lit('": '), F.col("body"), F.lit("}")).alias("value")
-    )
-    return rd.statistic_rows(documents)
+    entry = F.concat(F.lit('"'), F.concat_ws("/", "p_type", "p_brand"), F.lit('": '), F.col("body"))
+    files = per_brand.groupBy("p_type").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ", "), F.lit("}")).alias("value"))
+    path = scratch_path(t.spark, "statistics")
+    files.repartition("p_type").write.partitionBy("p_type").text(path)
+    return rd.read_statistics(t.spark, path)
 
 
 query(
     "s16_statistic_tables",
     """SELECT p_type || '/' || p_brand AS character, p_name AS tag, CASE WHEN p_type NOT IN ('PROMO', 'SMALL') THEN count(*) END AS cnt,
-       CASE WHEN p_type = 'SMALL' THEN round(avg(p_retailprice) + 0.5, 2) END AS freq FROM part GROUP BY p_type, p_brand, p_name""",
+       CASE WHEN p_type IN ('SMALL', 'MEDIUM') THEN round(avg(p_retailprice) + 0.5, 2) END AS freq FROM part GROUP BY p_type, p_brand, p_name""",
 )(statistics)
+query(
+    "a05_feature_table_from_file",
+    """SELECT DISTINCT lower(p_type || '/' || p_brand) AS character, p_name AS feature FROM part
+       WHERE p_type = 'PROMO' OR (p_type IN ('SMALL', 'MEDIUM') AND regexp_matches(p_name, '^(?:.*\\b(?:red|old|hot)\\b.*)'))""",
+)(lambda t: rd.feature_table(statistics(t), t.feature_patterns, 0.3, 1, 10**9))

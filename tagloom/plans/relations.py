@@ -435,10 +435,18 @@ query(
     UNION ALL SELECT image_key, image_path, array_to_string(tags, ', ') FROM other WHERE image_key NOT IN (SELECT image_key FROM buffer)""",
     "other", "edits",
 )(
-    lambda t: mg.apply_changes(
+    lambda t: saved(t)
+)
+
+
+def saved(t: Tables) -> DataFrame:
+    """The buffer saved over the second dataset, and read again."""
+    path = scratch_path(t.spark, "saved")
+    wr.save_changes(
         t.other.select("image_key", "image_path", tg.render(F.col("tags")).alias("caption")),
         mg.latest_edits(t.edits).select(
             "image_key", F.concat(F.lit("/edited/"), "image_key", F.lit(".jpg")).alias("image_path"), "caption", "op"
         ),
+        path,
     )
-)
+    return t.spark.read.parquet(path)

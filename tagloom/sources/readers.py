@@ -47,8 +47,8 @@ _TEXTS = T.StructType([T.StructField(n, T.StringType()) for n in (*RECORD.fieldN
 
 
 def _record_map(text: Column) -> Column:
-    """``map<key, record of texts>``; null if the text is no such object."""
-    return F.from_json(text, T.MapType(T.StringType(), _TEXTS))
+    """``map<key, record of texts>``; null if the text is no such object, also if it breaks off."""
+    return F.when(F.json_object_keys(text).isNotNull(), F.from_json(text, T.MapType(T.StringType(), _TEXTS)))
 
 
 def _rows_of(documents: DataFrame, parsed: Column, keep: Sequence[str]) -> DataFrame:
@@ -69,21 +69,25 @@ def explode_record_json(documents: DataFrame, column: str = "value", keep: Seque
     return _rows_of(documents, _record_map(F.col(column)), keep)
 
 
-def _json_parts(spark: SparkSession, path: str | Sequence[str], indent: int) -> DataFrame:
+def _json_parts(spark: SparkSession, path: str | Sequence[str], indent: int | None) -> DataFrame:
     """``(file, value, parsed)`` of the parts that files split into at the ends of records."""
-    pad = " " * indent
     where = path if isinstance(path, str) else list(path)
+    if indent is None:
+        lines = spark.read.text(where).select(F.col("_metadata.file_path").alias("file"), "value")
+        return lines.withColumn("parsed", _record_map(F.col("value")))
+    pad = " " * indent
     parts = spark.read.option("lineSep", f"\n{pad}}},\n").text(where).select(F.col("_metadata.file_path").alias("file"), "value")
     opened = F.regexp_replace("value", r"\A\s*\{?\s*(?=\")", "")
     body = F.regexp_replace(opened, r"\n" + pad + r"\}\s*\}\s*\z", "")
     return parts.withColumn("parsed", F.coalesce(_record_map(F.col("value")), _record_map(F.concat(F.lit("{"), body, F.lit("}}")))))
 
 
-def read_record_json(spark: SparkSession, path: str | Sequence[str], indent: int = 4, damaged: str = "skip") -> DataFrame:
+def read_record_json(spark: SparkSession, path: str | Sequence[str], indent: int | None = 4, damaged: str = "skip") -> DataFrame:
     """JSON databases holding one object ``{key: record}`` per file.
 
     Files dumped with this indent split at the ends of records and are parsed record by record (line breaks inside
     strings are escaped in JSON, and deeper objects are indented further); a file written in another way is one part.
+    Without ``indent`` every line holds an object, the form that ``write_record_json`` writes.
     ``damaged="fail"`` stops at a part that can't be parsed, ``"skip"`` leaves it out: ``damaged_parts`` counts them.
     """
     parts = _json_parts(spark, path, indent)
@@ -94,7 +98,7 @@ def read_record_json(spark: SparkSession, path: str | Sequence[str], indent: int
     return _rows_of(parts, F.col("parsed"), [])
 
 
-def damaged_parts(spark: SparkSession, path: str | Sequence[str], indent: int = 4) -> DataFrame:
+def damaged_parts(spark: SparkSession, path: str | Sequence[str], indent: int | None = 4) -> DataFrame:
     """``(file, n)``: parts of each file that hold no readable record."""
     broken = _json_parts(spark, path, indent).filter(F.col("parsed").isNull() & (F.trim("value") != ""))
     return broken.groupBy("file").agg(F.count(F.lit(1)).alias("n"))

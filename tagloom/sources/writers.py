@@ -49,7 +49,7 @@ def record_json(df: DataFrame) -> DataFrame:
 
 
 def write_record_json(df: DataFrame, path: str) -> None:
-    """Files in the form ``{key: record}`` that ``read_record_json`` reads, one object on a line; ``path`` must be new."""
+    """One object ``{key: record}`` on a line, to be read by ``read_record_json`` with no indent; ``path`` must be new."""
     record_json(df).write.text(path)
 
 
@@ -94,6 +94,18 @@ def mounted_text(path: str, text: str) -> None:
     target.write_text(text, encoding="utf-8")
 
 
+def write_texts(df: DataFrame, put: Callable[[str, str], None]) -> DataFrame:
+    """Write the texts of ``df(path, text)`` in the tasks; returns the lazy manifest ``(path, bytes)``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, text in zip(frame["path"], frame["text"]):
+                put(path, text)
+            yield frame[["path"]].assign(bytes=frame["text"].str.encode("utf-8").str.len())
+
+    return df.select("path", "text").mapInPandas(run, "path string, bytes bigint")
+
+
 def write_captions(df: DataFrame, put: Callable[[str, str], None]) -> DataFrame:
     """Write one text file per record with a non-empty caption; returns a lazy manifest.
 
@@ -139,4 +151,5 @@ __all__ = [
     "write_index",
     "write_json",
     "write_records",
+    "write_texts",
 ]
