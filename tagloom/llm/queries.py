@@ -135,4 +135,35 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
-ORACLES: dict[str, str] = {"op6_mtree_search": _SEARCH_SQL, "op9_chat_formatting": _CHAT_SQL, "op10_license_scan": _license_sql()}
+_JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 75 * (na + nb - c)),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM s UNION SELECT ends.b, reach.r FROM reach JOIN ends ON ends.a = reach.d),
+least AS (SELECT d, min(r) AS r FROM reach GROUP BY d)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, r AS component_id,
+    CASE WHEN len(s) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY md5(array_to_string(list_sort(s), chr(10)))) END AS copies
+FROM s JOIN least ON d = doc_id"""
+
+_REPEATS_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, len(h) // 2 AS n FROM h),
+places AS (SELECT doc_id, h, unnest(range(n - 399)) AS i FROM n WHERE n >= 400),
+windows AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM places),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1),
+steps AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM again),
+runs AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS f FROM spans),
+cut AS (SELECT doc_id, sum(e - s) AS gone, count(*) AS spans, max(e) AS last, string_agg(substr(h, 2 * f + 1, 2 * (s - f)), '' ORDER BY s) AS kept
+    FROM gaps JOIN n USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM n LEFT JOIN cut USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD_SQL, "op5_suffix_array_dedup": _REPEATS_SQL, "op6_mtree_search": _SEARCH_SQL, "op9_chat_formatting": _CHAT_SQL, "op10_license_scan": _license_sql()}
