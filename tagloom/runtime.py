@@ -24,16 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tagloom/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tagloom/{purpose}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete everything this driver has put below the shared folder; call it when no result that reads it is needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
     The result is computed once, does not depend on shuffle files of lost executors, and values that are only
-    stable within one evaluation (partition ids) are fixed.
+    stable within one evaluation (partition ids) are fixed.  The copy stays until ``release_scratch``.
     """
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)

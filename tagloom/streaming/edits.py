@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.batch import edit
-from ..runtime import scratch_path
 
 
 def edit_stream(stream: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
@@ -23,16 +22,17 @@ def edit_stream(stream: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
 
 
 def label_new_files(
-    stream: DataFrame, label: Callable[[DataFrame], DataFrame], output: str, checkpoint: str | None = None
+    stream: DataFrame, label: Callable[[DataFrame], DataFrame], output: str, checkpoint: str
 ) -> StreamingQuery:
     """Labelling job over arriving records: labels what is new, appends to Parquet and stops when caught up.
 
-    Progress is saved per micro-batch in the query's checkpoint, so a restart goes on where it stopped.
+    Progress is saved per micro-batch in the folder ``checkpoint``, which has to outlive the job: a restart with the same
+    folder goes on where it stopped.
     """
     return (
         label(stream)
         .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "label-progress"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start(output)
     )
