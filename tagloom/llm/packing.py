@@ -30,14 +30,17 @@ LARGE = 3
 _tokenizers: dict = {}
 
 
-#: A special token of the vocabulary; ASCII letters are lower-cased beforehand unless a text may hold one.
+#: A special token of the vocabulary; texts that may hold one are not taken word by word.
 _MARK = "<|endoftext|>"
+_LETTER, _MARK_BYTE = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK_BYTE[[x for x in range(33, 127) if not chr(x).isalpha() and chr(x) != "'"]] = True
 
 
 class _Encoder:
     """Ids of text word by word, for the lower-casing word vocabulary.
 
-    That tokenizer drops white space and never joins across it, so a word's ids can be kept.
+    That tokenizer drops white space and never joins across it, so a word's ids can be kept, by the word's 64-bit hash.
     """
 
     def __init__(self, path: str):
@@ -47,13 +50,12 @@ class _Encoder:
         self.mark = self.model.token_to_id(_MARK)
         self.clear()
 
-    def clear(self):
-        self.index: dict[bytes, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), [0], 0
-        self.bounds = np.zeros(1, np.int64)
+    def clear(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by key
+        self.flat, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _ids(self, new: list[bytes]) -> list[np.ndarray]:
-        """Many words in one call, with a special token between them; the rare words that hold one go alone."""
+        """Many words in one call, with a special token between them."""
         joined = np.array(self.model.encode(_MARK.join(w.decode() for w in new), add_special_tokens=False).ids, np.uint32)
         cuts = np.flatnonzero(joined == self.mark)
         if len(cuts) != len(new) - 1:
@@ -61,34 +63,54 @@ class _Encoder:
         begin, end = [0, *(cuts + 1)], [*cuts, len(joined)]
         return [joined[a:b] for a, b in zip(begin, end, strict=True)]
 
-    def learn(self, new: list[bytes]) -> None:
-        for first in range(0, len(new), 512):
-            part = new[first : first + 512]
-            ids = self._ids(part)
-            flat = np.concatenate(ids)
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            for word, own in zip(part, ids, strict=True):
-                self.used += len(own)
-                self.index[word] = len(self.index)
-                self.starts.append(self.used)
-        self.bounds = np.array(self.starts, np.int64)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > CACHE:
+    def learn(self, keys: np.ndarray, new: list[bytes]) -> None:
+        ids = [x for first in range(0, len(new), 512) for x in self._ids(new[first : first + 512])]
+        slots = len(self.bounds) - 1 + np.arange(len(new))
+        self.flat = np.concatenate([self.flat, *ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in ids])])
+        keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slots = keys[order], slots[order]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of every text of a block (bytes and row offsets)."""
+        if len(self.keys) > CACHE:
             self.clear()
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        every = [w for s in split for w in s]
-        new = list(dict.fromkeys(w for w in every if w not in self.index))
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-        first, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        starts = _units(raw, offsets)
+        hashes, rows = words.hashes_at(raw, starts), words.rows_of(starts, offsets)
+        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        new = ~np.isin(distinct, self.keys, assume_unique=True)
+        if new.any():
+            ends = np.append(starts[1:], len(raw))
+            self.learn(distinct[new], [raw[starts[i] : ends[i]].tobytes().strip() for i in first[new]])
+        slots = self.slots[np.searchsorted(self.keys, distinct)][at]
+        begin, n = self.bounds[slots], self.bounds[slots + 1] - self.bounds[slots]
+        stop = np.cumsum(n)
+        ids = self.flat[np.repeat(begin - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        cut = np.concatenate([[0], stop])[np.searchsorted(rows, np.arange(len(offsets)))]
+        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for row in {int(r) for r in words.rows_of(_openings(raw), offsets)}:  # may hold a special token, whose case matters
+            text = raw[offsets[row] : offsets[row + 1]].tobytes().decode()
+            out[row] = np.array(self.model.encode(text, add_special_tokens=False).ids, np.uint32)
+        return out
+
+
+def _units(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where units begin: words, also cut between an ASCII letter and an ASCII digit or mark next to it.
+
+    The tokenizer always cuts there, too; an apostrophe, which may belong to either side, is no such mark.
+    """
+    letter, mark = _LETTER[raw], _MARK_BYTE[raw]
+    start = np.zeros(len(raw), dtype=bool)
+    start[words.word_starts(raw, offsets)] = True
+    start[1:] |= (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+    return np.flatnonzero(start)
+
+
+def _openings(raw: np.ndarray) -> np.ndarray:
+    """Where ``<|`` stands."""
+    at = np.flatnonzero(raw[:-1] == ord("<"))
+    return at[raw[at + 1] == ord("|")]
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -97,10 +119,8 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
             _tokenizers[path] = _Encoder(path)
         encoder = _tokenizers[path]
         for rows, raw, offsets in words.blocks(batches, size=1 << 21):
-            data = raw.tobytes()
-            texts = [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             out = []
-            for row, ids in enumerate(encoder.encode(texts)):
+            for row, ids in enumerate(encoder.encode(raw, offsets)):
                 ids = np.append(ids, end_id).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity].tobytes()

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _STEP = 1 << 20
 
 _seed = np.random.default_rng(20240607)
@@ -120,6 +120,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: str = "lower") -> tu
     ``lower`` and ``exact`` words stand between white space; ``plain`` ones are lower-cased and free of ASCII marks.
     """
     starts = word_starts(raw, offsets, _MARKS if kind == "plain" else _SPACE)
+    return hashes_at(raw, starts, kind), rows_of(starts, offsets)
+
+
+def hashes_at(raw: np.ndarray, starts: np.ndarray, kind: str = "lower") -> np.ndarray:
+    """Hash of what lies between each start and the next; bytes between words do not count."""
     values = {"lower": _LOWER, "exact": _EXACT, "plain": _PLAIN}[kind]
     hashes = np.empty(len(starts), dtype=np.uint64)
     first = 0
@@ -132,7 +137,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: str = "lower") -> tu
         weighted = values[raw[begin:end]] * powers[: end - begin]
         hashes[first:last] = np.add.reduceat(weighted, local) * inverses[local]
         first = last
-    return mix(hashes), rows_of(starts, offsets)
+    return mix(hashes)
 
 
 def stems(raw: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
