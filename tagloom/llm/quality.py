@@ -74,21 +74,22 @@ def descend(sample: DataFrame, ratio: np.ndarray, kinds: list[int], rounds: int
 
 
 def curve(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of the logistic curve, by Newton steps, with smoothed targets."""
+    """(slope, shift) of the logistic curve, by Newton steps, with smoothed targets; both classes weigh alike."""
     pos, neg = int((labels > 0).sum()), int((labels <= 0).sum())
     if not pos or not neg:
         return 1.0, 0.0
     target = np.where(labels > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    weight = np.where(labels > 0, 0.5 / pos, 0.5 / neg) * len(labels)
     scale = float(np.std(margins)) or 1.0
     x, at = np.stack([margins / scale, np.ones(len(margins))], axis=1), np.array([1.0, 0.0])
 
     def value(a: np.ndarray) -> float:
         z = x @ a
-        return float(np.sum(np.logaddexp(0, z) - target * z))
+        return float(weight @ (np.logaddexp(0, z) - target * z))
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (p - target))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (weight * (p - target)))
         rate = 1.0
         while value(at - rate * step) > value(at) and rate > 1e-6:
             rate /= 2
