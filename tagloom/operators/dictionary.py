@@ -273,7 +273,8 @@ def defeature(
 ) -> DataFrame:
     """Drop from each record the features of all its characters; ``features(character, feature)``.
 
-    Features are grouped per character before the join, so one row per (record, character) is shuffled.
+    Features are grouped per character before the join.  The record travels with its few characters and is regrouped
+    once, so the input is computed once.
     """
     grouped = (
         features.select(
@@ -283,20 +284,17 @@ def defeature(
         .groupBy("__character")
         .agg(F.collect_set("__feature").alias("__features"))
     )
-    named = explode_rows(df, [key], F.col(characters), "__name").select(
-        key, normal.space_form(F.col("__name")).alias("__character")
-    )
+    names = F.array_distinct(F.transform(F.col(characters), lambda c: normal.space_form(c)))
+    record = F.struct(*df.columns).alias("__record")
+    named = df.select(key, record, F.explode_outer(names).alias("__character"))
     per_record = gather(
-        named.join(grouped, "__character").select(key, "__features"),
+        named.join(grouped, "__character", "left"),
         key,
+        F.first("__record").alias("__record"),
         F.flatten(F.collect_list("__features")).alias("__features"),
-    )
+    ).select("__record.*", "__features")
     kept = F.filter(F.col(tags), lambda t: ~F.array_contains(F.col("__features"), normal.space_form(t)))
-    return (
-        df.join(per_record, key, "left")
-        .withColumn(tags, F.when(F.col("__features").isNull(), F.col(tags)).otherwise(kept))
-        .drop("__features")
-    )
+    return per_record.withColumn(tags, F.when(F.size("__features") == 0, F.col(tags)).otherwise(kept)).select(*df.columns)
 
 
 # -- composed edits ---------------------------------------------------------------------------------------

@@ -26,18 +26,19 @@ def post_attributes(posts: DataFrame) -> DataFrame:
 def post_tags(posts: DataFrame, dimension: DataFrame, key: str = "id", ids: str = "tag_ids") -> DataFrame:
     """Posts with tag names in id order, also split by type; unknown ids are dropped.
 
-    Ids are exploded, joined and brought back with one shuffle on the post's key; a post's list is as long as
-    the post's own tag list.
+    Ids are exploded with the rest of the post, joined and brought back with one shuffle on the post's key, so posts are
+    computed once; a post's list is as long as its own tag list.
     """
-    exploded = explode_rows(posts, [key], F.col(ids), "pos", "tag_id", position=True)
-    named = exploded.join(dimension.select(F.col("id").alias("tag_id"), "name", "type"), "tag_id")
-    gathered = gather(named, key, F.sort_array(F.collect_list(F.struct("pos", "name", "type"))).alias("__tags"))
+    record = F.struct(*[c for c in posts.columns if c != ids]).alias("__post")
+    exploded = posts.select(key, record, F.posexplode_outer(ids).alias("pos", "tag_id"))
+    named = exploded.join(dimension.select(F.col("id").alias("tag_id"), "name", "type"), "tag_id", "left")
+    found = F.when(F.col("name").isNotNull(), F.struct("pos", "name", "type"))
+    tagged = gather(named, key, F.first("__post").alias("__post"), F.sort_array(F.collect_list(found)).alias("__tags"))
+    tagged = tagged.select("__post.*", "__tags")
     names = lambda items: F.transform(items, lambda x: x["name"])
-    none = F.array().cast("array<struct<pos:int,name:string,type:string>>")
-    tagged = posts.join(gathered, key, "left").withColumn("__tags", F.coalesce("__tags", none))
     of_type = lambda label: names(F.filter("__tags", lambda x: x["type"] == label))
     split = {f"tags_{label}": of_type(label) for label in TAG_TYPE_CODES.values()}
-    return tagged.withColumns({"tags": names(F.col("__tags")), **split}).drop("__tags", ids)
+    return tagged.withColumns({"tags": names(F.col("__tags")), **split}).drop("__tags")
 
 
 def wiki_text(names: DataFrame, dimension: DataFrame, wiki: DataFrame, name: str = "name") -> DataFrame:
