@@ -200,6 +200,22 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_across_lines(spark):
+    wrapped = {
+        "bsd": "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that",
+        "mpl": "# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy of the MPL was not\n# distributed with this file, You can obtain one at\n# http://mozilla.org/MPL/2.0/.",
+        "mit": "The above copyright notice and this permission notice shall be included\nin all copies or substantial portions of the Software.",
+        "apache": "You may not use this file\nexcept in compliance with the License. You may obtain a copy of\nthe License at http://www.apache.org/licenses/LICENSE-2.0",
+    }
+    alone = {"Released under the BSD license.": "bsd", "Licensed under CC BY 4.0.": "", "Released under the same license.": "", "the license\n" + "x " * 400 + "\nreleased under mit": ""}
+    alone |= {"Released under the terms and conditions of the well known MIT style license": "mit"}
+    texts = [(t, label) for label, t in wrapped.items()] + [("word " * n + "\n" + wrapped["mpl"] + "\nword" * n, "mpl") for n in range(60, 180, 7)] + list(alone.items())
+    rows = [(i, t, *[None] * 8) for i, (t, _) in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, brute.SCHEMA)).collect()}
+    assert [got[i].labels for i in range(len(texts))] == [label for _, label in texts]
+    assert got[1].score == 1.0
+
+
 def test_licenses_stay_native(docs):
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
