@@ -3,8 +3,8 @@
 Terms are pairs of consecutive lower-cased words, weighted by their number.  For each of ``SAMPLES`` samples a term has
 three fixed random numbers, two gamma distributed and one uniform; with its weight they give a value, and the term of
 the smallest value (with the step its weight falls on) is the sample.  Two texts agree in a sample with a probability
-equal to their generalised Jaccard similarity.  The random numbers depend on the sample and on the hashed term alone,
-so texts can be fingerprinted anywhere, in any order.
+equal to their generalised Jaccard similarity.  The random numbers are a mix of the sample and the term's 64-bit hash
+and depend on nothing else, so texts of any length can be fingerprinted anywhere, in any order.
 """
 
 from __future__ import annotations
@@ -19,50 +19,47 @@ from pyspark.sql import DataFrame, functions as F
 from . import words
 from .common import partitions
 
-#: Samples of a fingerprint, each 16 bits, and bits of a hashed term.
-SAMPLES, TERM_BITS = 64, 16
-_tables: list[np.ndarray] = []
+#: Samples of a fingerprint, each 16 bits.
+SAMPLES = 64
+#: Terms whose random numbers are drawn at a time.
+BLOCK = 512
+_seeds = words.mix(np.arange(1, 3 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, SAMPLES)
 
 
-def _random_numbers() -> list[np.ndarray]:
-    """By term and sample: log c, r, beta and the value of weight 1."""
-    if not _tables:
-        rng = np.random.Generator(np.random.PCG64(1212))
-        shape = (1 << TERM_BITS, SAMPLES)
+def _uniform(terms: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """By term and sample two numbers above 0 and at most 1: the halves of a mix of both."""
+    halves = words.mix(terms[:, None] ^ _seeds[which]).view(np.uint32).reshape(len(terms), SAMPLES, 2) >> np.uint32(8)
+    return tuple((halves[:, :, i].astype(np.float32) + np.float32(1)) * np.float32(2.0**-24) for i in (0, 1))
 
-        def gamma2() -> np.ndarray:
-            return -np.log((1 - rng.random(shape, dtype=np.float32)) * (1 - rng.random(shape, dtype=np.float32)))
 
-        r, log_c = np.maximum(gamma2(), np.float32(1e-6)), np.log(np.maximum(gamma2(), np.float32(1e-12)))
-        beta = rng.random(shape, dtype=np.float32)
-        _tables.extend([log_c, r, beta, log_c - r * (1 - beta)])
-    return _tables
+def _random_numbers(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By term and sample: log c, r and beta."""
+    a, b = _uniform(terms, 0)
+    c, d = _uniform(terms, 1)
+    r, log_c = np.maximum(-np.log(a * b), np.float32(1e-6)), np.log(np.maximum(-np.log(c * d), np.float32(1e-12)))
+    return log_c, r, _uniform(terms, 2)[0]
 
 
-def _least(terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value, sample) for one text; long texts in parts."""
-    log_c, r, beta, once = _random_numbers()
-    best, code = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
-    columns = np.arange(SAMPLES)
-    for first in range(0, len(terms), 4096):
-        t, n = terms[first : first + 4096], counts[first : first + 4096]
-        value = once[t]
-        more = np.flatnonzero(n > 1)
-        step = np.zeros((len(more), SAMPLES), np.float32)
+def _least(terms: np.ndarray, counts: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The samples of ``n`` texts whose terms follow each other; ``of`` is the text of each term."""
+    best, code = np.full((n, SAMPLES), np.inf, np.float32), np.zeros((n, SAMPLES), np.uint64)
+    for first in range(0, len(terms), BLOCK):
+        part = slice(first, first + BLOCK)
+        t, text = terms[part], of[part]
+        log_c, r, beta = _random_numbers(t)
+        step = np.zeros_like(r)
+        more = np.flatnonzero(counts[part] > 1)
         if len(more):
-            k = t[more]
-            step = np.floor(np.log(n[more]).astype(np.float32)[:, None] / r[k] + beta[k])
-            value[more] = log_c[k] - r[k] * (step - beta[k] + 1)
-        at = value.argmin(axis=0)
-        low = value[at, columns]
-        place = np.full(len(t), -1)
-        place[more] = np.arange(len(more))
-        own = place[at]
-        steps = np.where(own >= 0, step[own, columns] if len(more) else 0, 0).astype(np.int64)
-        found = words.mix(t[at].astype(np.uint64) << np.uint64(32) | (steps + (1 << 20)).astype(np.uint64))
-        better = low < best
-        best[better], code[better] = low[better], found[better]
-    return best, code
+            step[more] = np.floor(np.log(counts[part][more]).astype(np.float32)[:, None] / r[more] + beta[more])
+        value = log_c - r * (step - beta + 1)
+        heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        for a, b in zip(heads, [*heads[1:], len(t)], strict=True):
+            at = a + value[a:b].argmin(axis=0)
+            low, steps = value[at, np.arange(SAMPLES)], step[at, np.arange(SAMPLES)].astype(np.int64)
+            better = low < best[text[a]]
+            found = words.mix(t[at] ^ words.mix(steps.astype(np.uint64)))
+            best[text[a], better], code[text[a], better] = low[better], found[better]
+    return code
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -71,15 +68,13 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     hashes, rows = words.word_hashes(raw, offsets)
     keys, of = words.shingles(hashes, rows, len(texts), 2)
-    packed = of.astype(np.uint64) << np.uint64(TERM_BITS) | keys >> np.uint64(64 - TERM_BITS)
-    packed, counts = np.unique(packed, return_counts=True)
-    terms, of = (packed & np.uint64((1 << TERM_BITS) - 1)).astype(np.int64), (packed >> np.uint64(TERM_BITS)).astype(np.int64)
-    cuts = np.searchsorted(of, np.arange(len(texts) + 1))
-    out = np.zeros((len(texts), SAMPLES), np.uint16)
-    for i in range(len(texts)):
-        a, b = cuts[i], cuts[i + 1]
-        if b > a:
-            out[i] = (_least(terms[a:b], counts[a:b])[1] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    order = np.lexsort((keys, of))
+    keys, of = keys[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])])[: len(keys)])
+    counts = np.diff(np.append(first, len(keys)))
+    code = _least(keys[first], counts, of[first], len(texts))
+    out = (code & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    out[np.bincount(of, minlength=len(texts)) == 0] = 0
     return out
 
 

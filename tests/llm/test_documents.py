@@ -168,6 +168,12 @@ def test_fingerprints_estimate_generalised_jaccard():
     assert 0.2 < (one == two).mean() < 0.7
 
 
+def test_long_texts_are_not_alike_by_chance():
+    one, two = (" ".join(f"{side}{i}" for i in range(100_000)).encode() for side in "ab")
+    found = fingerprints.fingerprints([one, two, one])
+    assert (found[0] == found[1]).mean() < 0.05 and (found[0] == found[2]).all()
+
+
 def test_licenses(spark, empty):
     texts = [
         "Released under the MIT License.", "mit license MIT-License; mit\nlicense", "GENERAL PUBLIC license general public", "mitlicense mit licenses",
