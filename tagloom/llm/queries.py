@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .chat import format_tool_chat, tool_messages
+from .chat import context_messages, format_tool_chat, tool_messages
 from .fingerprints import fingerprint_documents
 from .licenses import TEMPLATES, scan
 from .mixing import mix
@@ -61,7 +61,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_tool_chat(*tool_messages(table(spark, sf_dir, "conversations")))
+    talk = table(spark, sf_dir, "conversations")
+    return format_tool_chat(*tool_messages(talk), context=context_messages(talk))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,3 +70,18 @@ def test_other_roles_are_context(spark, role):
     talk = spark.createDataFrame([(1, 0, role, "x"), (1, 1, "user", None), (1, 2, "assistant", "y"), (None, 1, "user", "z")], "conv_id bigint, turn bigint, role string, text string")
     got = chat.format_tool_chat(*chat.tool_messages(talk)).collect()
     assert [(r.turn, r.linked) for r in got] == [(1, True)]
+
+
+def test_chat_keeps_whole_texts(spark):
+    texts = [(0, "system", "s" * 150), (1, "user", "a" * 300), (2, "assistant", "r" * 90), (3, "user", "b" * 301), (5, "user", "c" * 302), (7, "user", "d" * 2002), (8, None, 'said "so"'), (9, "system", None)]
+    talk = spark.createDataFrame([(1, *row) for row in [*texts, texts[0]]], "conv_id bigint, turn bigint, role string, text string")
+    rows = chat.format_tool_chat(*chat.tool_messages(talk), context=chat.context_messages(talk)).collect()
+    assert sorted(r.turn for r in rows) == [0, 1, 3, 5, 7, 8, 9] and sorted(r.position for r in rows) == list(range(7))
+    got = {r.turn: json.loads(r.message) for r in rows}
+    assert (got[1]["arguments"]["query"], got[3]["arguments"]["text"], got[5]["arguments"]["text"], got[7]["arguments"]["text"]) == ("a" * 300, "b" * 301, "c" * 302, "d" * 2002)
+    assert got[1]["result"] == "r" * 90
+    assert [(got[t]["role"], got[t]["content"]) for t in (0, 8, 9)] == [("system", "s" * 150), (None, 'said "so"'), ("system", "")]
+    faults = {r.turn: r.faults for r in rows}
+    assert faults == {0: "", 1: "query too long", 3: "", 5: "", 7: "chars too large; text too long", 8: "", 9: ""}
+    for r in rows:
+        assert json.dumps(json.loads(r.message), separators=(",", ":"), sort_keys=True) == r.message
