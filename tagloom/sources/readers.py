@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import Path
 
 import pandas as pd
@@ -112,10 +112,11 @@ def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_record_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = False) -> DataFrame:
+def read_record_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
     """CSV databases with an ``image_key`` column; known columns only, empty cells are null.
 
-    Files with line breaks inside cells need ``multi_line``, which reads each file in one task.
+    Cells may hold line breaks, so each file is read in one task.  Without ``multi_line`` files split at line breaks,
+    which is right only if no cell holds one.
     """
     raw = (
         spark.read.option("header", True)
@@ -304,14 +305,17 @@ def read_source(spark: SparkSession, path: str, fetch: Callable[[str], str | Non
 
 def load_paths(
     spark: SparkSession, sources: Sequence[str], cache: DataFrame | None = None, key_condition: Column | None = None,
-    fetch: Callable[[str], str | None] | None = None,
+    fetch: Callable[[str], str | None] | None = None, options: Mapping[str, Mapping[str, object]] | None = None,
 ) -> DataFrame:
-    """Sources of any kind by path as one dataset, as ``load`` merges them; captions are tag lists throughout."""
+    """Sources of any kind by path as one dataset, as ``load`` merges them; captions are tag lists throughout.
+
+    ``options`` has, by path, what the reader of a source takes besides.
+    """
 
     def tagged(df: DataFrame) -> DataFrame:
         return df if "tags" in df.columns else df.withColumn("tags", tg.parse(F.col("caption"))).drop("caption")
 
-    return load([tagged(read_source(spark, s, fetch)) for s in sources], cache, key_condition)
+    return load([tagged(read_source(spark, s, fetch, **(options or {}).get(s, {}))) for s in sources], cache, key_condition)
 
 
 # -- post database and statistic tables ---------------------------------------------------------------------

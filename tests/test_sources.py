@@ -137,6 +137,18 @@ def test_feature_table_from_files(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {("some girl", "red hair"), ("other", "blue hair"), ("third", "pink hair"), ("fourth", "anything")}
 
 
+def test_csv_keeps_line_breaks_in_cells(spark, tmp_path):
+    captions = {"k1": 'one\ntwo, "three"', "k2": "a\r\nb", "k3": "c\rd", "k4": "plain"}
+    df = spark.createDataFrame([(k, f"/d/{k}.png\nx", [c]) for k, c in captions.items()], "image_key string, image_path string, tags array<string>")
+    wr.write_csv(df.coalesce(1), str(tmp_path / "out"))
+    back = rd.read_record_csv(spark, str(tmp_path / "out")).collect()
+    assert {r.image_key: (r.caption, r.image_path) for r in back} == {k: (c, f"/d/{k}.png\nx") for k, c in captions.items()} and len(back) == 4
+    path = str(tmp_path / "db.csv")
+    (tmp_path / "db.csv").write_text('image_key,image_path,caption\nk1,/a/k1.png,"x,\ny"\nk2,/a/k2.png,z\n')
+    assert {r.image_key: r.tags for r in rd.load_paths(spark, [path]).collect()} == {"k1": ["x,\ny"], "k2": ["z"]}
+    assert rd.load_paths(spark, [path], options={path: {"multi_line": False}}).count() == 3
+
+
 def test_sources_by_path(spark, folder):
     (folder / "db.json").write_text(json.dumps({"one": {"image_path": "/z/one.png", "caption": "from json"}, "new": {"image_path": "/z/new.png"}}))
     (folder / "db.csv").write_text("image_key,image_path,caption\nnew,/y/new.png,from csv\nnew,/x/new.png,again\nlast,/y/last.png,\n")
