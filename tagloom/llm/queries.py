@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .common import table
 from .chat import context_messages, format_tool_chat, tool_messages
+from .filter_audit import audit
 from .fingerprints import fingerprint_documents
 from .licenses import TEMPLATES, scan
 from .mixing import mix
 from .mtree import top_k
 from .ngram_join import ngram_components
 from .packing import pack
+from .prefix_trie import trie
 from .quality import quality
 from .substrings import removal_summary
 from .toxicity import toxicity
 
 #: Where the public tokenizers lie; a parameter of every operator that uses one.
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,6 +73,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(table(spark, sf_dir, "conversations"), group=20, heads=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_license_scan": op10_license_scan,
+    "op11_bpe_codec": op11_bpe_codec,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 def _license_sql() -> str:
@@ -167,4 +186,47 @@ SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(sp
     sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM n LEFT JOIN cut USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _JACCARD_SQL, "op5_suffix_array_dedup": _REPEATS_SQL, "op6_mtree_search": _SEARCH_SQL, "op9_chat_formatting": _CHAT_SQL, "op10_license_scan": _license_sql()}
+_AUDIT_SQL = """
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+    FROM w LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS f),
+orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, f AS step FROM orders, f),
+walk AS (SELECT part, array_to_string(list_transform(o, lambda i: chr(64 + i::INTEGER)), '') AS filter_order, step::INTEGER AS step, o[step] AS filter, n, good, toxic,
+    len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 AS gone, fails[o[step]] AS failing, len(list_filter(fails, lambda x: x)) = 1 AS once FROM cells, steps),
+s AS (SELECT part, filter_order, step, chr(64 + filter::INTEGER) AS filter, coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed, coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant,
+    coalesce(sum(n) FILTER (failing AND once), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost FROM walk GROUP BY ALL)
+SELECT part, filter_order, step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, filter)::BIGINT AS shapley FROM s"""
+
+_TRIE_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS j FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda x: ascii(x)::BIGINT)), lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 4 AS h
+    FROM t GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS kept FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, t.j + 1 AS i, role, text FROM k JOIN t ON t.conv_id = k.base AND t.j < k.h
+    UNION ALL SELECT k.conv_id, kept + t.j - h + 1, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.j >= k.h),
+p AS (SELECT conv_id, i, text, md5(string_agg(md5(role) || md5(text), '' ORDER BY i) OVER (PARTITION BY conv_id ORDER BY i)) AS p FROM r
+    UNION ALL SELECT conv_id, 0, '', '' FROM k),
+len AS (SELECT conv_id, max(i) AS size FROM p GROUP BY conv_id),
+up AS (SELECT p.*, q.p AS above, size FROM p JOIN len USING (conv_id) LEFT JOIN p q ON q.conv_id = p.conv_id AND q.i = p.i - 1),
+nodes AS (SELECT p, any_value(i) AS depth, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n, any_value(text) AS text,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (i = size) AS ends FROM up GROUP BY p),
+kids AS (SELECT above AS p, count(*) AS n FROM nodes WHERE above IS NOT NULL GROUP BY above),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS children, CASE WHEN depth = 0 THEN 0 ELSE (nodes.n - 1) * len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+    FROM nodes LEFT JOIN kids USING (p)),
+sums AS (SELECT a.p, count(*) FILTER (v.children = 0) AS leaves, sum(v.saved) AS saved FROM own v JOIN p a ON a.conv_id = v.conv_id AND a.i <= v.depth GROUP BY a.p)
+SELECT own.conv_id, own.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, own.n AS n_convs, own.children AS n_children, leaves AS n_leaves,
+    sums.saved::BIGINT AS saved_tokens, sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN sums USING (p) LEFT JOIN nodes up ON up.p = own.above"""
+
+ORACLES: dict[str, str] = {"op12_filter_audit": _AUDIT_SQL, "op13_prefix_trie": _TRIE_SQL, "op1_ngram_jaccard_join": _JACCARD_SQL, "op5_suffix_array_dedup": _REPEATS_SQL, "op6_mtree_search": _SEARCH_SQL, "op9_chat_formatting": _CHAT_SQL, "op10_license_scan": _license_sql()}

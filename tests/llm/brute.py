@@ -104,3 +104,28 @@ def groups(pairs) -> dict:
     for k, v in pairs:
         out[k].append(v)
     return out
+
+
+def trie(rows: list[tuple], group: int = 20, heads: int = 4) -> Counter:
+    """Rows of the prefix trie for (conv_id, turn, role, text)."""
+    import hashlib
+    import zlib
+
+    own = groups((c, (t is not None, t or 0, r or "", hashlib.md5((x or "").encode()).digest(), x or "")) for c, t, r, x in rows if c is not None)
+    own = {c: [(r, x) for *_, r, _, x in sorted(ts)] for c, ts in own.items()}
+    convs = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        convs[c] = tuple(own.get(c - int(c % group if c >= 0 else -(-c % group)), [])[:h] + turns[h:])
+    members = groups((turns[:d], c) for c, turns in convs.items() for d in range(len(turns) + 1))
+    kids = groups((p[:-1], p) for p in members if p)
+    size = lambda p: len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[k] for k in kids[p]) if p in kids else 1
+        saved[p] = (len(members[p]) - 1) * size(p) + sum(saved[k] for k in kids.get(p, []))
+    sha = lambda cs: hashlib.sha256(",".join(map(str, sorted(cs))).encode()).hexdigest()
+    return Counter(
+        (min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids.get(p, [])), leaves[p], saved[p], sha([c for c in m if len(convs[c]) == len(p)]))
+        for p, m in members.items()
+    )

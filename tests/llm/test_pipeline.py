@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not
 
 
 def test_names():
-    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] and len({n.split("_")[0] for n in queries.QUERIES}) == 10
+    assert [re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES] and len({n.split("_")[0] for n in queries.QUERIES}) == 13
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
