@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import derived as dv, normal, tags as tg
 from ..functions.binding import let
 from ..functions.rules import LOWEST_PRIORITY, Regex, loose
-from ..runtime import collect_if_small, explode_rows, gather
+from ..runtime import collect_if_small, explode_rows, gather, materialise
 
 INLINE_LIMIT = 5000
 INLINE_PAIRS = 200
@@ -269,32 +269,38 @@ def defeature(
     features: DataFrame,
     characters: str = "characters",
     tags: str = "tags",
-    key: str = "image_key",
+    inline_limit: int = 500,
 ) -> DataFrame:
     """Drop from each record the features of all its characters; ``features(character, feature)``.
 
-    Features are grouped per character before the join.  The record travels with its few characters and is regrouped
-    once, so the input is computed once.
+    Every record stays, also those that share a key or have none.  Up to ``inline_limit`` features are a map in the row
+    expression.  More of them are joined: the records are written once with a number of their own, only that number and
+    the characters are exploded and shuffled, and what is found joins the written records again.
     """
-    grouped = (
-        features.select(
-            normal.space_form(F.col("character")).alias("__character"),
-            normal.space_form(F.col("feature")).alias("__feature"),
-        )
-        .groupBy("__character")
-        .agg(F.collect_set("__feature").alias("__features"))
-    )
+    pairs = features.select(
+        normal.space_form(F.col("character")).alias("__character"), normal.space_form(F.col("feature")).alias("__feature")
+    ).filter("__character is not null and __feature is not null")
     names = F.array_distinct(F.transform(F.col(characters), lambda c: normal.space_form(c)))
-    record = F.struct(*df.columns).alias("__record")
-    named = df.select(key, record, F.explode_outer(names).alias("__character"))
-    per_record = gather(
-        named.join(grouped, "__character", "left"),
-        key,
-        F.first("__record").alias("__record"),
-        F.flatten(F.collect_list("__features")).alias("__features"),
-    ).select("__record.*", "__features")
-    kept = F.filter(F.col(tags), lambda t: ~F.array_contains(F.col("__features"), normal.space_form(t)))
-    return per_record.withColumn(tags, F.when(F.size("__features") == 0, F.col(tags)).otherwise(kept)).select(*df.columns)
+
+    def without(found: Column) -> Column:
+        kept = lambda feats: F.filter(F.col(tags), lambda t: ~F.coalesce(F.array_contains(feats, normal.space_form(t)), F.lit(False)))
+        return F.when(F.coalesce(F.size(found), F.lit(0)) < 1, F.col(tags)).otherwise(let(found, kept))
+
+    small = collect_if_small(pairs.distinct(), inline_limit)
+    if small is not None:
+        of: dict[str, list[str]] = {}
+        for row in sorted(small):
+            of.setdefault(row["__character"], []).append(row["__feature"])
+        if not of:
+            return df
+        table = F.create_map(*[x for name, feats in of.items() for x in (F.lit(name), tg.lit_tags(feats))])
+        found = F.flatten(F.transform(names, lambda c: F.coalesce(F.try_element_at(table, c), tg.empty())))
+        return df.withColumn("__found", found).withColumn(tags, without(F.col("__found"))).select(*df.columns)
+    grouped = pairs.groupBy("__character").agg(F.collect_set("__feature").alias("__features"))
+    written = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "records")
+    named = explode_rows(written, ["__row"], names, "__character").join(grouped, "__character")
+    per_row = gather(named, "__row", F.flatten(F.collect_list("__features")).alias("__features"))
+    return written.join(per_row, "__row", "left").withColumn(tags, without(F.col("__features"))).select(*df.columns)
 
 
 # -- composed edits ---------------------------------------------------------------------------------------

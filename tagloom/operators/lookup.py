@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import metadata as md, paths
 from ..functions.rules import TAG_TYPE_CODES
-from ..runtime import explode_rows, gather
+from ..runtime import explode_rows, gather, materialise
 
 KEY = "image_key"
 FLAGS = ("has_children", "has_active_children", "has_large", "has_visible_children")
@@ -23,22 +23,22 @@ def post_attributes(posts: DataFrame) -> DataFrame:
     return posts.withColumns({"rating": md.rating_label(F.col("rating")), **flags})
 
 
-def post_tags(posts: DataFrame, dimension: DataFrame, key: str = "id", ids: str = "tag_ids") -> DataFrame:
+def post_tags(posts: DataFrame, dimension: DataFrame, ids: str = "tag_ids") -> DataFrame:
     """Posts with tag names in id order, also split by type; unknown ids are dropped.
 
-    Ids are exploded with the rest of the post, joined and brought back with one shuffle on the post's key, so posts are
-    computed once; a post's list is as long as its own tag list.
+    Every post stays, also those that share an id or have none: posts are written once with a number of their own, that
+    number and the tag ids are exploded, joined and brought together, and the written posts take their lists by number.
     """
-    record = F.struct(*[c for c in posts.columns if c != ids]).alias("__post")
-    exploded = posts.select(key, record, F.posexplode_outer(ids).alias("pos", "tag_id"))
-    named = exploded.join(dimension.select(F.col("id").alias("tag_id"), "name", "type"), "tag_id", "left")
-    found = F.when(F.col("name").isNotNull(), F.struct("pos", "name", "type"))
-    tagged = gather(named, key, F.first("__post").alias("__post"), F.sort_array(F.collect_list(found)).alias("__tags"))
-    tagged = tagged.select("__post.*", "__tags")
+    written = materialise(posts.withColumn("__row", F.monotonically_increasing_id()), "posts")
+    exploded = written.select("__row", F.posexplode(ids).alias("pos", "tag_id"))
+    named = exploded.join(dimension.select(F.col("id").alias("tag_id"), "name", "type"), "tag_id").filter("name is not null")
+    lists = gather(named, "__row", F.sort_array(F.collect_list(F.struct("pos", "name", "type"))).alias("__tags"))
+    tagged = written.join(lists, "__row", "left").drop("__row", ids)
+    found = F.when(F.col("__tags").isNotNull(), F.col("__tags")).otherwise(F.array().cast(lists.schema["__tags"].dataType))
     names = lambda items: F.transform(items, lambda x: x["name"])
     of_type = lambda label: names(F.filter("__tags", lambda x: x["type"] == label))
     split = {f"tags_{label}": of_type(label) for label in TAG_TYPE_CODES.values()}
-    return tagged.withColumns({"tags": names(F.col("__tags")), **split}).drop("__tags")
+    return tagged.withColumn("__tags", found).withColumns({"tags": names(F.col("__tags")), **split}).drop("__tags")
 
 
 def wiki_text(names: DataFrame, dimension: DataFrame, wiki: DataFrame, name: str = "name") -> DataFrame:

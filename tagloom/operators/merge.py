@@ -63,7 +63,7 @@ def first_source_wins(sources: Sequence[DataFrame], order: str | None = None, ke
 
     Records of one source come in the order of ``order``; without it, and among equals, the smallest path is first,
     then the smallest hash of the record, so the winner never depends on the run.  A rank-limit window is cut before
-    the shuffle, so a hot key sends one record per task.
+    the shuffle, so a hot key sends one record per task.  Records without a key are nobody's duplicates: all of them stay.
     """
 
     def rank(df: DataFrame, i: int) -> DataFrame:
@@ -72,12 +72,13 @@ def first_source_wins(sources: Sequence[DataFrame], order: str | None = None, ke
         ranks = {"__source": F.lit(i), "__order": F.col(order) if order else F.lit(0), "__path": path, "__whole": whole}
         return df.withColumns(ranks)
 
-    merged = rank(sources[0], 0)
+    merged, keyless = rank(sources[0].filter(F.col(key).isNotNull()), 0), sources[0].filter(F.col(key).isNull())
     for i, source in enumerate(sources[1:], start=1):
-        merged = merged.unionByName(rank(source, i), allowMissingColumns=True)
+        merged = merged.unionByName(rank(source.filter(F.col(key).isNotNull()), i), allowMissingColumns=True)
+        keyless = keyless.unionByName(source.filter(F.col(key).isNull()), allowMissingColumns=True)
     ranks = ["__source", "__order", "__path", "__whole"]
     first = F.row_number().over(Window.partitionBy(key).orderBy(*ranks))
-    return merged.withColumn("__n", first).filter("__n = 1").drop("__n", *ranks)
+    return merged.withColumn("__n", first).filter("__n = 1").drop("__n", *ranks).unionByName(keyless)
 
 
 def cache_override(source: DataFrame, cache: DataFrame, key: str = KEY) -> DataFrame:

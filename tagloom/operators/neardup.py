@@ -131,8 +131,10 @@ def drop_near_duplicates(
 
     Copies of a hash fold to its smallest key.  First every hash is compared with the smallest key of each of its bands
     only, which decides nearly all members of a dense cluster without pairing them.  Hashes that are not decided then
-    look at all smaller keys near them.
+    look at all smaller keys near them.  Records without a hash or a key are near to nothing and stay.
     """
+    whole = F.col("h1").isNotNull() & F.col("h2").isNotNull() & F.col(key).isNotNull()
+    bare, df = df.filter(~whole), df.filter(whole)
     folded = materialise(fold(df, key), "folded-hashes").select("h1", "h2", F.col("min_key").alias("k"))
     probes = folded.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("k").alias("pk"))
     rows = lambda a, b: _band_rows(_bands(F.col(a), F.col(b), bands), 0)
@@ -143,4 +145,4 @@ def drop_near_duplicates(
     open_ = materialise(probes.join(decided, "pk", "left_anti"), "undecided-hashes")
     late = _near(folded, open_, distance, bands, hot_bucket).filter(F.col("k") < F.col("pk")).select("pk").distinct()
     kept = open_.join(late, "pk", "left_anti").select(F.col("pk").alias(key))
-    return df.join(kept, key, "left_semi")
+    return df.join(kept, key, "left_semi").unionByName(bare)

@@ -165,10 +165,12 @@ def cap_per_group(
 
     Groups are cut in three steps, with as many salts as shuffle partitions, with their square root, and whole.  So the
     last task of a hot group gets at most ``limit`` rows for each of the few salts of the step before, whatever the
-    group's size, and the plan is the same for every limit.
+    group's size, and the plan is the same for every limit.  The salt is a hash of the record's key, or without one of all
+    columns that can be hashed.
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(width)))
+    hashable = [KEY] if KEY in df.columns else [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    kept = df.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(width)))
     for salts in (width, ceil(width**0.5), 1):
         part = [group] if salts == 1 else [group, F.col("__salt") % salts]
         rank = F.row_number().over(Window.partitionBy(*part).orderBy(*order))

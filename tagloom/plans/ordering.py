@@ -379,21 +379,23 @@ def written_captions(t: Tables) -> DataFrame:
 
 
 def statistics(t: Tables) -> DataFrame:
-    """One statistic file per kind of part, in the four shapes, written and read again."""
+    """One statistic table per kind of part, in the four shapes, written a character a text and read again in splits."""
     names = t.table("part").groupBy("p_type", "p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice") + 0.5, 2).alias("price"))
-    whole = lambda value: F.to_json(F.map_from_entries(F.collect_list(F.struct("p_name", value))))
-    kind = F.col("p_type")
-    per_brand = names.groupBy("p_type", "p_brand").agg(
-        F.when(kind == "PROMO", F.to_json(F.collect_list("p_name")))
-        .when(kind == "SMALL", whole(F.col("price")))
-        .when(kind == "MEDIUM", whole(F.array(F.col("n").cast("double"), "price")))
-        .otherwise(whole(F.col("n"))).alias("body")
+    kind, quoted = F.col("p_type"), lambda text: F.concat(F.lit('"'), text, F.lit('"'))
+    value = (
+        F.when(kind == "SMALL", F.col("price").cast("string"))
+        .when(kind == "MEDIUM", F.concat(F.lit("["), F.concat_ws(", ", F.col("n").cast("string"), F.col("price").cast("string")), F.lit("]")))
+        .otherwise(F.col("n").cast("string"))
     )
-    entry = F.concat(F.lit('"'), F.concat_ws("/", "p_type", "p_brand"), F.lit('": '), F.col("body"))
-    files = per_brand.groupBy("p_type").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(entry)), ", "), F.lit("}")).alias("value"))
+    tag = F.when(kind == "PROMO", quoted(F.col("p_name"))).otherwise(F.concat(quoted(F.col("p_name")), F.lit(": "), value))
+    characters = names.groupBy("p_type", "p_brand").agg(F.array_join(F.sort_array(F.collect_list(tag)), ",\n        ").alias("body"))
+    mark = lambda plain, listed: F.when(kind == "PROMO", listed).otherwise(plain)
+    text = F.concat(F.lit('    "'), F.concat_ws("/", "p_type", "p_brand"), mark('": {\n        ', '": [\n        '), "body", mark("\n    },", "\n    ],"))
     path = scratch_path(t.spark, "statistics")
-    files.repartition("p_type").write.partitionBy("p_type").text(path)
-    return rd.read_statistics(t.spark, path)
+    rows = characters.repartitionByRange("p_type", "p_brand").sortWithinPartitions("p_type", "p_brand").select("p_type", text.alias("value"))
+    rows.filter(kind != "PROMO").write.partitionBy("p_type").text(f"{path}/objects")
+    rows.filter(kind == "PROMO").select("value").write.text(f"{path}/lists")
+    return rd.read_statistics(t.spark, f"{path}/objects").unionByName(rd.read_statistics(t.spark, f"{path}/lists", lists=True))
 
 
 query(

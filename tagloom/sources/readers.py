@@ -15,6 +15,7 @@ from ..operators.merge import cache_override, first_source_wins
 from ..operators.stats import Patterns, features_from_counts, features_from_freqs
 from ..runtime import explode_rows
 from ..schema import BOORU_META, CAPTION_ATTRS, RECORD, parse_size
+from . import quoted
 
 #: Columns of the tabular text form; sizes are text there.
 CSV_FIELDS = {"aesthetic_score": "double", "safe_rating": "double"}
@@ -115,17 +116,13 @@ def read_record_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_record_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", multi_line: bool = True) -> DataFrame:
     """CSV databases with an ``image_key`` column; known columns only, empty cells are null.
 
-    Cells may hold line breaks, so each file is read in one task.  Without ``multi_line`` files split at line breaks,
-    which is right only if no cell holds one.
+    Cells may hold line breaks; files split all the same (``quoted.read_csv``).  Without ``multi_line`` every line break
+    ends a record, which is right only if no cell holds one, and saves counting quotes.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path if isinstance(path, str) else list(path))
-    )
+    if multi_line:
+        raw = quoted.read_csv(spark, path, sep)
+    else:
+        raw = spark.read.options(header="true", sep=sep, quote='"', escape='"').csv(path if isinstance(path, str) else list(path))
     known = [n for n in ("image_key", *RECORD.fieldNames(), *CAPTION_ATTRS) if n in raw.columns]
 
     def typed(name: str) -> Column:
@@ -356,15 +353,19 @@ def statistic_rows(documents: DataFrame, column: str = "value", table: str | Non
     )
 
 
-def read_statistics(spark: SparkSession, path: str, indent: int = 4) -> DataFrame:
-    """Statistic tables, one per file; files dumped with this indent split at the ends of characters."""
-    pad = " " * indent
-    parts = spark.read.option("lineSep", f"\n{pad}}},\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+def read_statistics(spark: SparkSession, path: str, indent: int = 4, lists: bool = False) -> DataFrame:
+    """Statistic tables; files dumped with this indent split at the ends of characters.
+
+    The files of one folder are one table.  ``lists`` says that characters hold lists of tags, else objects.
+    """
+    pad, end = " " * indent, "]" if lists else "}"
+    parts = spark.read.option("lineSep", f"\n{pad}{end},\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     opened = F.regexp_replace("value", r"\A\s*\{?\s*(?=\")", "")
-    body = F.regexp_replace(opened, r"\n" + pad + r"\}\s*\}\s*\z", "")
+    body = F.regexp_replace(opened, r"\n" + pad + rf"\{end}\s*\}}\s*\z", "")
     whole = F.from_json("value", "map<string,string>").isNotNull()
-    texts = parts.select("file", F.when(whole, F.col("value")).otherwise(F.concat(F.lit("{"), body, F.lit("}}"))).alias("value"))
-    return statistic_rows(texts, table="file")
+    folder = F.regexp_replace("file", r"/[^/]*\z", "")
+    texts = parts.select(folder.alias("folder"), F.when(whole, F.col("value")).otherwise(F.concat(F.lit("{"), body, F.lit(f"{end}}}"))).alias("value"))
+    return statistic_rows(texts, table="folder")
 
 
 def feature_table(
