@@ -354,18 +354,17 @@ def statistic_rows(documents: DataFrame, column: str = "value", table: str | Non
 
 
 def read_statistics(spark: SparkSession, path: str, indent: int = 4, lists: bool = False) -> DataFrame:
-    """Statistic tables; files dumped with this indent split at the ends of characters.
+    """Statistic tables, one per file; files dumped with this indent split at the ends of characters.
 
-    The files of one folder are one table.  ``lists`` says that characters hold lists of tags, else objects.
+    ``lists`` says that characters hold lists of tags, else objects; a file of the other kind is one part.
     """
     pad, end = " " * indent, "]" if lists else "}"
     parts = spark.read.option("lineSep", f"\n{pad}{end},\n").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     opened = F.regexp_replace("value", r"\A\s*\{?\s*(?=\")", "")
     body = F.regexp_replace(opened, r"\n" + pad + rf"\{end}\s*\}}\s*\z", "")
     whole = F.from_json("value", "map<string,string>").isNotNull()
-    folder = F.regexp_replace("file", r"/[^/]*\z", "")
-    texts = parts.select(folder.alias("folder"), F.when(whole, F.col("value")).otherwise(F.concat(F.lit("{"), body, F.lit(f"{end}}}"))).alias("value"))
-    return statistic_rows(texts, table="folder")
+    texts = parts.select("file", F.when(whole, F.col("value")).otherwise(F.concat(F.lit("{"), body, F.lit(f"{end}}}"))).alias("value"))
+    return statistic_rows(texts, table="file")
 
 
 def feature_table(
