@@ -136,16 +136,20 @@ levels AS (SELECT call_id, 0::BIGINT AS level FROM calls WHERE after IS NULL OR
     UNION ALL SELECT c.call_id, l.level + 1 FROM calls c JOIN levels l ON c.after = l.call_id),
 results AS (SELECT md5(conv_id || ':' || (turn - 1)) AS call_id, text AS content FROM t WHERE role = 'assistant'),
 checked AS (SELECT c.*, level, r.content, r.call_id IS NOT NULL AS linked, CASE name
-    WHEN 'lookup' THEN CASE WHEN chars > 1000 THEN 'first too large; ' ELSE '' END || CASE WHEN least(chars, 80) > 64 THEN 'query too long; ' ELSE '' END
-    WHEN 'measure' THEN CASE WHEN chars > 1500 THEN 'chars too large; ' ELSE '' END || CASE WHEN words > 250 THEN 'words too large; ' ELSE '' END
+    WHEN 'lookup' THEN CASE WHEN chars > 1000 THEN 'first too large; ' ELSE '' END || CASE WHEN chars > 64 THEN 'query too long; ' ELSE '' END
+    WHEN 'measure' THEN CASE WHEN chars > 1500 THEN 'chars too large; ' ELSE '' END || CASE WHEN chars > 2000 THEN 'text too long; ' ELSE '' END
+      || CASE WHEN words > 250 THEN 'words too large; ' ELSE '' END
     ELSE CASE WHEN chars > 2000 THEN 'text too long; ' ELSE '' END END AS f,
-    CASE name WHEN 'lookup' THEN '{"first":' || chars || ',"query":' || to_json(substr(text, 1, 80))
-    WHEN 'measure' THEN '{"chars":' || chars || ',"words":' || words ELSE '{"text":' || to_json(text) END || '}' AS arguments
-    FROM calls c LEFT JOIN levels USING (call_id) LEFT JOIN results r ON c.call_id = r.call_id)
-SELECT conv_id, turn, call_id, level, row_number() OVER (PARTITION BY conv_id ORDER BY level, turn, call_id) - 1 AS position, linked,
-    f = '' AS valid, rtrim(f, '; ') AS faults,
-    '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message
-FROM checked"""
+    CASE name WHEN 'lookup' THEN '{"first":' || chars || ',"query":' || to_json(text)
+    WHEN 'measure' THEN '{"chars":' || chars || ',"text":' || to_json(text) || ',"words":' || words ELSE '{"text":' || to_json(text) END || '}' AS arguments
+    FROM calls c LEFT JOIN levels USING (call_id) LEFT JOIN results r ON c.call_id = r.call_id),
+messages AS (SELECT conv_id, turn, call_id, level, linked, rtrim(f, '; ') AS faults,
+    '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(content)::VARCHAR, 'null') || '}' AS message FROM checked
+    UNION ALL SELECT DISTINCT conv_id, turn, md5(concat_ws(':', conv_id, turn, coalesce(role, ''), text)), 0, false, '',
+    '{"content":' || to_json(text) || ',"id":"' || md5(concat_ws(':', conv_id, turn, coalesce(role, ''), text)) || '","role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+    FROM t WHERE coalesce(role, '') NOT IN ('user', 'assistant'))
+SELECT conv_id, turn, call_id, level, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn, call_id) - 1 AS position, linked,
+    faults = '' AS valid, faults, message FROM messages"""
 
 _SEARCH_SQL = """
 WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
