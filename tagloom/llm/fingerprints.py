@@ -23,6 +23,8 @@ from .common import partitions
 SAMPLES = 64
 #: Terms whose random numbers are drawn at a time.
 BLOCK = 512
+#: Weighted terms whose numbers are held at a time.
+RUN = 1 << 16
 _seeds = words.mix(np.arange(1, 3 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, SAMPLES)
 
 
@@ -40,22 +42,37 @@ def _random_numbers(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return log_c, r, _uniform(terms, 2)[0]
 
 
-def _least(terms: np.ndarray, counts: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """The samples of ``n`` texts whose terms follow each other; ``of`` is the text of each term."""
-    best, code = np.full((n, SAMPLES), np.inf, np.float32), np.zeros((n, SAMPLES), np.uint64)
+def _values(terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, step) by weighted term and sample."""
+    value, step = np.empty((len(terms), SAMPLES), np.float32), np.zeros((len(terms), SAMPLES), np.float32)
     for first in range(0, len(terms), BLOCK):
         part = slice(first, first + BLOCK)
-        t, text = terms[part], of[part]
-        log_c, r, beta = _random_numbers(t)
-        step = np.zeros_like(r)
+        log_c, r, beta = _random_numbers(terms[part])
         more = np.flatnonzero(counts[part] > 1)
         if len(more):
-            step[more] = np.floor(np.log(counts[part][more]).astype(np.float32)[:, None] / r[more] + beta[more])
-        value = log_c - r * (step - beta + 1)
+            step[first + more] = np.floor(np.log(counts[part][more]).astype(np.float32)[:, None] / r[more] + beta[more])
+        value[part] = log_c - r * (step[part] - beta + 1)
+    return value, step
+
+
+def _least(terms: np.ndarray, counts: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The samples of ``n`` texts whose terms follow each other; ``of`` is the text of each term.
+
+    Terms are taken in runs; what several texts of a run hold with the same weight is drawn once.
+    """
+    best, code = np.full((n, SAMPLES), np.inf, np.float32), np.zeros((n, SAMPLES), np.uint64)
+    for first in range(0, len(terms), RUN):
+        t, c, text = (x[first : first + RUN] for x in (terms, counts, of))
+        order = np.lexsort((c, t))
+        new = np.ones(len(t), dtype=bool)
+        new[1:] = (t[order][1:] != t[order][:-1]) | (c[order][1:] != c[order][:-1])
+        place = np.empty(len(t), np.int64)
+        place[order] = np.cumsum(new) - 1
+        value, step = _values(t[order][new], c[order][new])
         heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
         for a, b in zip(heads, [*heads[1:], len(t)], strict=True):
-            at = a + value[a:b].argmin(axis=0)
-            low, steps = value[at, np.arange(SAMPLES)], step[at, np.arange(SAMPLES)].astype(np.int64)
+            at = a + value[place[a:b]].argmin(axis=0)
+            low, steps = value[place[at], np.arange(SAMPLES)], step[place[at], np.arange(SAMPLES)].astype(np.int64)
             better = low < best[text[a]]
             found = words.mix(t[at] ^ words.mix(steps.astype(np.uint64)))
             best[text[a], better], code[text[a], better] = low[better], found[better]
@@ -96,8 +113,11 @@ def _fingerprint_rows(batches):
             own = len(texts[i]) // 3
             edited.append(texts[i][: len(texts[i]) - own] + texts[i + 1][:own])
         plain, changed = [t.encode() for t in texts], [t.encode() for t in edited]
-        prints = fingerprints(plain + changed)
-        own, after, other = prints[shown], prints[[i + 1 for i in shown]], prints[len(plain) :]
+        # An edited text follows its own, of which it has most terms.
+        at = sorted([(i, 0, t) for i, t in enumerate(plain)] + [(i, 1, t) for i, t in zip(shown, changed, strict=True)], key=lambda x: x[:2])
+        prints = fingerprints([t for *_, t in at])
+        place = {x[:2]: i for i, x in enumerate(at)}
+        own, after, other = (prints[[place[x] for x in xs]] for xs in ([(i, 0) for i in shown], [(i + 1, 0) for i in shown], [(i, 1) for i in shown]))
         return pa.RecordBatch.from_arrays([
             pa.array([group[i][1] for i in shown], pa.int64()), pa.array([len(texts[i]) for i in shown], pa.int64()),
             pa.array([hashlib.sha256(c).hexdigest() for c in changed]), pa.array([x.astype(">u2").tobytes().hex() for x in own]),
