@@ -18,6 +18,9 @@ DIM = 1 << BITS
 _ROWS = 1 << 14
 _MASK = np.uint64(DIM - 1)
 
+#: Tasks that a pass over the bounded sample has at most: each sends one row of fixed size to the driver.
+TASKS = 16
+
 Extractor = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
 
@@ -58,7 +61,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """``(doc_id, label, features)`` of at most ``most`` labelled documents, chosen by a hash of the id.
 
     ``most`` bounds what is broadcast and what the fit reads; rows without id or label are no examples.  Contradicting
-    labels of one document count as their maximum.  Features are little-endian 32-bit numbers.
+    labels of one document count as their maximum.  Features are little-endian 32-bit numbers.  The examples lie in
+    ``TASKS`` parts, however many the documents have, so a pass sends as much to the driver at any size.
     """
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = materialise(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labelled")
@@ -72,7 +76,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(data, pa.binary())], names=["doc_id", "label", "features"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    return materialise(texts.mapInArrow(run, f"doc_id {id_type}, label int, features binary"), "examples")
+    found = texts.mapInArrow(run, f"doc_id {id_type}, label int, features binary")
+    return materialise(found.repartition(TASKS), "examples").coalesce(TASKS)
 
 
 @contextmanager
