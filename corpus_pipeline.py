@@ -2,7 +2,7 @@
 
 1. Toxic documents go.
 2. Of documents that are near copies by their 5-word shingles, one stays.
-3. Passages of 400 bytes and more that occur twice are cut out; ``n_chars`` follows.
+3. Passages of ``REPEAT_BYTES`` bytes and more that occur twice are cut out; ``n_chars`` follows.
 4. Sources are mixed to their target shares: rows repeat or go.
 5. What is left is tokenised and packed into sequences of 4096.
 """
@@ -16,6 +16,10 @@ from tagloom.llm.common import table
 from tagloom.runtime import scratch_path
 
 
+#: Bytes from which a repeated passage goes: about 50 words of five letters or a little less.
+REPEAT_BYTES = 250
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
@@ -25,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substrings.without_repeats(docs, length=400)
+    cut = substrings.without_repeats(docs, length=REPEAT_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
