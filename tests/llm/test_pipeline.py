@@ -46,7 +46,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted(d for d, _ in after) == sorted({c for _, _, c in brute.components(before)})
 
     before, after = map(rows, seen["repeats"])
-    assert Counter(after) == Counter((d, k.decode(errors="ignore")) for d, _, k, _ in brute.removal(before, 400))
+    assert Counter(after) == Counter((d, k.decode(errors="ignore")) for d, _, k, _ in brute.removal(before, corpus_pipeline.REPEAT_BYTES))
 
     before, after = map(rows, seen["mixing"])
     copies = Counter(d for d, _ in after)
