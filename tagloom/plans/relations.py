@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import derived as dv, paths, tags as tg
 from ..functions.rules import Regex
 from ..operators import dictionary as dc, lookup as lk, merge as mg, predictions as pr, search as sr, stats as st
+from ..operators.features import remove_character_features
 from ..runtime import explode_rows, scratch_path
 from ..sources import writers as wr
 from . import sqltext as q
@@ -320,6 +321,18 @@ query(
     SELECT f.character, feature, cnt, round(cnt / total, 9) AS freq FROM f JOIN totals t ON t.character = f.character""",
     "records", "dict",
 )(lambda t: st.character_features(t.records, t.retype, t.feature_patterns).withColumn("freq", F.round("freq", 9)))
+query(
+    "j08_remove_character_features",
+    rf"""WITH s AS (SELECT ord, image_key, tags AS plain, list_transform(list_filter(list_transform(tags, lambda x: trim(replace(x, '_', ' '))), lambda x: x <> ''), lambda x: {q.escape('x')}) AS tags FROM records),
+    w AS (SELECT s.*, {q.typed_list('tags')} AS typed FROM s CROSS JOIN kinds),
+    c AS (SELECT image_key, tags, unnest({q.chars()}) AS character FROM w),
+    totals AS (SELECT character, count(*) AS total FROM c GROUP BY 1),
+    f AS (SELECT character, feature, count(*) AS cnt FROM (SELECT character, unnest(list_filter(tags, lambda x: regexp_matches({q.space('x')}, '^(?:.*\b(?:red|old|hot)\b.*)'))) AS feature FROM c) GROUP BY 1, 2),
+    usual AS (SELECT DISTINCT {q.space('f.character')} AS character, {q.space('feature')} AS feature FROM f JOIN totals t ON t.character = f.character WHERE cnt >= 2 AND cnt / total >= 0.02),
+    own AS (SELECT image_key, list(DISTINCT feature) AS fs FROM (SELECT image_key, unnest({q.chars()}) AS c FROM typed) JOIN usual ON {q.space('c')} = character GROUP BY image_key)
+    SELECT r.image_key, array_to_string(list_filter(tags, lambda x: NOT list_contains(coalesce(fs, []), {q.space('x')})), ', ') AS caption FROM records r LEFT JOIN own ON own.image_key = r.image_key""",
+    "records", "dict", "typed",
+)(lambda t: out(remove_character_features(t.full, t.retype, t.feature_patterns, 0.02, 2), F.col("tags")))
 
 REPORT = """report AS (SELECT 'missing_caption' AS kind, image_key FROM records WHERE caption IS NULL
     UNION ALL SELECT 'missing_image_file', image_key FROM records WHERE caption IS NULL)"""
