@@ -1,9 +1,9 @@
 """Dictionary-driven operators: typing, priorities, de-overlap, feature removal, tag metadata.
 
 Dictionaries are tables.  A dictionary with at most ``inline_limit`` entries is inlined into the row expression
-(hash-set lookups, no shuffle).  A larger one is joined with the exploded tags: Spark broadcasts it when its
-statistics say it is small enough and otherwise sort-merge joins, where AQE splits hot tags; the hits come back
-to their record with one shuffle on the key.
+(hash-set lookups, no shuffle).  A larger one is joined with the exploded tags: the entries of tags that very many rows
+hold are broadcast (``heavy``), the others joined by shuffle, or by broadcast where Spark's own size check allows it; the
+hits come back to their record with one shuffle on the key.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from ..functions import derived as dv, normal, tags as tg
 from ..functions.binding import let
 from ..functions.rules import LOWEST_PRIORITY, Regex, loose
 from ..runtime import collect_if_small, explode_rows, gather, materialise
+from .heavy import join_heavy
 
 INLINE_LIMIT = 5000
 INLINE_PAIRS = 200
@@ -39,7 +40,7 @@ def _hits_by_position(
     """``(key, hits map<pos, value>)`` for the tags whose norm is in the table."""
     exploded = explode_rows(df, [key], norms, "__pos", "__norm", position=True)
     lookup = table.select(F.col(table_key).alias("__norm"), F.col(value).alias("__value"))
-    hits = exploded.join(lookup, "__norm").select(key, "__pos", "__value")
+    hits = join_heavy(exploded, lookup, "__norm").select(key, "__pos", "__value")
     return gather(hits, key, F.map_from_entries(F.collect_list(F.struct("__pos", "__value"))).alias("__hits"))
 
 
@@ -84,12 +85,8 @@ def lookup_tag_table(df: DataFrame, table: DataFrame, tag: str = "tag", default:
     Spellings with the same table form are one entry; the smallest value of them counts.
     """
     keyed = table.select(normal.table_form(F.col("tag")).alias("__norm"), "value").groupBy("__norm").agg(F.min("value").alias("value"))
-    return (
-        df.withColumn("__norm", normal.table_form(F.col(tag)))
-        .join(keyed, "__norm", "left")
-        .drop("__norm")
-        .withColumn("value", F.coalesce("value", F.lit(default)))
-    )
+    normed = df.withColumn("__norm", normal.table_form(F.col(tag)))
+    return join_heavy(normed, keyed, "__norm", "left").drop("__norm").withColumn("value", F.coalesce("value", F.lit(default)))
 
 
 # -- priorities ------------------------------------------------------------------------------------
@@ -243,7 +240,7 @@ def deoverlap(
     distinct_forms = F.array_distinct(F.transform(F.col(tags), lambda t: normal.underscore_form(t)))
     forms = explode_rows(df, [key], distinct_forms, "query")
     hits = gather(
-        forms.join(table, "query"),
+        join_heavy(forms, table, "query"),
         key,
         F.map_from_entries(F.collect_list(F.struct("query", "children"))).alias("__children"),
     )
@@ -298,7 +295,7 @@ def defeature(
         return df.withColumn("__found", found).withColumn(tags, without(F.col("__found"))).select(*df.columns)
     grouped = pairs.groupBy("__character").agg(F.collect_set("__feature").alias("__features"))
     written = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "records")
-    named = explode_rows(written, ["__row"], names, "__character").join(grouped, "__character")
+    named = join_heavy(explode_rows(written, ["__row"], names, "__character"), grouped, "__character")
     per_row = gather(named, "__row", F.flatten(F.collect_list("__features")).alias("__features"))
     return written.join(per_row, "__row", "left").withColumn(tags, without(F.col("__features"))).select(*df.columns)
 
