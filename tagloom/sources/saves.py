@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_right
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.merge import apply_changes
 from . import versions
@@ -68,17 +69,15 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return _read(spark, path, manifest["schema"], file_table(spark, path, version).collect())  # one row a file, as Spark's own listing has
 
 
-def files_of(keys: DataFrame, lows: list[str], key: str = KEY) -> DataFrame:
-    """The rows with ``__file``, the number of the file that a key belongs to; ``lows`` are sorted smallest keys."""
-    sent = keys.sparkSession.sparkContext.broadcast([x.encode() for x in lows])  # one key a file; bytes sort as Spark's strings
+def files_of(spark: SparkSession, lows: list[str]) -> Callable[[Column], Column]:
+    """The number of the file that a key belongs to; ``lows`` are the files' smallest keys, sorted."""
+    sent = spark.sparkContext.broadcast([x.encode() for x in lows])  # one key a file; bytes sort as Spark's strings
 
-    def run(batches):
-        for batch in batches:
-            at = [max(bisect_right(sent.value, k.encode()) - 1, 0) for k in batch.column(key).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=[*batch.schema.names, "__file"])
+    @F.pandas_udf("int")
+    def number(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: max(bisect_right(sent.value, k.encode()) - 1, 0)).astype("int32")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema)
-    return keys.mapInArrow(run, f"{fields}, __file int")
+    return number if lows else lambda _: F.lit(0)
 
 
 def save(spark: SparkSession, path: str, changes: DataFrame, key: str = KEY, op: str = "op") -> int:
@@ -91,13 +90,12 @@ def save(spark: SparkSession, path: str, changes: DataFrame, key: str = KEY, op:
     number, manifest = versions.current(spark, path)
     files = sorted(file_table(spark, path).collect(), key=lambda f: f["low"].encode())
     checked = changes.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(F.lit("a change has no key"))).otherwise(F.col(key)))
-    placed = files_of(checked.select(key), [f["low"] for f in files], key) if files else checked.select(key, F.lit(0).alias("__file"))
-    touched = {r[0] for r in placed.select("__file").distinct().collect()}  # at most one row a file
+    file_of = files_of(spark, [f["low"] for f in files])
+    touched = {r[0] for r in checked.select(file_of(F.col(key))).distinct().collect()}  # at most one row a file
     if not touched:
         return number
     old = _read(spark, path, manifest["schema"], [f for i, f in enumerate(files) if i in touched])
-    new = apply_changes(old, checked, key, op)
-    new = files_of(new, [f["low"] for f in files], key) if files else new.withColumn("__file", F.lit(0))
+    new = apply_changes(old, checked, key, op).withColumn("__file", file_of(F.col(key)))
     written = _write(new, path, key, ["__file", key], "__file")
     kept = spark.createDataFrame([f for i, f in enumerate(files) if i not in touched], _FILES)
     return _commit(spark, path, number + 1, kept.union(written), manifest["schema"])
