@@ -10,9 +10,10 @@ Documents with the same set are one class; one of them stands for it.  Three pas
    can be similar enough: an exact length filter that leaves copies and near copies.
 2. The same among the classes left, with the number of classes that hold each n-gram: gives the prefix filter.
 3. Partial overlaps of candidate pairs.  First each class against a few others that share a minimum hash; linked ones
-   become one component.  Then all pairs from different components that share an n-gram of both prefixes (rarest first),
-   which completes the join as far as components go.  Pairs within one component need no further count, so a group of
-   near copies costs its size and not its square.
+   become one component.  Then some rounds in which a class meets a few leaders, of other components, of the n-grams of its
+   prefix (rarest first), with components found anew in between.  At last all pairs from components that are still
+   different and share an n-gram of both prefixes, which completes the join as far as components go.  Pairs within one
+   component need no further count, so a group of near copies costs its size and not its square.
 
 Segments travel packed: a row holds what one block of documents has in one fragment.
 """
@@ -22,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..runtime import materialise
 from . import words
@@ -34,6 +35,9 @@ BLOCK_ENTRIES = 600_000
 FRAGMENT_ENTRIES, MIN_FRAGMENTS = 2_000_000, 24
 #: Minimum hashes by which classes find their first partners.
 LEADERS = 4
+#: Rounds, at most, in which classes meet leaders of their prefix n-grams; how many of these in each; rounds end when a link
+#: is found for fewer than one class in so many, and the last pass does the rest.
+ROUNDS, PARTNERS, ENOUGH = 6, 6, 100
 _SHARED = np.uint16(65535)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -375,23 +379,56 @@ def _candidates(percent: int):
     return run
 
 
+def _compared(live: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` of linked pairs among ``partners(node, partners)``; classes in no pair stay where they are."""
+    partners = materialise(partners, "partners")
+    asked = partners.select("node").union(partners.select(F.explode("partners").alias("p")).select("p.node")).distinct()
+    return materialise(linked(live.join(asked, "node", "left_semi"), partners, percent).select("a", "b"), "links")
+
+
+def _mixed_entries(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(node, n, label, key)`` of the prefix n-grams that classes of several components hold."""
+    entries = live.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("prefix").alias("key"))
+    mixed = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
+    return materialise(entries.join(mixed, "key", "left_semi"), "prefix")
+
+
+def _leaders(entries: DataFrame, percent: int, turn: int) -> DataFrame:
+    """``(node, partners)``: for each class a few classes of other components, each one leading a prefix n-gram of it.
+
+    An n-gram is led by the class of the smallest hash, another one in every round; sizes must fit.
+    """
+    lead = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")).alias("lead")
+    met = entries.join(entries.groupBy("key").agg(lead), "key").filter("label != lead.label")
+    fits = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    met = met.filter(fits).select("node", "lead.h", F.struct("lead.node", "lead.n").alias("p")).distinct()
+    first = F.row_number().over(Window.partitionBy("node").orderBy("h"))
+    return met.withColumn("__at", first).filter(F.col("__at") <= PARTNERS).groupBy("node").agg(F.collect_list("p").alias("partners"))
+
+
 def class_links(live: DataFrame, percent: int) -> DataFrame:
     """``(node, label)``: components of the classes under all links; see the module's third pass."""
     keyed = live.select("node", "n", F.posexplode("leaders").alias("turn", "least"))
     lead = keyed.groupBy("turn", "least").agg(F.min(F.struct("node", "n")).alias("lead"))
     stars = keyed.join(lead, ["turn", "least"]).filter("node != lead.node").groupBy("node").agg(F.collect_set("lead").alias("partners"))
-    first = materialise(linked(live, stars, percent).select("a", "b"), "links")
-    labels = components(first)
-
-    entries = live.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("prefix").alias("key"))
-    mixed = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    entries = materialise(entries.join(mixed, "key", "left_semi"), "prefix")
+    links = _compared(live, stars, percent)
+    labels = components(links)
+    entries = _mixed_entries(live, labels)
+    for turn in range(ROUNDS):
+        found = _compared(live, _leaders(entries, percent, turn), percent)
+        new = found.count()
+        if new:
+            links = links.union(found)
+            labels = components(links)
+            entries = _mixed_entries(live, labels)
+        if new * ENOUGH < live.count():
+            break
+
+    # What is still apart: every pair of different components that shares a prefix n-gram.
     fragments = max(MIN_FRAGMENTS, -(-entries.count() // FRAGMENT_ENTRIES))
     found = entries.groupBy(F.pmod("key", F.lit(fragments)).alias("frag")).applyInArrow(_candidates(percent), "node long, found array<struct<node:long,n:long>>")
     others = found.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("partners"))
-    still = live.join(entries.select("node").distinct(), "node", "left_semi")
-    second = materialise(linked(still, others, percent).select("a", "b"), "links")
-    return components(first.union(second))
+    return components(links.union(_compared(live, others, percent)))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -31,6 +31,26 @@ def test_large_near_copy_group(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute.components(rows)
 
 
+def test_links_of_a_near_copy_group_grow_with_its_size(spark, monkeypatch):
+    """Members that miss the leaders of their minimum hashes are brought together in rounds, not in pairs."""
+    counted, compared = [], ngram_join._compared
+
+    def count(*args):
+        links = compared(*args)
+        counted.append(links.count())
+        return links
+
+    monkeypatch.setattr(ngram_join, "_compared", count)
+    for n in (120, 240):
+        counted.clear()
+        rng = __import__("random").Random(n)
+        base = brute.prose(rng, 80)
+        rows = [(i, brute.near(rng, base, 1 if rng.random() < 0.1 else 2), *[None] * 8) for i in range(n)]
+        got = ngram_join.ngram_components(spark.createDataFrame(rows, brute.SCHEMA).repartition(4))
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute.components(rows)
+        assert sum(counted) <= ngram_join.PARTNERS * n
+
+
 @pytest.mark.parametrize("hot", [0, 10**6])
 def test_repeated_bytes(docs, rows, empty, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
