@@ -219,10 +219,11 @@ def trie(talk: DataFrame, group: int = 20, heads: int = 4, most_cells: int = MOS
     # chains: where each begins, and which chain it hangs on at which depth
     root = materialise(conversations.agg(F.min(F.struct("conv_id", "length")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 0").select("least.*", "n"), "root")
     begun = nodes.select("conv_id", "place", "length", "p", "q").union(tops).groupBy("conv_id").agg(F.min(F.struct("place", "length", "p", "q")).alias("top"))
-    begun = begun.select("conv_id", "top.*").join(F.broadcast(root.select(F.col("conv_id").alias("__root"))))
-    begun = materialise(begun.filter("conv_id != __root").select("conv_id", "length", (F.col("place") - 1).alias("at"), F.col("p").alias("x"), F.col("q").alias("y"), "__root"), "chains")
+    smallest = F.lit((root.first() or [None])[0]).cast("long")
+    begun = begun.filter(F.col("conv_id") != smallest).select("conv_id", "top.*")
+    begun = materialise(begun.select("conv_id", "length", (F.col("place") - 1).alias("at"), F.col("p").alias("x"), F.col("q").alias("y")), "chains")
     parents = nodes.select(F.col("place").alias("at"), "x", "y", F.col("conv_id").alias("__up"))
-    hung = look_up(begun, parents, ["at", "x", "y"]).select("conv_id", "length", "at", F.when(F.col("at") == 0, F.col("__root")).otherwise(F.col("__up")).alias("up"))
+    hung = look_up(begun, parents, ["at", "x", "y"]).select("conv_id", "length", "at", F.when(F.col("at") == 0, smallest).otherwise(F.col("__up")).alias("up"))
     none = F.lit(None).cast("long")
     chains = materialise(hung.union(root.select("conv_id", "length", none, none)), "chains")
 
