@@ -380,10 +380,8 @@ def _candidates(percent: int):
 
 
 def _compared(live: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)`` of linked pairs among ``partners(node, partners)``; classes in no pair stay where they are."""
-    partners = materialise(partners, "partners")
-    asked = partners.select("node").union(partners.select(F.explode("partners").alias("p")).select("p.node")).distinct()
-    return materialise(linked(live.join(asked, "node", "left_semi"), partners, percent).select("a", "b"), "links")
+    """``(a, b)`` of linked pairs among ``partners(node, partners)``, all of them in ``live``."""
+    return materialise(linked(live, partners, percent).select("a", "b"), "links")
 
 
 def _mixed_entries(live: DataFrame, labels: DataFrame) -> DataFrame:
@@ -415,7 +413,8 @@ def class_links(live: DataFrame, percent: int) -> DataFrame:
     labels = components(links)
     entries = _mixed_entries(live, labels)
     for turn in range(ROUNDS):
-        found = _compared(live, _leaders(entries, percent, turn), percent)
+        met = live.join(entries.select("node").distinct(), "node", "left_semi")
+        found = _compared(met, _leaders(entries, percent, turn), percent)
         new = found.count()
         if new:
             links = links.union(found)
@@ -428,7 +427,8 @@ def class_links(live: DataFrame, percent: int) -> DataFrame:
     fragments = max(MIN_FRAGMENTS, -(-entries.count() // FRAGMENT_ENTRIES))
     found = entries.groupBy(F.pmod("key", F.lit(fragments)).alias("frag")).applyInArrow(_candidates(percent), "node long, found array<struct<node:long,n:long>>")
     others = found.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("partners"))
-    return components(links.union(_compared(live, others, percent)))
+    still = live.join(entries.select("node").distinct(), "node", "left_semi")
+    return components(links.union(_compared(still, others, percent)))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
