@@ -12,8 +12,9 @@ Documents with the same set are one class; one of them stands for it.  Three pas
 3. Partial overlaps of candidate pairs.  First each class against a few others that share a minimum hash; linked ones
    become one component.  Then some rounds in which a class meets a few leaders, of other components, of the n-grams of its
    prefix (rarest first), with components found anew in between.  At last all pairs from components that are still
-   different and share an n-gram of both prefixes, which completes the join as far as components go.  Pairs within one
-   component need no further count, so a group of near copies costs its size and not its square.
+   different and share an n-gram of both prefixes at places that leave room for the overlap they need, which completes
+   the join as far as components go.  Pairs within one component need no further count, so a group of near copies costs
+   its size and not its square.
 
 Segments travel packed: a row holds what one block of documents has in one fragment.
 """
@@ -38,6 +39,8 @@ LEADERS = 4
 #: Rounds, at most, in which classes meet leaders of their prefix n-grams; how many of these in each; rounds end when a link
 #: is found for fewer than one class in so many, and the last pass does the rest.
 ROUNDS, PARTNERS, ENOUGH = 6, 6, 100
+#: Classes that hold one prefix n-gram and are paired in one go; more are dealt to pairs of blocks of this size.
+POSTING = 4000
 _SHARED = np.uint16(65535)
 _PLACE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -350,24 +353,31 @@ def linked(live: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(percent: int):
-    """A fragment of prefixes: for each class, those of other components and fitting size that share a prefix n-gram."""
+    """A fragment of prefixes: for each class, those of other components that may have their first common n-gram here.
+
+    All n-grams before the first common one, in the order of prefixes, are held by one side only.  So an n-gram at
+    ``place`` of both sets can be the first one of a linked pair only if what follows it is enough for the threshold.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        key, node, n, label = (table.column(c).to_numpy() for c in ("key", "node", "n", "label"))
+        key, node, n, label, place, side = (table.column(c).to_numpy() for c in ("key", "node", "n", "label", "place", "side"))
         ids, index, of = np.unique(node, return_index=True, return_inverse=True)
         n, label = n[index], label[index]
         order = np.argsort(key, kind="stable")
-        cuts = np.flatnonzero(np.diff(key[order])) + 1
-        postings = np.split(of[order], cuts)
+        postings = np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
         lists = np.empty(len(key), np.int64)
         lists[order] = np.repeat(np.arange(len(postings)), [len(p) for p in postings])
         by_node = np.argsort(of, kind="stable")
         begin = np.searchsorted(of[by_node], np.arange(len(ids) + 1))
         out, cuts, held = [], [0], []
         for i in range(len(ids)):
-            found = np.unique(np.concatenate([postings[j] for j in lists[by_node[begin[i] : begin[i + 1]]]]))
-            found = found[found > i]
-            found = found[(label[found] != label[i]) & (100 * np.minimum(n[found], n[i]) >= percent * np.maximum(n[found], n[i]))]
+            mine = by_node[begin[i] : begin[i + 1]]
+            met = [postings[j] for j in lists[mine]]
+            mine, met = np.repeat(mine, [len(p) for p in met]), np.concatenate(met)
+            other = of[met]
+            room = np.minimum(n[i] - place[mine], n[other] - place[met])
+            fits = (other > i) & (label[other] != label[i]) & ((100 + percent) * room >= percent * (n[i] + n[other]))
+            found = np.unique(other[fits & ((side[mine] != side[met]) | (side[mine] < 0))])
             if len(found):
                 out.append(int(ids[i]))
                 held.append(found)
@@ -379,16 +389,34 @@ def _candidates(percent: int):
     return run
 
 
+def _dealt(entries: DataFrame) -> DataFrame:
+    """``entries`` with ``key`` and ``side`` so that no key has more than about two blocks of ``POSTING`` rows.
+
+    The classes of a key with more are cut into blocks; each pair of blocks, and each block alone, gets a key of its own.
+    In a pair only classes of different sides meet; a block alone has side -1.
+    """
+    own = F.pmod(F.xxhash64("node", "key"), "blocks")
+    cells = entries.withColumn("blocks", F.ceil(F.col("holders") / F.lit(POSTING))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return cells.select("node", "n", "label", "place", cell.alias("key"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).cast("long").alias("side"))
+
+
 def _compared(live: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
     """``(a, b)`` of linked pairs among ``partners(node, partners)``, all of them in ``live``."""
     return materialise(linked(live, partners, percent).select("a", "b"), "links")
 
 
 def _mixed_entries(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(node, n, label, key)`` of the prefix n-grams that classes of several components hold."""
-    entries = live.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.explode("prefix").alias("key"))
-    mixed = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    return materialise(entries.join(mixed, "key", "left_semi"), "prefix")
+    """``(key, node, n, label, place, holders)`` of the prefix n-grams that classes of several components hold.
+
+    ``place`` counts the n-grams of the class that come before, those that nobody else holds first.
+    """
+    unshared = F.col("n") - (F.length("keys") / 8).cast("long")
+    labelled = live.withColumn("unshared", unshared).join(labels, "node", "left")
+    entries = labelled.select("node", "n", F.coalesce("label", "node").alias("label"), "unshared", F.posexplode("prefix").alias("at", "key"))
+    entries = entries.select("node", "n", "label", (F.col("unshared") + F.col("at")).alias("place"), "key")
+    mixed = entries.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("holders")).filter("lo != hi").select("key", "holders")
+    return materialise(entries.join(mixed, "key"), "prefix")
 
 
 def _leaders(entries: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -423,10 +451,11 @@ def class_links(live: DataFrame, percent: int) -> DataFrame:
         if new * ENOUGH < live.count():
             break
 
-    # What is still apart: every pair of different components that shares a prefix n-gram.
-    fragments = max(MIN_FRAGMENTS, -(-entries.count() // FRAGMENT_ENTRIES))
-    found = entries.groupBy(F.pmod("key", F.lit(fragments)).alias("frag")).applyInArrow(_candidates(percent), "node long, found array<struct<node:long,n:long>>")
-    others = found.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("partners"))
+    # What is still apart: every pair of different components that may have its first common n-gram in both prefixes.
+    dealt = materialise(_dealt(entries), "dealt")
+    fragments = max(MIN_FRAGMENTS, -(-dealt.count() // FRAGMENT_ENTRIES))
+    found = dealt.groupBy(F.pmod("key", F.lit(fragments)).alias("frag")).applyInArrow(_candidates(percent), "node long, found array<struct<node:long,n:long>>")
+    others = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("partners"))
     still = live.join(entries.select("node").distinct(), "node", "left_semi")
     return components(links.union(_compared(still, others, percent)))
 

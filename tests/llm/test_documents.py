@@ -23,7 +23,11 @@ def test_ngram_components(docs, rows, empty):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(c for c in least if c is not None)
 
 
-def test_large_near_copy_group(spark):
+@pytest.mark.parametrize("posting", [4000, 7])
+def test_large_near_copy_group(spark, monkeypatch, posting):
+    """Also with prefix n-grams dealt to pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "POSTING", posting)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0 if posting == 7 else 6)
     rng = __import__("random").Random(1)
     base = brute.prose(rng, 80)
     rows = [(i, brute.near(rng, base, rng.choice([0, 1, 1, 2, 3, 3, 4])), None, None, None, None, None, None, None, None) for i in range(120)]
@@ -51,6 +55,26 @@ def test_links_of_a_near_copy_group_grow_with_its_size(spark, monkeypatch):
         assert sum(counted) <= ngram_join.PARTNERS * n
 
 
+def test_a_common_passage_makes_few_candidates(spark, monkeypatch):
+    """Near copies in pairs, and half of every text is the same passage: only pairs with room for the overlap are compared."""
+    listed, compared = [], ngram_join._compared
+
+    def count(live, partners, percent):
+        listed.append(partners.agg(F.sum(F.size("partners"))).first()[0] or 0)
+        return compared(live, partners, percent)
+
+    monkeypatch.setattr(ngram_join, "_compared", count)
+    rng = __import__("random").Random(8)
+    passage, n = brute.prose(rng, 60), 150
+    rows = []
+    for i in range(n):
+        own = brute.prose(rng, 50)
+        rows += [(2 * i + j, f"{text} {passage}", *[None] * 8) for j, text in enumerate((own, brute.near(rng, own, 1)))]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, brute.SCHEMA).repartition(4))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute.components(rows)
+    assert listed[-1] <= n
+
+
 @pytest.mark.parametrize("hot", [0, 10**6])
 def test_repeated_bytes(docs, rows, empty, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
