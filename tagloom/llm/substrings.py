@@ -33,6 +33,8 @@ from .suffixes import suffix_array
 
 #: Bytes of an anchor, of a symbol, different stretches of one anchor in a block, and stretches of a block.
 ANCHOR, SYMBOL, HOT, STRETCHES = 64, 16, 256, 1500
+#: A key with more than one in so many of all stretches is heavy, so there are fewer heavy keys than this.
+HEAVY = 1000
 _SEGMENT = 1 << 20
 _VALUES = np.random.default_rng(79).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -284,6 +286,17 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has each key once with its ``count``.
+
+    Rows of heavy keys stay where they are and meet a broadcast of fewer than ``HEAVY`` keys; all others are shuffled.
+    """
+    heavy = F.col(count) * HEAVY > F.lit(total)
+    few = facts.filter(heavy)
+    others = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(facts.filter(~heavy), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(others)
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, text_column: str = "text") -> DataFrame:
     """``(text_key, spans)``: byte spans that repeated windows cover, for every text that has some."""
     spark = docs.sparkSession
@@ -291,7 +304,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_column: str = "text"
     texts = texts.filter(F.octet_length("text") >= length)
     every = materialise(texts.mapInArrow(_stretch_rows(length), "text_key long, first int, last int, at int, anchor long, content long"), "stretches")
     anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("n > 1")
-    again = materialise(every.join(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "anchor"), "repeated")
+    anchors = materialise(anchors.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("differ")), "anchors")
+    total = every.count()
+    again = materialise(_with_facts(every, anchors, ["anchor"], "n", total).drop("n"), "repeated")
 
     kinds = again.filter("differ").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("text_key", "first", "last", "at")).alias("one"))
     kinds = materialise(kinds, "kinds")
@@ -309,9 +324,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_column: str = "text"
 
     whole = F.array(F.struct(F.col("first").alias("s"), (F.col("last") + length).alias("e")))
     copied = again.filter("not differ").select("text_key", whole.alias("spans"))
-    partly = again.filter("differ").join(sorted_.union(digested).join(kinds.filter("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_anti"), ["anchor", "content"])
+    known = _with_facts(again.filter("differ"), kinds.select("anchor", "content", "copies"), ["anchor", "content"], "copies", total)
+    partly = known.filter("copies = 1").join(sorted_.union(digested), ["anchor", "content"])
     moved = F.transform("spans", lambda x: F.struct((x["s"] + F.col("at")).alias("s"), (x["e"] + F.col("at")).alias("e")))
-    same = again.filter("differ").join(kinds.filter("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi").select("text_key", whole.alias("spans"))
+    same = known.filter("copies > 1").select("text_key", whole.alias("spans"))
     found = copied.union(partly.select("text_key", moved.alias("spans"))).union(same)
     return found.groupBy("text_key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
 
