@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import batched
 from pathlib import Path
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -13,7 +16,7 @@ from ..functions import metadata as md, normal, paths, tags as tg
 from ..functions.rules import IMAGE_SUFFIXES
 from ..operators.merge import cache_override, first_source_wins
 from ..operators.stats import Patterns, features_from_counts, features_from_freqs
-from ..runtime import explode_rows
+from ..runtime import explode_rows, materialise
 from ..schema import BOORU_META, CAPTION_ATTRS, RECORD, parse_size
 from . import quoted
 
@@ -26,19 +29,100 @@ def plain_path(uri: Column) -> Column:
     return F.regexp_replace(uri, r"\Afile:(?://)?(?=/)", "")
 
 
+class Mount(NamedTuple):
+    """How tasks reach a file system: ``scan`` gives ``(name, is folder, length)`` of a folder's entries, ``read`` a file's bytes."""
+
+    scan: Callable[[str], Iterator[tuple[str, bool, int]]]
+    read: Callable[[str], bytes | None]
+
+
+def _mounted(path: str) -> str:
+    """The path; one with a scheme is refused: taken as a local file it would find nothing."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        raise ValueError(f"{path} is no mounted path; give a fetch function for its file system")
+    return path
+
+
+def mounted_entries(path: str) -> Iterator[tuple[str, bool, int]]:
+    """The entries of a folder of a file system that all executors mount, one after the other."""
+    with os.scandir(_mounted(path)) as entries:
+        for entry in entries:
+            try:
+                folder = entry.is_dir()
+                yield entry.name, folder, 0 if folder else entry.stat().st_size
+            except FileNotFoundError:  # gone meanwhile, or a link to nothing
+                continue
+
+
+def mounted_bytes(path: str) -> bytes | None:
+    """The content at a path of a file system that all executors mount; null if there is no such file."""
+    try:
+        return Path(_mounted(path)).read_bytes()
+    except FileNotFoundError:
+        return None
+
+
+MOUNTED = Mount(mounted_entries, mounted_bytes)
+
+#: Entries that a task hands over at a time.
+LISTED = 10_000
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Few short rows that each mean work, over as many tasks as a shuffle has."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def scan_files(spark: SparkSession, directory: str | Sequence[str], mount: Mount, recursive: bool = True) -> DataFrame:
+    """``(path, length)`` of the files below directories, listed in the tasks, one level of folders after the other.
+
+    Neither files nor folders reach the driver, a task holds ``LISTED`` entries of one folder at a time.  Like Spark's own
+    listing it shows neither hidden entries nor empty files.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["path"]:
+                shown = (
+                    (f"{folder.rstrip('/')}/{name}", is_folder, length)
+                    for name, is_folder, length in mount.scan(folder)
+                    if (is_folder or length > 0)
+                    and not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
+                )
+                for some in batched(shown, LISTED):
+                    yield pd.DataFrame(some, columns=["path", "folder", "length"])
+
+    roots = [directory] if isinstance(directory, str) else list(directory)
+    level = spark.createDataFrame([(re.sub(r"\Afile:(?://)?(?=/)", "", root),) for root in roots], "path string")
+    found = None
+    while True:
+        listed = materialise(level.mapInPandas(run, "path string, folder boolean, length bigint"), "listing")
+        files, level = listed.filter(~F.col("folder")).select("path", "length"), _spread(listed.filter("folder").select("path"))
+        found = files if found is None else found.unionByName(files)
+        if not recursive or level.isEmpty():
+            return found
+
+
 def list_images(
-    spark: SparkSession, directory: str | Sequence[str], recursive: bool = True, suffixes: Sequence[str] = IMAGE_SUFFIXES
+    spark: SparkSession,
+    directory: str | Sequence[str],
+    recursive: bool = True,
+    suffixes: Sequence[str] = IMAGE_SUFFIXES,
+    mount: Mount | None = None,
 ) -> DataFrame:
     """``(image_key, image_path, length)`` of the image files below a directory; contents are never read.
 
-    Suffixes are case-sensitive.
+    Suffixes are case-sensitive.  Spark's own listing holds all files on the driver; with ``mount`` the tasks list them.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(directory if isinstance(directory, str) else list(directory))
-        .select(plain_path(F.col("path")).alias("image_path"), "length")
-    )
+    if mount is not None:
+        files = scan_files(spark, directory, mount, recursive).withColumnRenamed("path", "image_path")
+    else:
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", str(recursive).lower())
+            .load(directory if isinstance(directory, str) else list(directory))
+            .select(plain_path(F.col("path")).alias("image_path"), "length")
+        )
     return files.filter(paths.suffix(F.col("image_path")).isin(list(suffixes))).select(
         paths.stem(F.col("image_path")).alias("image_key"), "image_path", "length"
     )
@@ -133,20 +217,30 @@ def read_record_csv(spark: SparkSession, path: str | Sequence[str], sep: str = "
     return raw.select(*[typed(n) for n in known])
 
 
-def _texts(spark: SparkSession, directory: str | Sequence[str], glob: str) -> DataFrame:
-    """``(path, value)`` of small text files; paths come unencoded.  Spark's listing leaves out empty files."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(directory if isinstance(directory, str) else list(directory))
-    )
+def _texts(spark: SparkSession, directory: str | Sequence[str], suffix: str, mount: Mount | None = None) -> DataFrame:
+    """``(path, value)`` of small text files; paths come unencoded.  Both listings leave out empty files."""
+    if mount is not None:
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                out = frame.assign(content=[mount.read(p) for p in frame["path"]])
+                yield out[out["content"].notna()]
+
+        named = scan_files(spark, directory, mount).filter(F.col("path").endswith(suffix)).select("path")
+        files = _spread(named).mapInPandas(run, "path string, content binary")
+    else:
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", f"*{suffix}")
+            .load(directory if isinstance(directory, str) else list(directory))
+        )
     return files.select(plain_path(F.col("path")).alias("path"), F.decode("content", "UTF-8").alias("value"))
 
 
-def read_captions(spark: SparkSession, directory: str | Sequence[str]) -> DataFrame:
+def read_captions(spark: SparkSession, directory: str | Sequence[str], mount: Mount | None = None) -> DataFrame:
     """``(label_path, caption)`` of the non-empty ``.txt`` sidecars below a directory, by listing."""
-    return _texts(spark, directory, "*.txt").select(
+    return _texts(spark, directory, ".txt", mount).select(
         F.col("path").alias("label_path"), F.nullif("value", F.lit("")).alias("caption")
     )
 
@@ -156,10 +250,8 @@ def mounted_text(path: str) -> str | None:
 
     Paths with a scheme are refused: reading them as local files would find nothing.
     """
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
-        raise ValueError(f"{path} is no mounted path; give a fetch function for its file system")
     try:
-        return Path(path).read_text(encoding="utf-8")
+        return Path(_mounted(path)).read_text(encoding="utf-8")
     except FileNotFoundError:
         return None
 
@@ -197,10 +289,10 @@ def read_hidden_meta(images: DataFrame, fetch: Callable[[str], str | None]) -> D
     )
 
 
-def read_booru_meta(spark: SparkSession, directory: str) -> DataFrame:
+def read_booru_meta(spark: SparkSession, directory: str, mount: Mount | None = None) -> DataFrame:
     """``(image_dir, stem, image_name, meta)`` of ``{name}.json`` sidecars."""
     path = F.col("path")
-    return _texts(spark, directory, "*.json").select(
+    return _texts(spark, directory, ".json", mount).select(
         F.regexp_replace(path, r"/[^/]*\z", "").alias("image_dir"),
         F.lit(None).cast("string").alias("stem"),
         F.regexp_extract(paths.name(path), r"\A(.+)\.json\z", 1).alias("image_name"),
@@ -250,19 +342,21 @@ def read_folder(
     recursive: bool = True,
     read_types: Sequence[str] = ("txt", "danbooru"),
     fetch: Callable[[str], str | None] | None = None,
+    mount: Mount | None = None,
 ) -> DataFrame:
     """Image records of a folder with captions from their sidecars.
 
     Sidecars come from Spark's listing, on any file system; it shows neither empty nor hidden files.  ``fetch`` asks for
     these in the tasks: ``mounted_text`` on a file system that all executors mount, or a function for another one.
+    Spark's listing holds every file on the driver; with ``mount`` (``MOUNTED`` likewise) the tasks list folders.
     """
-    images = list_images(spark, directory, recursive)
+    images = list_images(spark, directory, recursive, mount=mount)
     captions = None
     if "txt" in read_types:
-        captions = read_captions(spark, directory) if fetch is None else fetch_captions(images, fetch)
+        captions = read_captions(spark, directory, mount) if fetch is None else fetch_captions(images, fetch)
     meta = None
     if "danbooru" in read_types:
-        meta = read_booru_meta(spark, directory)
+        meta = read_booru_meta(spark, directory, mount)
         if fetch is not None:
             meta = meta.unionByName(read_hidden_meta(images, fetch))
     return attach_sidecars(images, captions, meta)

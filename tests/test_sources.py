@@ -30,6 +30,28 @@ def folder(tmp_path):
     return tmp_path / "set"
 
 
+def test_listing_in_the_tasks_equals_sparks(spark, folder):
+    """Hidden and empty files, hidden folders, names with blanks; neither files nor folders go through the driver's file index."""
+    for name in ("_skipped", ".git", "so so"):
+        (folder / name).mkdir()
+        (folder / name / f"in {name}.png").write_bytes(b"xy")
+        (folder / name / f"in {name}.txt").write_bytes("é\r\n, z".encode())
+    (folder / "empty.png").write_bytes(b"")
+    (folder / "gone.png").symlink_to(folder / "nowhere.png")
+    (folder / "_under.png").write_bytes(b"x")
+    for recursive in (True, False):
+        listed = rd.list_images(spark, str(folder), recursive, mount=rd.MOUNTED)
+        assert sorted(listed.collect()) == sorted(rd.list_images(spark, str(folder), recursive).collect())
+        assert "binaryFile" not in listed._jdf.queryExecution().executedPlan().toString()
+    twice = [f"file:{folder}/deep", str(folder / "cat a")]
+    assert sorted(rd.list_images(spark, twice, mount=rd.MOUNTED).collect()) == sorted(rd.list_images(spark, twice).collect())
+    captions = rd.read_captions(spark, str(folder), rd.MOUNTED)
+    assert "binaryFile" not in captions._jdf.queryExecution().executedPlan().toString()
+    assert sorted(captions.collect()) == sorted(rd.read_captions(spark, str(folder)).collect())
+    by_task, by_spark = (rd.read_folder(spark, str(folder), mount=m).collect() for m in (rd.MOUNTED, None))
+    assert sorted(by_task, key=lambda r: r.image_path) == sorted(by_spark, key=lambda r: r.image_path)
+
+
 def test_folder_scan_and_sidecars(spark, folder):
     rows = {r.image_key: r for r in rd.read_folder(spark, str(folder), fetch=rd.mounted_text).collect()}
     assert set(rows) >= {"one", "two", "three", "five", "six"} and "four" not in rows
