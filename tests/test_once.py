@@ -34,3 +34,11 @@ def test_joined_types_derive_records_twice(spark, counted):
     found = dc.with_typed_tags(df, spark.createDataFrame([("artist", "a")], "kind string, tag string"), inline_limit=0).select("image_key", "typed").collect()
     assert [x.type for r in found if r.image_key == "k0" for x in r.typed][:1] == ["artist"]
     assert seen.value <= 2 * len(ROWS)
+
+
+def test_joined_overlap_derives_records_twice(spark, counted):
+    df, seen = counted(ROWS)
+    overlap = spark.createDataFrame([("a", [], ["b"])], "query string, parents array<string>, children array<string>")
+    found = {(r.image_key, tuple(r.tags or ())) for r in dc.deoverlap(df, overlap, inline_limit=0).select("image_key", "tags").collect()}
+    assert ("k0", ("a",)) in found and ("k1", ("b", "b", "c")) in found
+    assert seen.value <= 2 * len(ROWS)
