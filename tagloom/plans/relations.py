@@ -8,7 +8,7 @@ from ..functions import derived as dv, paths, tags as tg
 from ..functions.rules import Regex
 from ..operators import dictionary as dc, lookup as lk, merge as mg, predictions as pr, search as sr, stats as st
 from ..operators.features import remove_character_features
-from ..runtime import explode_rows, scratch_path
+from ..runtime import explode_rows, materialise, scratch_path
 from ..sources import writers as wr
 from . import sqltext as q
 from .captions import out, repeated, rows
@@ -332,7 +332,13 @@ query(
     own AS (SELECT image_key, list(DISTINCT feature) AS fs FROM (SELECT image_key, unnest({q.chars()}) AS c FROM typed) JOIN usual ON {q.space('c')} = character GROUP BY image_key)
     SELECT r.image_key, array_to_string(list_filter(tags, lambda x: NOT list_contains(coalesce(fs, []), {q.space('x')})), ', ') AS caption FROM records r LEFT JOIN own ON own.image_key = r.image_key""",
     "records", "dict", "typed",
-)(lambda t: out(remove_character_features(t.full, t.retype, t.feature_patterns, 0.02, 2), F.col("tags")))
+)(
+    # statistics and edits both read the records, which are derived once
+    lambda t: out(
+        remove_character_features(materialise(t.full.select("image_key", "tags", "characters"), "records"), t.retype, t.feature_patterns, 0.02, 2),
+        F.col("tags"),
+    )
+)
 
 REPORT = """report AS (SELECT 'missing_caption' AS kind, image_key FROM records WHERE caption IS NULL
     UNION ALL SELECT 'missing_image_file', image_key FROM records WHERE caption IS NULL)"""

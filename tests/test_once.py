@@ -42,3 +42,10 @@ def test_joined_overlap_derives_records_twice(spark, counted):
     found = {(r.image_key, tuple(r.tags or ())) for r in dc.deoverlap(df, overlap, inline_limit=0).select("image_key", "tags").collect()}
     assert ("k0", ("a",)) in found and ("k1", ("b", "b", "c")) in found
     assert seen.value <= 2 * len(ROWS)
+
+
+def test_feature_removal_derives_records_once(spark, counted, monkeypatch):
+    df, seen = counted(ROWS)
+    monkeypatch.setattr(Tables, "full", property(lambda self: df))
+    assert len(catalog.QUERIES["j08_remove_character_features"](spark, "/root/testdata/sf0.001").collect()) == len(ROWS)
+    assert seen.value == len(ROWS)
