@@ -42,9 +42,10 @@ def forms(df: DataFrame) -> DataFrame:
 def edited_index(t: Tables) -> str:
     """The first dataset's index, edited to the second's, then to both with the first one's records winning."""
     path = scratch_path(t.spark, "index-runs")
-    index_runs.create(forms(t.slim), path)
-    index_runs.add_run(path, mg.index_delta(t.slim, t.other))
-    index_runs.add_run(path, mg.index_delta(t.other, mg.union(t.slim, t.other)))
+    first, second = (materialise(df.select("image_key", "tags"), "records") for df in (t.slim, t.other))  # derived once, read by all edits
+    index_runs.create(forms(first), path)
+    index_runs.add_run(path, mg.index_delta(first, second))
+    index_runs.add_run(path, mg.index_delta(second, mg.union(first, second)))
     return path
 
 
