@@ -8,7 +8,7 @@ by a second band, so no bucket emits all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -70,20 +70,35 @@ def _band_rows(columns: Sequence[Column], radius: int) -> Column:
     return F.flatten(F.array(*[one(band, value) for band, value in enumerate(columns)]))
 
 
-def _second_rows(columns: Sequence[Column], radius: int) -> Column:
-    return F.transform(
-        _band_rows(columns, radius), lambda s: F.struct(s["band"].alias("band2"), s["value"].alias("value2"))
-    )
+def _second_rows(columns: Sequence[Column], band: int, radii: Sequence[int]) -> Column:
+    """``array<struct<band2, value2>>``: the bands but one, each with all flips up to its radius; a negative one leaves its band out."""
+    widths = _widths(len(columns))
+    others = [i for i in range(len(columns)) if i != band]
+
+    def one(i: int, radius: int) -> Column:
+        return F.transform(_flipped(columns[i], _flips(widths[i], radius)), lambda x: F.struct(F.lit(i).alias("band2"), x.alias("value2")))
+
+    return F.flatten(F.array(*[one(i, radius) for i, radius in zip(others, radii) if radius >= 0]))
+
+
+def _radii(distance: int, bands: int) -> list[int]:
+    """Radii of bands one of which must be kept by two hashes within the distance.
+
+    If every band were missed by a bit at least, the bits missed would add up to the sum of the radii and the number of
+    bands, so radii that add up to ``distance - bands + 1`` are enough.
+    """
+    total = distance - bands + 1
+    return [max((total + i) // bands, -1) for i in reversed(range(bands))] if total >= -bands + 1 else []
 
 
 def _near(index: DataFrame, probes: DataFrame, distance: int, bands: int, hot_bucket: int) -> DataFrame:
     """``(h1, h2, k, p1, p2, pk)`` within the distance, of ``index(h1, h2, k)`` and ``probes(p1, p2, pk)``; may repeat.
 
     Bands whose value is shared by more than ``hot_bucket`` hashes also match on one of the other bands: those differ by
-    at most ``distance`` bits in total, so one of them is within ``distance // (bands - 1)`` bits.  Both sides flip half
-    of these, which needs far fewer rows than one side flipping all.  The result is exact either way.
+    what the first band's flips have left of ``distance`` in total, so one of them is within its radius of ``_radii``.
+    Both sides flip half of these, which needs far fewer rows than one side flipping all.  The result is exact either way.
     """
-    radius, radius2 = distance // bands, distance // (bands - 1)
+    radius, half = distance // bands, distance // (bands - 1) // 2
     own, other = ["h1", "h2", "k"], ["p1", "p2", "pk"]
     indexed = explode_rows(index, own, _band_rows(_bands(F.col("h1"), F.col("h2"), bands), 0), "b").select(*own, "b.band", "b.value")
     probed = explode_rows(probes, other, _band_rows(_bands(F.col("p1"), F.col("p2"), bands), radius), "b").select(*other, "b.band", "b.value")
@@ -96,13 +111,20 @@ def _near(index: DataFrame, probes: DataFrame, distance: int, bands: int, hot_bu
 
     cool = indexed.filter(~F.col("hot")).join(probed.filter(~F.col("hot")), ["band", "value"])
 
-    def deep(df: DataFrame, columns: list[str], flips: int) -> DataFrame:
-        second = _second_rows(_bands(F.col(columns[0]), F.col(columns[1]), bands), flips)
+    def deep(df: DataFrame, columns: list[str], radii: Callable[[int], list[int]]) -> DataFrame:
+        """Rows of the other bands; ``radii`` by how many bits the band was flipped."""
+        cut = _bands(F.col(columns[0]), F.col(columns[1]), bands)
+        flipped, second = F.bit_count(F.get(F.array(*cut), F.col("band")).bitwiseXOR(F.col("value"))), None
+        for band in range(bands):
+            for flips in range(radius + 1):
+                here = (F.col("band") == band) & (flipped == flips)
+                rows_of = _second_rows(cut, band, radii(flips))
+                second = F.when(here, rows_of) if second is None else second.when(here, rows_of)
         rows = explode_rows(df.filter("hot"), [*columns, "band", "value"], second, "s")
-        return rows.select(*columns, "band", "value", "s.band2", "s.value2").filter(F.col("band2") != F.col("band"))
+        return rows.select(*columns, "band", "value", "s.band2", "s.value2")
 
-    half = radius2 // 2
-    warm = deep(indexed, own, half).join(deep(probed, other, radius2 - half), ["band", "value", "band2", "value2"])
+    left_over = lambda flips: [r if r < 0 else max(r - half, 0) for r in _radii(distance - flips, bands - 1)]
+    warm = deep(indexed, own, lambda _: [half] * (bands - 1)).join(deep(probed, other, left_over), ["band", "value", "band2", "value2"])
     gap = hashes.hamming(F.col("h1"), F.col("h2"), F.col("p1"), F.col("p2"))
     return cool.select(*own, *other).unionByName(warm.select(*own, *other)).withColumn("distance", gap).filter(F.col("distance") <= distance)
 

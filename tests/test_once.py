@@ -49,6 +49,8 @@ def test_feature_removal_derives_records_once(spark, counted, monkeypatch):
     monkeypatch.setattr(Tables, "full", property(lambda self: df))
     assert len(catalog.QUERIES["j08_remove_character_features"](spark, "/root/testdata/sf0.001").collect()) == len(ROWS)
     assert seen.value == len(ROWS)
+
+
 def test_edited_index_derives_records_once(spark, counted):
     t = Tables(spark, "/root/testdata/sf0.001")
     (first, seen1), (second, seen2) = counted(ROWS[:2]), counted(ROWS[1:2])

@@ -173,3 +173,10 @@ def test_edits_run_on_a_stream(spark, tagged, tmp_path):
         label_new_files(stream, lambda df: edit_stream(df, edits), out, str(tmp_path / "progress")).awaitTermination()
     assert {r.image_key: r.tags for r in spark.read.parquet(out).collect()} == {"k0": ["a_b"], "k1": ["c"]}
     assert spark.read.parquet(out).count() == 2
+
+
+@pytest.mark.parametrize("distance, bands", [(0, 2), (7, 3), (6, 3), (9, 4), (8, 4), (2, 5)])
+def test_second_bands_radii_are_enough_and_tight(distance, bands):
+    """Missing every band takes more bits than the distance, but only one more."""
+    radii = nd._radii(distance, bands)
+    assert len(radii) == bands and sum(r + 1 for r in radii) == distance + 1
