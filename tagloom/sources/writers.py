@@ -106,6 +106,26 @@ def write_texts(df: DataFrame, put: Callable[[str, str], None]) -> DataFrame:
     return df.select("path", "text").mapInPandas(run, "path string, bytes bigint")
 
 
+def mounted_removal(path: str) -> None:
+    """Remove a file of a file system that all executors mount, if it is there; paths with a scheme are refused."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        raise ValueError(f"{path} is no mounted path; give a removal function for its file system")
+    Path(path).unlink(missing_ok=True)
+
+
+def remove_texts(manifest: DataFrame, remove: Callable[[str], None]) -> int:
+    """Remove the files of a stored manifest ``(path)`` in the tasks; how many rows it has."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path in frame["path"]:
+                remove(path)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path").repartition(tasks).mapInPandas(run, "n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
 def write_captions(df: DataFrame, put: Callable[[str, str], None]) -> DataFrame:
     """Write one text file per record with a non-empty caption; returns a lazy manifest.
 
@@ -144,7 +164,9 @@ __all__ = [
     "pending",
     "record_json",
     "save_changes",
+    "mounted_removal",
     "mounted_text",
+    "remove_texts",
     "write_captions",
     "write_record_json",
     "write_csv",

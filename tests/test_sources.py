@@ -1,12 +1,15 @@
 """Readers and sinks on real files."""
 
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom.functions import metadata as md, paths
 from tagloom.operators.records import with_caption_attrs
+from tagloom.plans import ordering
+from tagloom.plans.tables import Tables
 from tagloom.sources import readers as rd, writers as wr
 
 
@@ -230,3 +233,31 @@ def test_caption_attributes(spark):
     df = records_frame(spark).withColumn("typed", dv.typed(F.col("tags"), {}))
     row = with_caption_attrs(df).filter("image_key = 'k1'").first()
     assert row.artist is None and row.quality is None and row.characters is None and row.styles is None
+
+
+def test_written_files_are_read_in_parts_and_go(spark, tmp_path, monkeypatch):
+    """No more files lie on disk than a part has, and none afterwards; repeated records stay in one part."""
+    rows = [(i, f"img{i}", f"/data/{i % 3}/img{i}.png", "gs"[i % 2], ["a", f"t{i}"]) for i in (*range(20), 3, 5)]
+    t = Tables(spark, "nowhere")
+    t.__dict__["records"] = spark.createDataFrame(rows, "ord bigint, image_key string, image_path string, safe_level string, tags array<string>")
+    monkeypatch.setattr(ordering, "FILES", 11)
+    monkeypatch.setattr(ordering, "folder", lambda t, purpose: str(tmp_path / f"{purpose}-{uuid.uuid4().hex}"))
+    seen, remove = [], wr.remove_texts
+
+    def counted(manifest, how):
+        seen.append(sum(p.is_file() for p in tmp_path.rglob("*")))
+        return remove(manifest, how)
+
+    monkeypatch.setattr(wr, "remove_texts", counted)
+    suffixes = (".png", ".jpg", ".webp", ".txt")
+    listed = sorted(tuple(r) for r in ordering.listed_images(t).collect())
+    assert listed == sorted((f"img{i}", f"/data/{i % 3}/img{i}{suffixes[i % 4]}", 1) for i in range(20) if i % 4 < 3)
+    labelled = sorted((r.image_key, r.tags) for r in ordering.labelled(t).collect())
+    assert labelled == sorted((k, tags if level == "s" else None) for _, k, _, level, tags in rows)
+    assert len(seen) == 4 and max(seen) < 20 and sum(seen) == 30
+    assert not any(p.is_file() for p in tmp_path.rglob("*"))
+
+
+def test_removal_refuses_paths_with_a_scheme():
+    with pytest.raises(ValueError):
+        wr.mounted_removal("s3a://bucket/x.txt")
