@@ -85,16 +85,22 @@ query(
 )
 
 
-def stored_index(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "index")
-    wr.write_index(st.term_index(t.records, STYLE_TAGS), path)
-    return t.spark.read.parquet(path)
+def stored_index(records: DataFrame) -> DataFrame:
+    path = scratch_path(records.sparkSession, "index")
+    wr.write_index(st.term_index(records, STYLE_TAGS), path)
+    return records.sparkSession.read.parquet(path)
+
+
+def searched(t: Tables, options: dict) -> DataFrame:
+    """A search by a stored index of records that are derived once, for the index and the search."""
+    records = materialise(t.slim.select("image_key", "tags"), "records")
+    return keys(sr.by_index(records, stored_index(records), **options))
 
 
 for search_name in ("f03_tags_any", "f03_tags_exclude_all", "f03_tags_regex"):
     options, condition_sql = SEARCHES[search_name]
     query(f"{search_name}_by_index", f"WITH {TERMS} SELECT image_key FROM terms WHERE {condition_sql}")(
-        lambda t, options=options: keys(sr.by_index(t.slim, stored_index(t), **options))
+        lambda t, options=options: searched(t, options)
     )
 QUALITY_OF = q.quality(q.join("tags"))
 query("f04_quality", f"SELECT image_key FROM records WHERE {QUALITY_OF} IN ('best', 'low')")(

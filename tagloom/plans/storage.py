@@ -108,9 +108,10 @@ query(
 
 
 def vocabulary_search(t: Tables, **options) -> DataFrame:
-    index = stored_index(t)
+    records = materialise(t.slim.select("image_key", "tags"), "records")  # derived once, for the index and the search
+    index = stored_index(records)
     words = materialise(vc.vocabulary(index), "vocabulary")
-    return keys(vc.by_vocabulary(t.slim, index, words, materialise(vc.gram_postings(words), "grams"), **options))
+    return keys(vc.by_vocabulary(records, index, words, materialise(vc.gram_postings(words), "grams"), **options))
 
 
 REGEX, REGEX_SQL = SEARCHES["f03_tags_regex"]

@@ -58,3 +58,12 @@ def test_edited_index_derives_records_once(spark, counted):
     found = storage.index_runs.load(spark, storage.edited_index(t)).collect()
     assert sorted(tuple(r) for r in found) == [("a", "k0"), ("b", "k0"), ("b", "k1"), ("c", "k1")]
     assert (seen1.value, seen2.value) == (2, 1)
+
+
+@pytest.mark.parametrize("name", ["f03_tags_regex_by_index", "f03_tags_regex_by_vocabulary"])
+def test_stored_index_derives_records_once(spark, counted, monkeypatch, name):
+    df, seen = counted([("k0", ["red ring", "old bolt"], []), ("k1", ["red ring", "new bolt", "best ring"], []), ("k2", ["old bolt"], []), ("k3", None, None)])
+    monkeypatch.setattr(Tables, "slim", property(lambda self: df))
+    monkeypatch.setattr(Tables, "records", property(lambda self: df))
+    assert [r.image_key for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()] == ["k0"]
+    assert seen.value == 4
