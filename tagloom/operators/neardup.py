@@ -19,6 +19,8 @@ from ..runtime import explode_rows, materialise
 BITS = 64
 BANDS = 4
 HOT_BUCKET = 2000
+#: Band rows of one task; more rows get more tasks, so that none sorts more however many hashes there are.
+TASK_ROWS = 2_000_000
 
 
 def nearest(df: DataFrame, t1: int, t2: int, k: int, key: str = "vec_id") -> DataFrame:
@@ -91,25 +93,35 @@ def _radii(distance: int, bands: int) -> list[int]:
     return [max((total + i) // bands, -1) for i in reversed(range(bands))] if total >= -bands + 1 else []
 
 
+def _dealt(df: DataFrame, rows: float, keys: list[str]) -> DataFrame:
+    """``df`` over so many tasks that each has about ``TASK_ROWS`` of ``rows``; as it is if a shuffle has enough."""
+    tasks = -(-int(rows) // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _near(index: DataFrame, probes: DataFrame, distance: int, bands: int, hot_bucket: int) -> DataFrame:
     """``(h1, h2, k, p1, p2, pk)`` within the distance, of ``index(h1, h2, k)`` and ``probes(p1, p2, pk)``; may repeat.
 
     Bands whose value is shared by more than ``hot_bucket`` hashes also match on one of the other bands: those differ by
     what the first band's flips have left of ``distance`` in total, so one of them is within its radius of ``_radii``.
     Both sides flip half of these, which needs far fewer rows than one side flipping all.  The result is exact either way.
+    ``index`` and ``probes`` are counted and read several times, so they should be stored.
     """
     radius, half = distance // bands, distance // (bands - 1) // 2
     own, other = ["h1", "h2", "k"], ["p1", "p2", "pk"]
     indexed = explode_rows(index, own, _band_rows(_bands(F.col("h1"), F.col("h2"), bands), 0), "b").select(*own, "b.band", "b.value")
     probed = explode_rows(probes, other, _band_rows(_bands(F.col("p1"), F.col("p2"), bands), radius), "b").select(*other, "b.band", "b.value")
     sizes = indexed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialise(sizes.filter(F.col("n") > hot_bucket).select("band", "value"), "hot-bands")
-    mark = hot.withColumn("hot", F.lit(True))
+    hot = materialise(sizes.filter(F.col("n") > hot_bucket), "hot-bands")
+    mark = hot.select("band", "value", F.lit(True).alias("hot"))
     is_hot = F.coalesce("hot", F.lit(False))
     indexed = indexed.join(mark, ["band", "value"], "left").withColumn("hot", is_hot)
     probed = probed.join(mark, ["band", "value"], "left").withColumn("hot", is_hot)
 
-    cool = indexed.filter(~F.col("hot")).join(probed.filter(~F.col("hot")), ["band", "value"])
+    each = [len(_flips(width, radius)) for width in _widths(bands)]
+    n_index, n_probed = index.count() * bands, probes.count() * sum(each)
+    rows, first = n_index + n_probed, ["band", "value"]
+    cool = _dealt(indexed.filter(~F.col("hot")), rows, first).join(_dealt(probed.filter(~F.col("hot")), rows, first), first)
 
     def deep(df: DataFrame, columns: list[str], radii: Callable[[int], list[int]]) -> DataFrame:
         """Rows of the other bands; ``radii`` by how many bits the band was flipped."""
@@ -124,7 +136,9 @@ def _near(index: DataFrame, probes: DataFrame, distance: int, bands: int, hot_bu
         return rows.select(*columns, "band", "value", "s.band2", "s.value2")
 
     left_over = lambda flips: [r if r < 0 else max(r - half, 0) for r in _radii(distance - flips, bands - 1)]
-    warm = deep(indexed, own, lambda _: [half] * (bands - 1)).join(deep(probed, other, left_over), ["band", "value", "band2", "value2"])
+    flips = (bands - 1) * len(_flips(max(_widths(bands)), half))
+    rows, both = rows * flips * (hot.agg(F.sum("n").alias("n")).first()["n"] or 0) / max(n_index, 1), [*first, "band2", "value2"]
+    warm = _dealt(deep(indexed, own, lambda _: [half] * (bands - 1)), rows, both).join(_dealt(deep(probed, other, left_over), rows, both), both)
     gap = hashes.hamming(F.col("h1"), F.col("h2"), F.col("p1"), F.col("p2"))
     return cool.select(*own, *other).unionByName(warm.select(*own, *other)).withColumn("distance", gap).filter(F.col("distance") <= distance)
 
@@ -134,6 +148,7 @@ def hash_pairs(distinct: DataFrame, distance: int = 7, bands: int = BANDS, hot_b
 
     ``distinct`` has one row per hash (``h1, h2``).
     """
+    distinct = materialise(distinct, "distinct-hashes")
     left = distinct.select("h1", "h2", F.lit(0).alias("k"))
     right = distinct.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.lit(0).alias("pk"))
     smaller = (F.col("h1") < F.col("p1")) | ((F.col("h1") == F.col("p1")) & (F.col("h2") < F.col("p2")))

@@ -180,3 +180,20 @@ def test_second_bands_radii_are_enough_and_tight(distance, bands):
     """Missing every band takes more bits than the distance, but only one more."""
     radii = nd._radii(distance, bands)
     assert len(radii) == bands and sum(r + 1 for r in radii) == distance + 1
+
+
+def test_near_hashes_are_dealt_to_more_tasks(spark, monkeypatch):
+    """Tasks grow with the rows of the bands; the result stays that of comparing all hashes."""
+    rng = random.Random(5)
+    points = [(rng.getrandbits(32), rng.getrandbits(32)) for _ in range(6)]
+    rows = [(i, a ^ rng.getrandbits(2), b ^ rng.getrandbits(2)) for i, (a, b) in enumerate(points * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, h1 long, h2 long")
+    gap = lambda x, y: (x[1] ^ y[1]).bit_count() + (x[2] ^ y[2]).bit_count()
+    kept = [x[0] for x in rows if not any(y[0] < x[0] and gap(x, y) <= 7 for y in rows)]
+    distinct = sorted({x[1:] for x in rows})
+    pairs = sorted((*a, *b, gap((0, *a), (0, *b))) for a in distinct for b in distinct if a < b and gap((0, *a), (0, *b)) <= 7)
+    monkeypatch.setattr(nd, "TASK_ROWS", 150)
+    assert nd._dealt(df, 1500, ["h1"]).rdd.getNumPartitions() == 10
+    for hot in (3, 1000):
+        assert sorted(r.vec_id for r in nd.drop_near_duplicates(df, hot_bucket=hot).collect()) == kept
+        assert sorted(tuple(r) for r in nd.hash_pairs(df.select("h1", "h2").distinct(), hot_bucket=hot).collect()) == pairs
