@@ -432,21 +432,24 @@ def _leaders(entries: DataFrame, percent: int, turn: int) -> DataFrame:
     return met.withColumn("__at", first).filter(F.col("__at") <= PARTNERS).groupBy("node").agg(F.collect_list("p").alias("partners"))
 
 
+def _forest(labels: DataFrame) -> DataFrame:
+    """``(a, b)``: one edge for each node, to the node that names its component; stands for all links found before."""
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def class_links(live: DataFrame, percent: int) -> DataFrame:
     """``(node, label)``: components of the classes under all links; see the module's third pass."""
     keyed = live.select("node", "n", F.posexplode("leaders").alias("turn", "least"))
     lead = keyed.groupBy("turn", "least").agg(F.min(F.struct("node", "n")).alias("lead"))
     stars = keyed.join(lead, ["turn", "least"]).filter("node != lead.node").groupBy("node").agg(F.collect_set("lead").alias("partners"))
-    links = _compared(live, stars, percent)
-    labels = components(links)
+    labels = components(_compared(live, stars, percent))
     entries = _mixed_entries(live, labels)
     for turn in range(ROUNDS):
         met = live.join(entries.select("node").distinct(), "node", "left_semi")
         found = _compared(met, _leaders(entries, percent, turn), percent)
         new = found.count()
         if new:
-            links = links.union(found)
-            labels = components(links)
+            labels = components(_forest(labels).union(found))
             entries = _mixed_entries(live, labels)
         if new * ENOUGH < live.count():
             break
@@ -457,7 +460,7 @@ def class_links(live: DataFrame, percent: int) -> DataFrame:
     found = dealt.groupBy(F.pmod("key", F.lit(fragments)).alias("frag")).applyInArrow(_candidates(percent), "node long, found array<struct<node:long,n:long>>")
     others = found.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("partners"))
     still = live.join(entries.select("node").distinct(), "node", "left_semi")
-    return components(links.union(_compared(still, others, percent)))
+    return components(_forest(labels).union(_compared(still, others, percent)))
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

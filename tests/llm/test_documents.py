@@ -270,3 +270,30 @@ def test_licenses_across_lines(spark):
 def test_licenses_stay_native(docs):
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_components_do_not_gather_links_of_all_rounds(spark, monkeypatch):
+    """Links found before stand as one edge a class, however many partners each class has met."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base, f"x{i}", f"y{i}"])) for i in range(60)]
+    edges, found, labels = [], [], []
+    components, compared = ngram_join.components, ngram_join._compared
+
+    def count_edges(links):
+        edges.append(links.count())
+        out = components(links)
+        labels.append(out.count())
+        return out
+
+    def count_found(*args):
+        out = compared(*args)
+        out = out.union(out)  # as if every class had met twice as many partners
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "components", count_edges)
+    monkeypatch.setattr(ngram_join, "_compared", count_found)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in got.collect()} == {0}
+    assert found[0] > labels[0] and len(edges) > 1  # gathered, they would be more than one a class
+    assert edges[-1] <= labels[-2] + found[-1]
