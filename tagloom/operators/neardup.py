@@ -106,6 +106,9 @@ def _near(index: DataFrame, probes: DataFrame, distance: int, bands: int, hot_bu
     what the first band's flips have left of ``distance`` in total, so one of them is within its radius of ``_radii``.
     Both sides flip half of these, which needs far fewer rows than one side flipping all.  The result is exact either way.
     ``index`` and ``probes`` are counted and read several times, so they should be stored.
+
+    Band rows meet in sort-merge joins: Spark reckons exploded rows by the stored hashes' size, so it would take a side of
+    dozens of rows per hash for a small one and broadcast it through the driver.
     """
     radius, half = distance // bands, distance // (bands - 1) // 2
     own, other = ["h1", "h2", "k"], ["p1", "p2", "pk"]
@@ -121,7 +124,7 @@ def _near(index: DataFrame, probes: DataFrame, distance: int, bands: int, hot_bu
     each = [len(_flips(width, radius)) for width in _widths(bands)]
     n_index, n_probed = index.count() * bands, probes.count() * sum(each)
     rows, first = n_index + n_probed, ["band", "value"]
-    cool = _dealt(indexed.filter(~F.col("hot")), rows, first).join(_dealt(probed.filter(~F.col("hot")), rows, first), first)
+    cool = _dealt(indexed.filter(~F.col("hot")), rows, first).join(_dealt(probed.filter(~F.col("hot")), rows, first).hint("merge"), first)
 
     def deep(df: DataFrame, columns: list[str], radii: Callable[[int], list[int]]) -> DataFrame:
         """Rows of the other bands; ``radii`` by how many bits the band was flipped."""
@@ -138,7 +141,7 @@ def _near(index: DataFrame, probes: DataFrame, distance: int, bands: int, hot_bu
     left_over = lambda flips: [r if r < 0 else max(r - half, 0) for r in _radii(distance - flips, bands - 1)]
     flips = (bands - 1) * len(_flips(max(_widths(bands)), half))
     rows, both = rows * flips * (hot.agg(F.sum("n").alias("n")).first()["n"] or 0) / max(n_index, 1), [*first, "band2", "value2"]
-    warm = _dealt(deep(indexed, own, lambda _: [half] * (bands - 1)), rows, both).join(_dealt(deep(probed, other, left_over), rows, both), both)
+    warm = _dealt(deep(indexed, own, lambda _: [half] * (bands - 1)), rows, both).join(_dealt(deep(probed, other, left_over), rows, both).hint("merge"), both)
     gap = hashes.hamming(F.col("h1"), F.col("h2"), F.col("p1"), F.col("p2"))
     return cool.select(*own, *other).unionByName(warm.select(*own, *other)).withColumn("distance", gap).filter(F.col("distance") <= distance)
 
