@@ -20,6 +20,8 @@ _MASK = np.uint64(DIM - 1)
 
 #: Tasks that a pass over the bounded sample has at most: each sends one row of fixed size to the driver.
 TASKS = 16
+#: Tasks of a pass whose rows are sums over all features: so few that the driver gets a few MB each time; a row holds so many numbers.
+SUMS, SLICE = 4, 1 << 15
 
 Extractor = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
@@ -94,24 +96,37 @@ def examples(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("features").to_pylist()]
 
 
-def class_counts(sample: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """How many examples of label 0 and of higher ones hold each feature, and how many there are of each.
+def feature_sums(sample: DataFrame, add: Callable[[np.ndarray, Iterator[pa.RecordBatch]], None], n: int) -> np.ndarray:
+    """The sum over ``SUMS`` tasks of ``n`` numbers that ``add`` changes from 0 for the examples of a task.
 
-    Every task sends one row of fixed size.
+    Numbers travel as 32-bit floats in rows of ``SLICE``: rows of a megabyte and more would fill the driver's heap pass by pass.
     """
 
     def run(batches):
-        held, kinds = np.zeros((2, DIM), np.float32), [0, 0]
+        total = np.zeros(n)
+        add(total, batches)
+        parts = [(at, total[at : at + SLICE].astype("<f4").tobytes()) for at in range(0, n, SLICE)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["at", "part"])
+
+    total = np.zeros(n)
+    for r in sample.coalesce(SUMS).mapInArrow(run, "at int, part binary").collect():  # n / SLICE rows a task
+        part = np.frombuffer(r["part"], "<f4")
+        total[r["at"] : r["at"] + len(part)] += part
+    return total
+
+
+def class_counts(sample: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """How many examples of label 0 and of higher ones hold each feature, and how many there are of each."""
+
+    def add(total, batches):
+        held, kinds = total[: 2 * DIM].reshape(2, DIM), total[2 * DIM :]
         for batch in batches:
             for x, y in zip(examples(batch), batch.column("label").to_pylist(), strict=True):
                 held[int(y > 0), x] += 1
                 kinds[int(y > 0)] += 1
-        if any(kinds):
-            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), *(pa.array([k], pa.int64()) for k in kinds)], names=["held", "low", "high"])
 
-    rows = sample.mapInArrow(run, "held binary, low long, high long").collect()
-    held = sum((np.frombuffer(r["held"], np.float32).reshape(2, DIM) for r in rows), np.zeros((2, DIM)))
-    return held, [sum(r["low"] for r in rows), sum(r["high"] for r in rows)]
+    total = feature_sums(sample, add, 2 * DIM + 2)
+    return total[: 2 * DIM].reshape(2, DIM), total[2 * DIM :].astype(int).tolist()
 
 
 def scored(docs: DataFrame, extract: Extractor, score: Callable[[np.ndarray], dict[str, np.ndarray]], weights: np.ndarray, schema: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .features import DIM, class_counts, examples, kept, labelled_sample, scored, shared, words_and_stems
+from .features import DIM, class_counts, examples, feature_sums, kept, labelled_sample, scored, shared, words_and_stems
 
 #: Labelled documents the fit may use, steps at most, and the weight penalty.
 SAMPLE, STEPS, PENALTY = 20_000, 30, 1.0
@@ -52,9 +52,9 @@ def fit(sample: DataFrame, grade_of: dict, grades: int, scale: np.ndarray) -> tu
     def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
         weights, cut = at[:DIM], thresholds(at[DIM:])
 
-        def run(batches):
+        def add(out, batches):
             weights = sent.value
-            slope, dcut, total = np.zeros(DIM), np.zeros(steps), 0.0
+            slope, dcut, total = out[:DIM], out[DIM : DIM + steps], out[DIM + steps :]
             for batch in batches:
                 rows = zip(examples(batch), batch.column("label").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
                 for x, y, i in rows:
@@ -70,14 +70,11 @@ def fit(sample: DataFrame, grade_of: dict, grades: int, scale: np.ndarray) -> tu
                         dcut[grade - 1] += du / p
                     if grade < steps:
                         dcut[grade] -= dl / p
-            columns = [pa.array([float(total)]), pa.array([slope.astype(np.float32).tobytes()], pa.binary()), pa.array([dcut.tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["total", "slope", "cut"])
 
         with shared(sample, (weights * scale).astype(np.float32)) as sent:
-            rows = sample.mapInArrow(run, "total double, slope binary, cut binary").collect()  # one row a task
-        total = sum(r["total"] for r in rows) + PENALTY / 2 * float(weights @ weights)
-        slope = sum((np.frombuffer(r["slope"], np.float32).astype(float) for r in rows), np.zeros(DIM)) * scale + PENALTY * weights
-        dcut = sum((np.frombuffer(r["cut"]) for r in rows), np.zeros(steps))
+            found = feature_sums(sample, add, DIM + steps + 1)
+        total = float(found[-1]) + PENALTY / 2 * float(weights @ weights)
+        slope, dcut = found[:DIM] * scale + PENALTY * weights, found[DIM:-1]
         dfree = np.cumsum(dcut[::-1])[::-1].copy()
         dfree[1:] *= np.exp(np.clip(at[DIM + 1 :], -30, 30))
         return total, np.concatenate([slope, dfree])
