@@ -22,8 +22,8 @@ from ..runtime import materialise
 from . import words
 from .common import rank_in_groups
 
-#: Words whose ids a task remembers, and rounded sizes of the linear grouping.
-CACHE, GROUPS = 600_000, 64
+#: Words whose ids a task remembers (about 45 bytes each; new ones cost most of the time), and rounded sizes of the linear grouping.
+CACHE, GROUPS = 2_000_000, 64
 #: Lengths above this part of the capacity are large: grouped, rounded up and configured.
 LARGE = 3
 
