@@ -20,8 +20,8 @@ _MASK = np.uint64(DIM - 1)
 
 #: Tasks that a pass over the bounded sample has at most: each sends one row of fixed size to the driver.
 TASKS = 16
-#: Tasks of a pass whose rows are sums over all features: so few that the driver gets a few MB each time; a row holds so many numbers.
-SUMS, SLICE = 4, 1 << 15
+#: Tasks that add up what the others have found for every feature, and numbers in a row that the driver gets of them.
+SUMS, SLICE = 4, 1 << 14
 
 Extractor = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
 
@@ -96,22 +96,37 @@ def examples(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column("features").to_pylist()]
 
 
-def feature_sums(sample: DataFrame, add: Callable[[np.ndarray, Iterator[pa.RecordBatch]], None], n: int) -> np.ndarray:
-    """The sum over ``SUMS`` tasks of ``n`` numbers that ``add`` changes from 0 for the examples of a task.
+def feature_sums(sample: DataFrame, add: Callable[[np.ndarray, Iterator[pa.RecordBatch]], None], n: int, more: int) -> np.ndarray:
+    """The sums over the sample's parts of ``n + more`` numbers that ``add`` changes from 0; the first ``n`` are 32-bit floats of a part.
 
-    Numbers travel as 32-bit floats in rows of ``SLICE``: rows of a megabyte and more would fill the driver's heap pass by pass.
+    ``SUMS`` tasks add the parts up, so the driver gets a few MB a pass, in rows of ``SLICE`` numbers: a row of a megabyte from
+    every part would fill its heap pass by pass.
     """
+    schema = "at int, part binary"
 
-    def run(batches):
-        total = np.zeros(n)
+    def sliced(total: np.ndarray) -> pa.RecordBatch:
+        parts = [(at, total[at : at + SLICE].tobytes()) for at in range(0, len(total), SLICE)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["at", "part"])
+
+    def merge(total: np.ndarray, rows) -> None:
+        for at, data in rows:
+            part = np.frombuffer(data)
+            total[at : at + len(part)] += part
+
+    def one(batches):
+        total = np.zeros(n + more)
         add(total, batches)
-        parts = [(at, total[at : at + SLICE].astype("<f4").tobytes()) for at in range(0, n, SLICE)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts, strict=True), (pa.int32(), pa.binary()), strict=True)], names=["at", "part"])
+        total[:n] = total[:n].astype(np.float32)
+        yield sliced(total)
+
+    def some(batches):
+        total = np.zeros(n + more)
+        for batch in batches:
+            merge(total, zip(batch.column("at").to_pylist(), batch.column("part").to_pylist(), strict=True))
+        yield sliced(total)
 
-    total = np.zeros(n)
-    for r in sample.coalesce(SUMS).mapInArrow(run, "at int, part binary").collect():  # n / SLICE rows a task
-        part = np.frombuffer(r["part"], "<f4")
-        total[r["at"] : r["at"] + len(part)] += part
+    total = np.zeros(n + more)
+    merge(total, sample.mapInArrow(one, schema).coalesce(SUMS).mapInArrow(some, schema).collect())
     return total
 
 
@@ -125,7 +140,7 @@ def class_counts(sample: DataFrame) -> tuple[np.ndarray, list[int]]:
                 held[int(y > 0), x] += 1
                 kinds[int(y > 0)] += 1
 
-    total = feature_sums(sample, add, 2 * DIM + 2)
+    total = feature_sums(sample, add, 2 * DIM, 2)
     return total[: 2 * DIM].reshape(2, DIM), total[2 * DIM :].astype(int).tolist()
 
 

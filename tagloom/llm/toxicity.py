@@ -72,7 +72,7 @@ def fit(sample: DataFrame, grade_of: dict, grades: int, scale: np.ndarray) -> tu
                         dcut[grade] -= dl / p
 
         with shared(sample, (weights * scale).astype(np.float32)) as sent:
-            found = feature_sums(sample, add, DIM + steps + 1)
+            found = feature_sums(sample, add, DIM, steps + 1)
         total = float(found[-1]) + PENALTY / 2 * float(weights @ weights)
         slope, dcut = found[:DIM] * scale + PENALTY * weights, found[DIM:-1]
         dfree = np.cumsum(dcut[::-1])[::-1].copy()

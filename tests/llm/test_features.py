@@ -19,8 +19,8 @@ def test_passes_send_few_short_rows_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(kind, "collect", counted)
     weights, _ = toxicity.model(docs, labels, 3, 1000)
     assert np.abs(weights).max() > 0 and len(seen) > 2
-    assert max(max(x, default=0) for x in seen) <= 4 * features.SLICE
-    assert max(sum(x) for x in seen) <= features.SUMS * 4 * (2 * features.DIM + 2)
+    assert max(max(x, default=0) for x in seen) <= 8 * features.SLICE
+    assert max(sum(x) for x in seen[1:]) <= features.SUMS * 8 * (features.DIM + 4)
 
 
 def test_feature_sums_add_up(spark):
@@ -32,6 +32,6 @@ def test_feature_sums_add_up(spark):
                 total[i % 7] += i
                 total[-1] += 1
 
-    total = features.feature_sums(sample, add, features.SLICE + 5)
+    total = features.feature_sums(sample, add, features.SLICE, 5)
     assert total[:7].tolist() == [sum(i for i in range(100) if i % 7 == k) for k in range(7)]
     assert total[-1] == 100 and total.sum() == 4950 + 100
