@@ -35,3 +35,32 @@ def test_feature_sums_add_up(spark):
     total = features.feature_sums(sample, add, features.SLICE, 5)
     assert total[:7].tolist() == [sum(i for i in range(100) if i % 7 == k) for k in range(7)]
     assert total[-1] == 100 and total.sum() == 4950 + 100
+
+
+def test_features_that_no_example_holds_take_no_room_in_a_pass(spark, monkeypatch):
+    sample = spark.range(1000).repartition(16)
+    kind, seen = type(sample), []
+    collect = kind.collect
+
+    def counted(self):
+        rows = collect(self)
+        seen.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    def add(total, batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                total[257 * i] += i / 3
+                total[-1] += 1
+
+    monkeypatch.setattr(kind, "collect", counted)
+    total = features.feature_sums(sample, add, features.DIM, 1)
+    assert total[-1] == 1000 and np.array_equal(np.flatnonzero(total[:-1]), 257 * np.arange(1, 1000))
+    assert np.array_equal(total[: features.DIM : 257][:1000], (np.arange(1000) / 3).astype(np.float32))
+    assert 0 < max(seen) < features.DIM / 4
+
+
+def test_packed_numbers_come_back_bit_by_bit():
+    for numbers in (np.zeros(0), np.array([0.0, -0.0, np.inf, -np.inf, 5e-324, 1 / 3]), np.random.default_rng(1).normal(size=features.SLICE)):
+        back = features.unpacked(features.packed(numbers), len(numbers))
+        assert back.tobytes() == numbers.tobytes()
