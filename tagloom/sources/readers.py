@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from itertools import batched
+from itertools import batched, islice
 from pathlib import Path
 from typing import NamedTuple
 
@@ -57,9 +58,13 @@ def mounted_entries(path: str) -> Iterator[tuple[str, bool, int]]:
 def mounted_bytes(path: str) -> bytes | None:
     """The content at a path of a file system that all executors mount; null if there is no such file."""
     try:
-        return Path(_mounted(path)).read_bytes()
+        file = os.open(_mounted(path), os.O_RDONLY)
     except FileNotFoundError:
         return None
+    try:
+        return b"".join(iter(lambda: os.read(file, 65536), b""))
+    finally:
+        os.close(file)
 
 
 MOUNTED = Mount(mounted_entries, mounted_bytes)
@@ -67,6 +72,9 @@ MOUNTED = Mount(mounted_entries, mounted_bytes)
 #: Entries that a task hands over at a time.
 LISTED = 10_000
 
+#: Entries of a folder that the task which has found it lists as well, and how many such folders it lists for a row.
+SMALL, NEAR = 1000, 100
+
 
 def _spread(df: DataFrame) -> DataFrame:
     """Few short rows that each mean work, over as many tasks as a shuffle has."""
@@ -76,20 +84,35 @@ def _spread(df: DataFrame) -> DataFrame:
 def scan_files(spark: SparkSession, directory: str | Sequence[str], mount: Mount, recursive: bool = True) -> DataFrame:
     """``(path, length)`` of the files below directories, listed in the tasks, one level of folders after the other.
 
-    Neither files nor folders reach the driver, a task holds ``LISTED`` entries of one folder at a time.  Like Spark's own
-    listing it shows neither hidden entries nor empty files.
+    Neither files nor folders reach the driver, a task holds ``LISTED`` entries of one folder at a time.  Small folders are
+    listed by the task that finds them, others in the next round.  Like Spark's own listing it shows neither hidden entries
+    nor empty files.
     """
 
+    def shown(folder: str) -> Iterator[tuple[str, bool, int]]:
+        for name, is_folder, length in mount.scan(folder):
+            if (is_folder or length > 0) and not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")):
+                yield f"{folder.rstrip('/')}/{name}", is_folder, length
+
+    def entries(root: str) -> Iterator[tuple[str, bool, int]]:
+        near, todo = 0, deque([(root, True)])
+        while todo:
+            folder, whole = todo.popleft()
+            some = shown(folder) if whole else list(islice(shown(folder), SMALL + 1))
+            if not whole and len(some) > SMALL:
+                yield folder, True, 0
+                continue
+            for entry in some:
+                if entry[1] and recursive and near < NEAR:
+                    near += 1
+                    todo.append((entry[0], False))
+                else:
+                    yield entry
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for folder in frame["path"]:
-                shown = (
-                    (f"{folder.rstrip('/')}/{name}", is_folder, length)
-                    for name, is_folder, length in mount.scan(folder)
-                    if (is_folder or length > 0)
-                    and not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_"))
-                )
-                for some in batched(shown, LISTED):
+                for some in batched(entries(folder), LISTED):
                     yield pd.DataFrame(some, columns=["path", "folder", "length"])
 
     roots = [directory] if isinstance(directory, str) else list(directory)
@@ -250,10 +273,11 @@ def mounted_text(path: str) -> str | None:
 
     Paths with a scheme are refused: reading them as local files would find nothing.
     """
-    try:
-        return Path(_mounted(path)).read_text(encoding="utf-8")
-    except FileNotFoundError:
+    content = mounted_bytes(path)
+    if content is None:
         return None
+    text = content.decode("utf-8")
+    return text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
 
 
 def fetch_files(df: DataFrame, path: Column, fetch: Callable[[str], str | None]) -> DataFrame:

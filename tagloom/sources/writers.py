@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -85,32 +86,107 @@ def write_index(index: DataFrame, path: str, key: str = "image_key") -> None:
     index.repartitionByRange("tag", key).sortWithinPartitions("tag", key).write.parquet(path)
 
 
+def _fill(path: str, text: str, flags: int) -> None:
+    """Write a file by plain system calls: with very many short files ``pathlib`` takes longer than the files do."""
+    data = text.encode("utf-8")
+    file = os.open(path, os.O_WRONLY | flags, 0o666)
+    try:
+        done = 0
+        while done < len(data):
+            done += os.write(file, data[done:])
+        if os.fstat(file).st_size > len(data):
+            os.ftruncate(file, len(data))
+    finally:
+        os.close(file)
+
+
 def mounted_text(path: str, text: str) -> None:
     """Write a text on a file system that all executors mount; paths with a scheme are refused."""
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
         raise ValueError(f"{path} is no mounted path; give a put function for its file system")
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(text, encoding="utf-8")
+    try:
+        _fill(path, text, os.O_CREAT | os.O_TRUNC)
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        _fill(path, text, os.O_CREAT | os.O_TRUNC)
 
 
-def write_texts(df: DataFrame, put: Callable[[str, str], None]) -> DataFrame:
-    """Write the texts of ``df(path, text)`` in the tasks; returns the lazy manifest ``(path, bytes)``."""
+def mounted_reuse(spare: str, path: str, text: str) -> bool:
+    """Give a file that is no longer needed another path and a text; False if that can't be, without a file at ``spare`` either way.
+
+    A new path and the loss of the old one are steps that only one task can take, so no two paths share a file.
+    """
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        raise ValueError(f"{path} is no mounted path; give a put function for its file system")
+    try:
+        try:
+            os.link(spare, path)
+        except FileNotFoundError:  # no such folder, or no such spare file
+            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+            os.link(spare, path)
+    except OSError:  # a file is there, the spare one is gone, or the file system has no links
+        mounted_removal(spare)
+        return False
+    try:
+        os.unlink(spare)
+    except FileNotFoundError:  # another attempt of this task has taken it
+        os.unlink(path)
+        return False
+    _fill(path, text, 0)
+    return True
+
+
+class Spares(NamedTuple):
+    """Files ``(path)`` that are no longer needed: ``take(spare, path, text)`` makes one of them a new file, ``remove`` ends one."""
+
+    files: DataFrame
+    take: Callable[[str, str, str], bool]
+    remove: Callable[[str], None]
+
+
+def _written(df: DataFrame, path: str, put: Callable[[str, str], None], spares: Spares | None, schema: str) -> DataFrame:
+    """Rows of ``df``, which has a ``text`` for every ``path``, after their files were written, from spare files as long as a task has some."""
+    take = remove = None
+    if spares is not None:
+        take, remove, none = spares.take, spares.remove, [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]
+        rows = df.withColumn("__spare", F.lit(None).cast("string")).union(spares.files.select(*none, F.col("path").alias("__spare")))
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = rows.repartition(tasks).sortWithinPartitions(F.col("__spare").isNull())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = []
         for frame in frames:
-            for path, text in zip(frame["path"], frame["text"]):
-                put(path, text)
-            yield frame[["path"]].assign(bytes=frame["text"].str.encode("utf-8").str.len())
+            if take is not None:
+                spare = frame["__spare"].notna()
+                left.extend(frame.loc[spare, "__spare"])
+                frame = frame[~spare].drop(columns="__spare")
+            for where, text in zip(frame[path], frame["text"]):
+                if not (left and take(left.pop(), where, text)):
+                    put(where, text)
+            yield frame.drop(columns="text").assign(bytes=frame["text"].str.encode("utf-8").str.len(), status="written")[names]
+        for where in left:
+            remove(where)
+
+    names = [field.split()[0] for field in schema.split(", ")]
+    return df.mapInPandas(run, schema)
 
-    return df.select("path", "text").mapInPandas(run, "path string, bytes bigint")
+
+def write_texts(df: DataFrame, put: Callable[[str, str], None], spares: Spares | None = None) -> DataFrame:
+    """Write the texts of ``df(path, text)`` in the tasks; returns the lazy manifest ``(path, bytes)``.
+
+    With ``spares`` files that are no longer needed become the new ones, and none of them is left.
+    """
+    return _written(df.select("path", "text"), "path", put, spares, "path string, bytes bigint")
 
 
 def mounted_removal(path: str) -> None:
     """Remove a file of a file system that all executors mount, if it is there; paths with a scheme are refused."""
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
         raise ValueError(f"{path} is no mounted path; give a removal function for its file system")
-    Path(path).unlink(missing_ok=True)
+    try:
+        os.unlink(path)
+    except FileNotFoundError:
+        pass
 
 
 def remove_texts(manifest: DataFrame, remove: Callable[[str], None]) -> int:
@@ -122,28 +198,21 @@ def remove_texts(manifest: DataFrame, remove: Callable[[str], None]) -> int:
                 remove(path)
             yield pd.DataFrame({"n": [len(frame)]})
 
-    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(tasks).mapInPandas(run, "n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0
+    tasks = min(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-manifest.count() // 1000))
+    return manifest.select("path").repartition(max(1, tasks)).mapInPandas(run, "n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0
 
 
-def write_captions(df: DataFrame, put: Callable[[str, str], None]) -> DataFrame:
+def write_captions(df: DataFrame, put: Callable[[str, str], None], spares: Spares | None = None) -> DataFrame:
     """Write one text file per record with a non-empty caption; returns a lazy manifest.
 
     ``put(path, text)`` runs on executors and decides where files go: ``mounted_text``, or a function for another file
     system.  Rows say ``written`` after their file was.  A retried task rewrites the same files with the same content.
+    ``spares`` are as in ``write_texts``.
     """
     todo = df.filter(F.size("tags") > 0).select(
         "image_key", paths.label_path(F.col("image_path")).alias("label_path"), tg.render(F.col("tags")).alias("text")
     )
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, text in zip(frame["label_path"], frame["text"]):
-                put(path, text)
-            size = frame["text"].str.encode("utf-8").str.len()
-            yield frame[["image_key", "label_path"]].assign(bytes=size, status="written")
-
-    return todo.mapInPandas(run, MANIFEST)
+    return _written(todo, "label_path", put, spares, MANIFEST)
 
 
 def save_changes(stored: DataFrame, changes: DataFrame, path: str) -> None:
@@ -160,11 +229,13 @@ def pending(records: DataFrame, manifest: DataFrame) -> DataFrame:
 
 __all__ = [
     "RECORD",
+    "Spares",
     "label_check",
     "pending",
     "record_json",
     "save_changes",
     "mounted_removal",
+    "mounted_reuse",
     "mounted_text",
     "remove_texts",
     "write_captions",

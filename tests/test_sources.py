@@ -261,3 +261,41 @@ def test_written_files_are_read_in_parts_and_go(spark, tmp_path, monkeypatch):
 def test_removal_refuses_paths_with_a_scheme():
     with pytest.raises(ValueError):
         wr.mounted_removal("s3a://bucket/x.txt")
+
+
+def test_spare_files_become_the_new_ones(spark, tmp_path):
+    """No file is made while there are spare ones, none of these is left, and what is written is as without them."""
+    old, new = tmp_path / "old", tmp_path / "new"
+    old.mkdir()
+    for i in range(40):
+        (old / f"f{i}").write_text("a longer text than before" if i % 2 else "")
+    (new / "a").mkdir(parents=True)
+    (new / "a" / "2.txt").write_text("there already, and longer")
+    inodes = {p.stat().st_ino for p in old.iterdir()}
+    spares = wr.Spares(spark.createDataFrame([(str(old / f"f{i}"),) for i in (*range(40), 3, 77)], "path string"), wr.mounted_reuse, wr.mounted_removal)
+    texts = [(str(new / "ab"[i % 2] / f"{i}.txt"), "" if i == 4 else f"é{i}") for i in range(20)]
+    manifest = wr.write_texts(spark.createDataFrame(texts, "path string, text string"), wr.mounted_text, spares).collect()
+    assert sorted(tuple(r) for r in manifest) == sorted((p, len(t.encode())) for p, t in texts)
+    found = {str(p): p for p in new.rglob("*") if p.is_file()}
+    assert {k: p.read_text() for k, p in found.items()} == dict(texts) and not list(old.iterdir())
+    assert sum(p.stat().st_ino in inodes for p in found.values()) >= 10 and all(p.stat().st_nlink == 1 for p in found.values())
+    df = spark.createDataFrame([("k1", str(new / "c" / "1.png"), ["x", "y"]), ("k2", str(new / "c" / "2.png"), [])], "image_key string, image_path string, tags array<string>")
+    spares = spares._replace(files=spark.createDataFrame([(k,) for k in found], "path string"))
+    assert [tuple(r) for r in wr.write_captions(df, wr.mounted_text, spares).collect()] == [("k1", str(new / "c" / "1.txt"), 4, "written")]
+    assert [p.read_text() for p in new.rglob("*") if p.is_file()] == ["x, y"]
+
+
+@pytest.mark.parametrize(("small", "near", "rounds"), [(1000, 100, 1), (1, 100, None), (1000, 2, None)])
+def test_small_folders_are_listed_where_they_are_found(spark, tmp_path, monkeypatch, small, near, rounds):
+    for i in range(12):
+        (tmp_path / f"{i % 3}" / f"{i}").mkdir(parents=True)
+        for j in range(i % 4):
+            (tmp_path / f"{i % 3}" / f"{i}" / f"{j}.png").write_bytes(b"x")
+    seen, materialise = [], rd.materialise
+    monkeypatch.setattr(rd, "SMALL", small)
+    monkeypatch.setattr(rd, "NEAR", near)
+    monkeypatch.setattr(rd, "materialise", lambda df, purpose: seen.append(purpose) or materialise(df, purpose))
+    listed = sorted(rd.list_images(spark, str(tmp_path), mount=rd.MOUNTED).collect())
+    assert listed == sorted(rd.list_images(spark, str(tmp_path)).collect()) and len(listed) == 18
+    assert rounds in (None, len(seen))
+    assert rd.list_images(spark, str(tmp_path), False, mount=rd.MOUNTED).count() == 0
