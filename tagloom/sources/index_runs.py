@@ -16,9 +16,14 @@ from . import versions
 KEY = "image_key"
 
 
+def _ranged(df: DataFrame, key: str) -> DataFrame:
+    return df.repartitionByRange("tag", key)
+
+
 def _sorted_write(df: DataFrame, path: str, key: str) -> str:
+    """Store rows that ``_ranged`` has dealt out."""
     name = uuid.uuid4().hex
-    df.repartitionByRange("tag", key).sortWithinPartitions("tag", key).write.parquet(f"{path}/runs/{name}")
+    df.sortWithinPartitions("tag", key).write.parquet(f"{path}/runs/{name}")
     return name
 
 
@@ -28,7 +33,7 @@ def _commit(spark: SparkSession, path: str, number: int, base: str, runs: list[s
 
 def create(index: DataFrame, path: str, key: str = KEY) -> int:
     """Store an index as a base without runs."""
-    return _commit(index.sparkSession, path, 1, _sorted_write(index.select("tag", key).distinct(), path, key), [])
+    return _commit(index.sparkSession, path, 1, _sorted_write(_ranged(index.select("tag", key).distinct(), key), path, key), [])
 
 
 def add_run(path: str, delta: DataFrame, key: str = KEY) -> int:
@@ -39,40 +44,63 @@ def add_run(path: str, delta: DataFrame, key: str = KEY) -> int:
     spark = delta.sparkSession
     number, manifest = versions.current(spark, path)
     net = delta.groupBy("tag", key).agg(F.sum("delta").alias("__net")).filter("__net != 0").select("tag", key, (F.col("__net") > 0).alias("present"))
-    return _commit(spark, path, number + 1, manifest["base"], [*manifest["runs"], _sorted_write(net, path, key)])
+    return _commit(spark, path, number + 1, manifest["base"], [*manifest["runs"], _sorted_write(_ranged(net, key), path, key)])
 
 
-def _runs(spark: SparkSession, path: str, names: list[str], key: str) -> DataFrame:
-    """``(tag, key, present)`` as the newest of these runs has it."""
+def _runs(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The rows ``(tag, key, present, __run)`` of these runs, numbered from the oldest."""
     runs = [spark.read.parquet(f"{path}/runs/{n}").withColumn("__run", F.lit(i)) for i, n in enumerate(names)]
     every = runs[0]
     for run in runs[1:]:
         every = every.union(run)
+    return every
+
+
+def _with_base(spark: SparkSession, path: str, manifest: dict, key: str) -> DataFrame:
+    """The rows of the base as those of a run older than all, and the rows of the runs."""
+    base = spark.read.parquet(f"{path}/runs/{manifest['base']}").select("tag", key, F.lit(True).alias("present"), F.lit(-1).alias("__run"))
+    return base.union(_runs(spark, path, manifest["runs"]))
+
+
+def _newest(every: DataFrame, key: str) -> DataFrame:
+    """``(tag, key, present)`` as the newest run has it."""
     return every.groupBy("tag", key).agg(F.max_by("present", "__run").alias("present"))
 
 
-def load(spark: SparkSession, path: str, version: int | None = None, key: str = KEY) -> DataFrame:
-    """The current ``(tag, key)``; a filter on ``tag`` reaches the scans of the base and of every run.
+def _current(every: DataFrame, key: str) -> DataFrame:
+    """The pairs ``(tag, key)`` that base and runs come to, in one aggregate.
 
-    The base is not aggregated: pairs that runs mention are taken out of it, those still present are added.
+    A pair without tag or key equals none: the base's stay, whatever runs say, and a run's come beside them.
     """
+    newest = F.max_by("present", "__run")
+    pairs = every.groupBy("tag", key).agg(newest.alias("__present"), F.max("__run").alias("__last"), F.count_if(F.col("__run") == -1).alias("__base"))
+    added = F.when((F.col("__last") >= 0) & F.col("__present"), 1).otherwise(0)
+    odd = F.col("tag").isNull() | F.col(key).isNull()
+    copies = F.when(odd, F.col("__base") + added).when(F.col("__last") >= 0, added).otherwise(F.col("__base")).cast("int")
+    return pairs.select("tag", key, F.explode(F.array_repeat(F.lit(True), copies))).select("tag", key)
+
+
+def load(spark: SparkSession, path: str, version: int | None = None, key: str = KEY) -> DataFrame:
+    """The current ``(tag, key)``; a filter on ``tag`` reaches the scans of the base and of every run."""
     _, manifest = versions.current(spark, path, version)
-    base = spark.read.parquet(f"{path}/runs/{manifest['base']}")
     if not manifest["runs"]:
-        return base
-    changed = _runs(spark, path, manifest["runs"], key)
-    return base.join(changed.select("tag", key), ["tag", key], "left_anti").union(changed.filter("present").select("tag", key))
+        return spark.read.parquet(f"{path}/runs/{manifest['base']}")
+    return _current(_with_base(spark, path, manifest, key), key)
 
 
 def compact(spark: SparkSession, path: str, whole: bool = True, key: str = KEY) -> int:
-    """Merge base and runs into a new base, or (``whole=False``) the runs into one run, as a new version."""
+    """Merge base and runs into a new base, or (``whole=False``) the runs into one run, as a new version.
+
+    Stored rows are dealt out by range first: the ranges come from a scan, and what is equal is together for the aggregate.
+    """
     number, manifest = versions.current(spark, path)
     if not manifest["runs"] or (not whole and len(manifest["runs"]) == 1):
         return number
     if whole:
-        return _commit(spark, path, number + 1, _sorted_write(load(spark, path, key=key), path, key), [])
-    merged = _sorted_write(_runs(spark, path, manifest["runs"], key), path, key)
-    return _commit(spark, path, number + 1, manifest["base"], [merged])
+        pairs = _current(_ranged(_with_base(spark, path, manifest, key), key), key)
+        return _commit(spark, path, number + 1, _sorted_write(pairs, path, key), [])
+    merged = _newest(_ranged(_runs(spark, path, manifest["runs"]), key), key)
+    return _commit(spark, path, number + 1, manifest["base"], [_sorted_write(merged, path, key)])
 
 
 def forget(spark: SparkSession, path: str, keep: int = 1) -> None:

@@ -99,6 +99,28 @@ def test_edits_that_cancel_out(spark, tmp_path):
     assert rows_of(index_runs.load(spark, path)) == Counter({("a", "k1"): 1, ("b", "k1"): 1})
 
 
+def test_index_is_merged_in_one_pass(spark, tmp_path, monkeypatch):
+    """Base and runs are scanned once and meet in one aggregate; pairs without tag or key equal none, also after a compaction."""
+    path, schema = str(tmp_path / "index"), "tag string, image_key string, delta int"
+    index_runs.create(spark.createDataFrame([("a", "k1"), ("b", "k1"), ("c", "k2"), (None, "k1"), ("a", None)], "tag string, image_key string"), path)
+    index_runs.add_run(path, spark.createDataFrame([("a", "k1", -1), ("b", "k1", 1), ("d", "k3", 1), (None, "k1", 1), ("a", None, -1), (None, "k2", 1)], schema))
+    index_runs.add_run(path, spark.createDataFrame([("d", "k3", -1), ("a", "k1", 1), ("a", None, 1), (None, "k2", -1)], schema))
+    wanted = Counter({("a", "k1"): 1, ("b", "k1"): 1, ("c", "k2"): 1, (None, "k1"): 2, ("a", None): 2})
+    loaded = index_runs.load(spark, path)
+    plan = loaded._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 3 and plan.count("Exchange") == 1
+    assert rows_of(loaded) == wanted
+    plans, write = [], index_runs._sorted_write
+    monkeypatch.setattr(index_runs, "_sorted_write", lambda df, *rest: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *rest))
+    index_runs.compact(spark, path, whole=False)
+    assert rows_of(index_runs.load(spark, path)) == wanted
+    index_runs.compact(spark, path)
+    assert rows_of(index_runs.load(spark, path)) == wanted
+    assert [p.count("Exchange") for p in plans] == [1, 1] and all("rangepartitioning" in p for p in plans)
+    index_runs.add_run(path, spark.createDataFrame([("c", "k2", -1), (None, "k1", -1)], schema))
+    assert rows_of(index_runs.load(spark, path)) == wanted - Counter([("c", "k2")])
+
+
 # -- partial saves ----------------------------------------------------------------------------------------
 
 
